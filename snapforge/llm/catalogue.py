@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import sharding
+from snapforge.llm import sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2_sharding,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {

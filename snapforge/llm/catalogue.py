@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import sharding, simhash
+from snapforge.llm import exact_dedup, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2_sharding,
     "op7_simhash": simhash.op7_simhash,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding.ORACLE_SQL,
+    "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import exact_dedup, sharding, simhash
+from snapforge.llm import exact_dedup, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.op2_sharding,
     "op7_simhash": simhash.op7_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

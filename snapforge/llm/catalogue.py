@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import exact_dedup, packing, sharding, simhash
+from snapforge.llm import byte_bpe, exact_dedup, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_sharding": sharding.op2_sharding,
     "op7_simhash": simhash.op7_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,

@@ -20,7 +20,11 @@ from pyspark.sql.types import StructType
 
 from snapforge.llm.common import BROADCAST_ROWS, free_name, maybe_broadcast, new_folder, text_of
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream: state in RocksDB, which must not reserve disk ahead for each of its many small stores.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of new files in a micro-batch.
 MAX_BYTES = 1 << 40
 SPACE = " \t\n\x0b\f\r"
@@ -49,9 +53,9 @@ def run_stream(spark: SparkSession, path: str, schema: StructType, checkpoint: s
     Each micro-batch takes up to ``max_bytes`` of new files. A batch that is repeated after a failure replaces its
     own folder, so updates are written exactly once.
     """
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     stored = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).option("maxFileAge", "36500d").parquet(path)
     state = content_rows(stored, digest).groupBy("digest").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
 
@@ -62,7 +66,8 @@ def run_stream(spark: SparkSession, path: str, schema: StructType, checkpoint: s
     try:
         query.awaitTermination()
     finally:
-        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def winners(spark: SparkSession, updates: str) -> DataFrame:

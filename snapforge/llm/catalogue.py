@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import byte_bpe, exact_dedup, packing, sharding, simhash
+from snapforge.llm import byte_bpe, exact_dedup, packing, sharding, simhash, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": simhash.op7_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_winnowing": winnowing.op10_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import byte_bpe, exact_dedup, packing, sharding, simhash, winnowing
+from snapforge.llm import byte_bpe, chat, exact_dedup, packing, sharding, simhash, url_filter, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_sharding": sharding.op2_sharding,
+    "op3_chat": chat.op3_chat,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
@@ -19,5 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding.ORACLE_SQL,
+    "op3_chat": chat.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }

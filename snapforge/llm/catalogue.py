@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import byte_bpe, chat, exact_dedup, html_text, packing, sharding, simhash, url_filter, winnowing
+from snapforge.llm import byte_bpe, chat, exact_dedup, html_text, packing, sharding, simhash, toxicity, url_filter, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
     "op2_sharding": sharding.op2_sharding,
     "op3_chat": chat.op3_chat,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_html_text": html_text.op5_html_text,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,

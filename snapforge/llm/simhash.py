@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import text_of, write_table
+from snapforge.llm.common import BROADCAST_ROWS, maybe_broadcast, text_of, write_table
 from snapforge.llm.components import connected_components
 
 BITS = 64
@@ -236,6 +236,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2, bucket: int
     return prints.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_near(docs: DataFrame, shingle: int = 3, tau: int = 2, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` (with all columns) but those that reach a smaller doc_id over links.
+
+    doc_id is taken as a key here; rows with a null one stay. Dropped ids are broadcast while they number at most
+    ``limit``; beyond that the join is shuffled.
+    """
+    found = near_duplicates(docs, shingle, tau)
+    gone = write_table(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near")
+    return docs.join(maybe_broadcast(gone, gone.count(), limit), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -3,36 +3,37 @@
 A piece of length L with capacity/(k+1) < L <= capacity/k is of class k, and a sequence of class k takes k such
 pieces, so filling it needs no search. Documents are cut so that pieces nearly fill their share: whole sequences
 first, and a remainder that would waste more than ``WASTE`` of its share gives off a piece of exactly the next smaller
-share. Workers (runs of documents dealt by a hash of the id) pack independently. The pieces of classes above
-``CLASSES`` and those of sequences that a worker can't fill are laid end to end and cut at the capacity, so that a
-worker pads one sequence at most, besides the padding inside filled sequences.
+share. Workers pack independently, each its own partition. The pieces of classes above ``CLASSES``, and at the end those
+of sequences that a worker couldn't fill, are laid end to end and cut at the capacity, so that a worker pads one
+sequence at most, besides the little padding inside filled ones.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import text_of, write_table
+from snapforge.llm.common import text_of
 
 CAPACITY = 2048
 #: Classes with sequences of their own.
 CLASSES = 32
 #: Part of its share that a piece may leave empty.
 WASTE = 0.02
-#: Documents a worker packs, about.
-WORKER_DOCS = 4096
+#: Pieces that a task hands on at once.
+FLUSH = 2048
 #: Words whose ids a Python worker remembers.
 CACHE = 400_000
 END_ID = 1
-PIECES = "array<struct<start:bigint, length:bigint, ids:binary>>"
 
 
 #: Appended to a pre-token's bytes for the end of the word; UTF-8 has no such byte.
@@ -131,75 +132,90 @@ def cut(length: int, capacity: int = CAPACITY, classes: int = CLASSES, waste: fl
     return pieces
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens: every document's ids with the end id, cut into pieces."""
-
-    @F.arrow_udf(PIECES)
-    def split(texts: pa.Array) -> pa.Array:
-        found = []
-        for text in texts:
-            ids = word_encoder(path).encode(text.as_py()) + array("I", [END_ID]).tobytes()
-            at, pieces = 0, []
-            for size in cut(len(ids) // 4, capacity):
-                pieces.append({"start": at, "length": size, "ids": ids[4 * at : 4 * (at + size)]})
-                at += size
-            found.append(pieces)
-        return pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])))
-
-    rows = docs.select("doc_id", split(text_of("text")).alias("pieces"))
-    total = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p.length)
-    return rows.select("doc_id", total.alias("doc_tokens"), F.explode("pieces").alias("p")).select("doc_id", "p.start", "p.length", "p.ids", "doc_tokens")
-
-
-def _recut(pieces: DataFrame, first: str, capacity: int) -> DataFrame:
-    """Cut pieces at the multiples of ``capacity`` that lie within [first, first + length)."""
-    a, b = F.col(first), F.col(first) + F.col("length")
-    edges = F.transform(F.sequence(F.floor(a / capacity), F.floor((b - 1) / capacity)), lambda s: F.struct(s.alias("bin"), F.greatest(a, s * capacity).alias("a"), F.least(b, (s + 1) * capacity).alias("b")))
-    return pieces.withColumn("_e", F.explode(edges))
-
-
-def assign_sequences(pieces: DataFrame, slice_payload: dict[str, Column] | None = None, capacity: int = CAPACITY,
-                     classes: int = CLASSES, worker_docs: int = WORKER_DOCS) -> DataFrame:
-    """Add sequence_id and offset to a written table of pieces (doc_id, start, length, further columns).
-
-    A piece of an unfilled sequence may be cut once more; ``slice_payload`` says how columns follow, as functions of
-    ``_skip`` and ``_take`` (how much of the piece comes before, and how much is taken).
-    """
-    n = pieces.filter("start = 0").count()
-    workers = max(1, -(-n // worker_docs))
-    own = ["doc_id", "start", "length"]
-    rest = [c for c in pieces.columns if c not in own]
-    rows = pieces.withColumn("_worker", F.pmod(F.xxhash64("doc_id"), F.lit(workers)).cast("int"))
-    rows = rows.withColumn("_class", F.least(F.floor(F.lit(capacity) / F.col("length")), F.lit(classes + 1)).cast("int"))
-    group = Window.partitionBy("_worker", "_class")
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("start"), *[F.col(c) for c in rest if c != "ids"]]
-    rows = rows.withColumn("_rank", F.row_number().over(group.orderBy(*order)) - 1).withColumn("_size", F.count(F.lit(1)).over(group))
-    rows = rows.withColumn("_bin", F.floor(F.col("_rank") / F.col("_class")))
-    filled = (F.col("_class") <= classes) & ((F.col("_bin") + 1) * F.col("_class") <= F.col("_size"))
-    base = F.col("_worker").cast("long") * F.lit(classes + 2) * F.lit(1 << 24)
-    number = lambda kind, bin: base + kind.cast("long") * F.lit(1 << 24) + bin
-    inside = Window.partitionBy("_worker", "_class", "_bin").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    whole = rows.filter(filled).withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
-    whole = whole.select(*own, *rest, number(F.col("_class"), F.col("_bin")).alias("sequence_id"), "offset")
-    lane = Window.partitionBy("_worker").orderBy("_class", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    loose = rows.filter(~filled).withColumn("_first", F.coalesce(F.sum("length").over(lane), F.lit(0)).cast("long"))
-    loose = _recut(loose, "_first", capacity).withColumn("_skip", F.col("_e.a") - F.col("_first")).withColumn("_take", F.col("_e.b") - F.col("_e.a"))
-    for name, part in (slice_payload or {}).items():
-        loose = loose.withColumn(name, part)
-    loose = loose.select("doc_id", (F.col("start") + F.col("_skip")).alias("start"), F.col("_take").alias("length"), *rest,
-                         number(F.lit(classes + 1), F.col("_e.bin")).alias("sequence_id"), (F.col("_e.a") - F.col("_e.bin") * capacity).alias("offset"))
-    return whole.unionByName(loose)
-
-
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+class Packer:
+    """Open sequences of one worker: at most a few pieces of each class, and the lane's position."""
+
+    def __init__(self, worker: int, capacity: int, classes: int):
+        self.capacity, self.classes = capacity, classes
+        self.next = worker << 32
+        self.open: dict[int, list[tuple]] = {}
+        self.lane, self.at = None, 0
+        self.rows: list[tuple] = []
+
+    def number(self) -> int:
+        self.next += 1
+        return self.next - 1
+
+    def add(self, piece: tuple) -> None:
+        """``piece``: document, start, ids (packed), tokens of the document."""
+        k = self.capacity // (len(piece[2]) // 4)
+        if k > self.classes:
+            self.lay(piece)
+            return
+        bin_ = self.open.setdefault(k, [])
+        bin_.append(piece)
+        if len(bin_) == k:
+            sequence, at = self.number(), 0
+            for doc, start, ids, total in bin_:
+                self.rows.append((doc, start, len(ids) // 4, ids, total, sequence, at))
+                at += len(ids) // 4
+            bin_.clear()
+
+    def lay(self, piece: tuple) -> None:
+        """End to end after the lane's last piece, cut where a sequence ends."""
+        doc, start, ids, total = piece
+        while ids:
+            if self.lane is None or self.at == self.capacity:
+                self.lane, self.at = self.number(), 0
+            part = ids[: 4 * (self.capacity - self.at)]
+            self.rows.append((doc, start, len(part) // 4, part, total, self.lane, self.at))
+            self.at += len(part) // 4
+            start += len(part) // 4
+            ids = ids[len(part) :]
+
+    def close(self) -> None:
+        for k in sorted(self.open):
+            for piece in self.open[k]:
+                self.lay(piece)
+        self.open.clear()
+
+
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset of every piece.
 
-    A null or empty text is a document of the end id alone. Repeated rows are packed as often as they come, and a
-    null doc_id is an id like any other. An empty table gives an empty result; other columns are ignored.
+    Each task is a worker that packs the documents of its partition as they come, so nothing is shuffled, and a task
+    that runs again gives its own sequences anew. A null or empty text is a document of the end id alone. Repeated
+    rows are packed as often as they come, and a null doc_id is an id like any other. An empty table gives an empty
+    result; other columns are ignored.
     """
-    pieces = write_table(token_pieces(docs, path, capacity), "pieces")
-    part = F.substring(F.col("ids"), (4 * F.col("_skip") + 1).cast("int"), (4 * F.col("_take")).cast("int"))
-    return assign_sequences(pieces, {"ids": part}, capacity)
+    rows = docs.select("doc_id", text_of("text").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, encoder, types = Packer(TaskContext.get().partitionId(), capacity, classes), word_encoder(path), None
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*packer.rows, strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            packer.rows = []
+            return batch
+
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encoder.encode(text.as_py()) + array("I", [END_ID]).tobytes()
+                at, total = 0, len(ids) // 4
+                for size in cut(total, capacity, classes):
+                    packer.add((doc, at, ids[4 * at : 4 * (at + size)], total))
+                    at += size
+                if len(packer.rows) >= FLUSH:
+                    yield flush()
+        packer.close()
+        if packer.rows:
+            yield flush()
+
+    return rows.mapInArrow(work, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def pod_coefficients(spark, d):
     return svd.project(rows, "vec_id", "embedding", svd.svd_gram(rows, "embedding", rank=5, center=True))
 
 
-@query("SELECT round(0.0, 6) AS relative_error")
+@query("SELECT 0.0::DOUBLE AS relative_error")
 def pod_full_rank_error(spark, d):
     rows = table(spark, d, "lineitem").select(F.array("l_quantity", "l_discount", "l_tax").alias("vec"))
     return svd.reconstruction_error(rows, "vec", svd.svd_tsqr(rows, "vec")).select(F.round("relative_error", 6).alias("relative_error"))
@@ -340,7 +340,7 @@ def train_val_split(spark, d):
     return sampling.train_validation_split(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query(f"WITH {POINTS} SELECT vec_id, x, y, CASE WHEN label = 0 THEN 'boundary' ELSE 'interior' END AS region, CASE WHEN label = 0 THEN 1.0 END AS normal FROM points")
+@query(f"WITH {POINTS} SELECT vec_id, x, y, CASE WHEN label = 0 THEN 'boundary' ELSE 'interior' END AS region, CASE WHEN label = 0 THEN 1.0::DOUBLE END AS normal FROM points")
 def mixed_batch(spark, d):
     p = points_of(spark, d)
     inner = p.filter("label <> 0").select("vec_id", "x", "y", F.lit("interior").alias("region"))

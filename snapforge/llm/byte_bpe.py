@@ -26,7 +26,7 @@ from snapforge.llm.common import text_of
 #: Byte b is the character with this number plus b: assigned, and changed by no normalisation here.
 FIRST_CHAR = 0x100
 #: Text segments whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 #: Longer segments aren't remembered.
 LONG = 64
 #: Characters of text that are encoded together.

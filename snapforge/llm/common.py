@@ -54,3 +54,17 @@ def free_name(df: DataFrame, name: str) -> str:
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df``, whose counted size is ``rows``, for broadcast only while that is under ``limit``."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, parts: int = 1000) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right``; ``count`` says there how many rows of ``left`` have it.
+
+    A key with more than 1/``parts`` of all rows would fill a task by itself. There are fewer than ``parts`` such keys,
+    whatever the data, so their rows of ``right`` are broadcast; all other keys are small and shuffled. ``left``
+    is read twice, so it should be a written table.
+    """
+    total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = right.filter(F.col(count) > F.lit(total / parts))
+    cold = right.filter(F.col(count) <= F.lit(total / parts))
+    keys = F.broadcast(hot.select(key))
+    return left.join(F.broadcast(hot), key).unionByName(left.join(keys, key, "left_anti").join(cold, key))

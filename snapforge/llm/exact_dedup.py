@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from snapforge.llm.common import BROADCAST_ROWS, free_name, maybe_broadcast, new_folder, text_of
+from snapforge.llm.common import BROADCAST_ROWS, free_name, join_hot, maybe_broadcast, new_folder, text_of, write_table
 
 #: Settings of the stream: state in RocksDB, which must not reserve disk ahead for each of its many small stores.
 SETTINGS = {
@@ -99,14 +99,14 @@ def deduplicate(spark: SparkSession, path: str, schema: StructType, digest: Call
     if store.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, locator struct<file:string, row:bigint>, digest binary, keep_id bigint, group_size bigint, kept boolean")
     run_stream(spark, path, schema, f"{folder}/state", updates, digest, max_bytes)
-    best = winners(spark, updates)
+    best = write_table(winners(spark, updates), "winners")
     hits = best.filter(F.col("n") > 1)
     n_hits = hits.count()
     groups = best.select("digest", F.col("best").alias("keep"), F.col("n").alias("group_size"))
-    rows = content_rows(store, digest)
+    rows = write_table(content_rows(store, digest), "digests")
     mixed = collisions(store, hits, n_hits, digest) if n_hits else None
     n_mixed = mixed.count() if n_hits else 0
-    found = rows.join(groups, "digest")
+    found = join_hot(rows, groups, "digest", "group_size")
     if n_mixed:
         mixed = maybe_broadcast(mixed, n_mixed)
         texts = rows.join(mixed, "digest", "left_semi").select("best.locator").join(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import BROADCAST_ROWS, maybe_broadcast, text_of, write_table
+from snapforge.llm.common import BROADCAST_ROWS, join_hot, maybe_broadcast, text_of, write_table
 from snapforge.llm.components import connected_components
 
 BITS = 64
@@ -226,14 +226,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2, bucket: int
     columns are ignored; an empty table gives an empty result.
     """
     prints = write_table(with_fingerprints(docs.select("doc_id", "text"), "text", shingle).select("doc_id", "fp"), "simhash")
-    values = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
+    values = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-values")
     edges = write_table(links(values.select("fp"), tau, bucket), "simhash-links")
     label = connected_components(edges)
     linked = values.join(label, values["fp"] == label["node"]).select("fp", "first", "component")
     smallest = linked.groupBy("component").agg(F.min("first").alias("component_first"))
     reached = linked.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("linked_fp"), "component_first")
-    classes = values.join(reached, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component_first", "first").alias("component_id"))
-    return prints.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    classes = values.join(reached, F.col("fp") == F.col("linked_fp"), "left").select("fp", "n", F.coalesce("component_first", "first").alias("component_id"))
+    return join_hot(prints, write_table(classes, "simhash-classes"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_near(docs: DataFrame, shingle: int = 3, tau: int = 2, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -42,6 +42,22 @@ def low_rank_apply(left: DataFrame, right: DataFrame, x: DataFrame) -> DataFrame
     return matmul(left, matmul(transpose(right), x))
 
 
+def hstack(a: DataFrame, b: DataFrame, columns: int) -> DataFrame:
+    """``b`` to the right of ``a``, which has ``columns`` columns."""
+    return a.unionByName(b.withColumn("j", F.col("j") + columns))
+
+
+def vstack(a: DataFrame, b: DataFrame, rows: int) -> DataFrame:
+    """``b`` below ``a``, which has ``rows`` rows."""
+    return a.unionByName(b.withColumn("i", F.col("i") + rows))
+
+
+def stable_shifts(shifts: DataFrame, tol: float = 1e-14, positive_imaginary: bool = False) -> DataFrame:
+    """Shifts (re, im) in the open left half plane, away from zero and from the imaginary axis."""
+    kept = (F.col("re") < 0) & (F.abs("re") > tol) & (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) > tol)
+    return shifts.filter(kept & (F.col("im") >= 0) if positive_imaginary else kept)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

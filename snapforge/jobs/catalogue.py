@@ -402,3 +402,70 @@ def early_stop_epoch(spark, d):
 def linear_dynamics_fit(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
     return losses.one_step_fit(rows, "user_id", ["ts", "event_id"], "value").select(rounded("slope"), rounded("intercept", 4), "n")
+
+
+# More of the matrix and point operators
+
+@query(f"WITH {LONG} SELECT i, j, round(abs(v), 6) AS a, round(sqrt(abs(v)), 6) AS r, round(exp(v), 6) AS e, isfinite(1 / nullif(v, 0)) AS f FROM long")
+def mat_elementwise(spark, d):
+    a, v = embedding_matrix(spark, d), F.col("v")
+    finite = F.when(v != 0, ~F.isnan(1 / v) & (F.abs(1 / v) != float("inf")))
+    return a.select("i", "j", F.round(F.abs(v), 6).alias("a"), F.round(F.sqrt(F.abs(v)), 6).alias("r"), F.round(F.exp(v), 6).alias("e"), finite.alias("f"))
+
+
+@query(f"WITH {LONG} SELECT j, bool_or(v > 0.3) AS any_above, bool_and(v > -0.3) AS all_above, round(max(v), 6) + 0.0 AS most, round(sum(v), 6) + 0.0 AS total FROM long GROUP BY j")
+def mat_column_reductions(spark, d):
+    v = F.col("v")
+    return embedding_matrix(spark, d).groupBy("j").agg(F.bool_or(v > 0.3).alias("any_above"), F.bool_and(v > -0.3).alias("all_above"), (F.round(F.max("v"), 6) + 0.0).alias("most"), (F.round(F.sum("v"), 6) + 0.0).alias("total"))
+
+
+@query(f"WITH {LONG} SELECT i, j, round(v, 6) + 0.0 AS v FROM long UNION ALL SELECT i, j + 64, round(label * 1.0::DOUBLE, 6) FROM (SELECT vec_id AS i, 0 AS j, label FROM embeddings)")
+def mat_hstack(spark, d):
+    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.lit(0).cast("long").alias("j"), F.col("label").cast("double").alias("v"))
+    return matrix.hstack(embedding_matrix(spark, d), label, 64).select("i", "j", rounded("v"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_discount - 0.05 AS re, l_tax - 0.04 AS im FROM lineitem)
+SELECT DISTINCT round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM s WHERE round(re, 6) < 0 AND round(im, 6) >= 0""")
+def stable_shifts(spark, d):
+    s = table(spark, d, "lineitem").select((F.round(F.col("l_discount") - 0.05, 6) + 0.0).alias("re"), (F.round(F.col("l_tax") - 0.04, 6) + 0.0).alias("im"))
+    return matrix.stable_shifts(s, positive_imaginary=True).distinct()
+
+
+@query("""SELECT 'side' || label AS boundary, vec_id AS node FROM embeddings WHERE label < 3
+UNION SELECT CASE WHEN label = 0 THEN 'side0' ELSE 'rest' END, vec_id FROM embeddings WHERE label IN (0, 5)""")
+def boundary_sets(spark, d):
+    """Point sets and cell sets of one mesh, filtered, renamed and merged without repeats."""
+    e = table(spark, d, "embeddings")
+    points = e.filter("label < 3").select(F.concat(F.lit("side"), F.col("label").cast("string")).alias("boundary"), F.col("vec_id").alias("node"))
+    cells_ = e.filter("label in (0, 5)").select(F.when(F.col("label") == 0, "side0").otherwise("rest").alias("boundary"), F.col("vec_id").alias("node"))
+    return points.unionByName(cells_).distinct()
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, o_orderkey % 64 AS run FROM orders),
+c AS (SELECT o_orderkey, o_totalprice, coalesce(sum(o_totalprice) OVER (ORDER BY run, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(o_totalprice) OVER () AS whole FROM o),
+r AS (SELECT o_orderkey, ceil(round(before * 500 / whole, 9) - 0.5)::BIGINT AS first, ceil(round((before + o_totalprice) * 500 / whole, 9) - 0.5)::BIGINT - 1 AS last FROM c)
+SELECT o_orderkey, unnest(range(first, last + 1)) AS sample FROM r WHERE last >= first""")
+def facet_samples(spark, d):
+    """500 evenly spaced samples over all orders, laid end to end by price."""
+    return mesh.sample_facets(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 500).select("o_orderkey", "sample")
+
+
+@query(f"WITH {POINTS} SELECT vec_id, true AS inside FROM points WHERE label < 5")
+def hull_contains_own(spark, d):
+    """The hull of a point set contains all of that set."""
+    own = points_of(spark, d).filter("label < 5").select("vec_id", "x", "y")
+    return mesh.contained(own, mesh.hull_2d(own), 1e-9).select("vec_id", "inside")
+
+
+@query()
+def hull_contains(spark, d):
+    p = points_of(spark, d)
+    return mesh.contained(p.select("vec_id", "x", "y"), mesh.hull_2d(p.filter("label < 5")), 1e-9).select("vec_id", "inside")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY (doc_id::HUGEINT * 2654435761) % 4294967296, doc_id) - 1) // 64 AS batch FROM documents")
+def mini_batches(spark, d):
+    """Batches of 64 in a reproducible random order."""
+    ranked = matrix.ordered_rank(table(spark, d, "documents").select("doc_id"), sampling.id_hash("doc_id"), sampling.MODULUS, ["doc_id"])
+    return ranked.select("doc_id", F.floor((F.col("rank") - 1) / 64).alias("batch"))

@@ -130,3 +130,73 @@ def pca_normals(queries: DataFrame, points: DataFrame, key: str, k: int = 8) ->
     own = queries.select(F.col(key).alias("query"), "x", "y").crossJoin(F.broadcast(mean))  # with a single row
     sign = F.when(F.col("nx") * (F.col("x") - F.col("mx")) + F.col("ny") * (F.col("y") - F.col("my")) < 0, -1.0).otherwise(1.0)
     return c.join(own, "query").select("query", (sign * F.col("nx") / F.col("l")).alias("nx"), (sign * F.col("ny") / F.col("l")).alias("ny"))
+
+
+def hull_2d(points: DataFrame, x: str = "x", y: str = "y", fan_in: int = 16) -> list[tuple[float, float]]:
+    """Corners of the convex hull, anticlockwise: each task keeps its own points' hull, hulls are merged in rounds.
+
+    What reaches the driver is a hull of hulls; points without a coordinate are left out.
+    """
+
+    def local(batches):
+        found: list[tuple[float, float]] = []
+        for batch in batches:
+            found = chain(found + list(zip(batch[x].tolist(), batch[y].tolist(), strict=True)))
+        yield pd.DataFrame(found, columns=[x, y], dtype=float)
+
+    hulls = points.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).dropna().mapInPandas(local, f"{x} double, {y} double")
+    parts = hulls.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        hulls = hulls.repartition(parts).mapInPandas(local, f"{x} double, {y} double")
+    return chain([(r[x], r[y]) for r in hulls.collect()])
+
+
+def chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Monotone chain: lower, then upper side."""
+    order = sorted(set(points))
+    if len(order) < 3:
+        return order
+
+    def side(sequence):
+        out: list[tuple[float, float]] = []
+        for p in sequence:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return side(order) + side(order[::-1])
+
+
+def contained(points: DataFrame, hull: list[tuple[float, float]], tolerance: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Add ``inside``: on the inner side of every edge of the hull, or within ``tolerance`` of it."""
+    inside = F.lit(True)
+    for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1], strict=True):
+        length = float(np.hypot(bx - ax, by - ay)) or 1.0
+        inside = inside & (((F.col(x) - ax) * (by - ay) - (F.col(y) - ay) * (bx - ax)) / length <= tolerance)
+    return points.withColumn("inside", inside)
+
+
+def hull_area(hull: list[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True)) / 2
+
+
+def sample_facets(facets: DataFrame, measure: str, key: str, n: int, runs: int = 64) -> DataFrame:
+    """``n`` samples, evenly spaced over the facets laid end to end, so each facet gets its share: ``sample``, ``at`` in [0, 1).
+
+    Facets are laid in runs by ``key % runs``; runs are summed by themselves and moved up by a table of ``runs`` rows.
+    """
+    rows = facets.withColumn("_run", F.pmod(F.col(key), F.lit(runs)))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = rows.groupBy("_run").agg(F.sum(measure).alias("_s"))
+    sums = sums.select("_run", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_base"), F.sum("_s").over(whole).alias("_all"))
+    inner = Window.partitionBy("_run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum(measure).over(inner), F.lit(0.0))).join(F.broadcast(sums), "_run")
+    start = F.round((F.col("_base") + F.col("_in")) * n / F.col("_all"), 9)
+    stop = F.round((F.col("_base") + F.col("_in") + F.col(measure)) * n / F.col("_all"), 9)
+    first, last = F.ceil(start - 0.5), F.ceil(stop - 0.5) - 1
+    rows = rows.withColumn("_a", start).withColumn("_b", stop).filter(last >= first).withColumn("sample", F.explode(F.sequence(first, last)))
+    at = (F.col("sample") + 0.5 - F.col("_a")) / (F.col("_b") - F.col("_a"))
+    return rows.withColumn("at", at).drop("_run", "_in", "_base", "_all", "_a", "_b")

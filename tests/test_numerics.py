@@ -114,3 +114,24 @@ def test_locate_prefers_first_name_on_ties(spark):
     nodes = spark.createDataFrame([("b", 0.1, 0.0), ("a", -0.1, 0.0)], "boundary string, x double, y double")
     found = mesh.locate_boundary(points, nodes, ["x", "y"], 0.5).orderBy("id").collect()
     assert [r["boundary"] for r in found] == ["a", None]
+
+
+def test_hull_and_area(spark):
+    r = np.random.default_rng(5)
+    inner = r.uniform(0.1, 0.9, (200, 2)).tolist()
+    points = spark.createDataFrame([(float(x), float(y)) for x, y in [*inner, (0, 0), (1, 0), (1, 1), (0, 1), (0.5, 0.0)]] + [(None, 0.0)], "x double, y double").repartition(5)
+    hull = mesh.hull_2d(points)
+    assert sorted(hull) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert mesh.hull_area(hull) == pytest.approx(1)
+    other = spark.createDataFrame([(0.5, 0.5), (1.5, 0.5), (1.0, 1.0)], "x double, y double")
+    assert [r["inside"] for r in mesh.contained(other, hull, 1e-9).collect()] == [True, False, True]
+
+
+def test_nearest_in_many_blocks(spark):
+    x = np.random.default_rng(7).random((60, 2))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id bigint, x double, y double")
+    found = mesh.nearest(points.filter("id % 10 = 0"), points, "id", ["x", "y"], 3, block=7).collect()
+    for q in range(0, 60, 10):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [r["neighbour"] for r in sorted(found, key=lambda r: r["rank"]) if r["query"] == q] == np.argsort(d)[:3].tolist()

@@ -35,7 +35,7 @@ TRAIN_WORDS = 100_000
 #: A character sequence is telling when it is met at so many times ordinary documents' rate, and a likelihood-ratio test gives so much.
 GRAM_RATIO, GRAM_TEST = 6.0, 20.0
 #: Differences count from the least one that toxic documents' windows reach or exceed so many times as often as others'.
-TAIL_RATIO = 3.0
+TAIL_RATIO = 10.0
 #: Samples that a dictionary's training gets at least, by repetition.
 SAMPLES = 20_000
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 32768

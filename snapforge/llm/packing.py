@@ -32,7 +32,7 @@ WASTE = 0.02
 #: Pieces that a task hands on at once.
 FLUSH = 2048
 #: Words whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 END_ID = 1
 
 

@@ -42,7 +42,7 @@ TOXIC_BYTES, ORDINARY_BYTES = 8192, 32768
 #: Differences are cut off at this number of bytes either way.
 REACH = 40
 LONG = 64
-CACHE = 500_000
+CACHE = 150_000
 _PAD = "\x02" * (CONTEXT - 1)
 
 

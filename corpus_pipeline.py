@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm import exact_dedup, packing, simhash, toxicity
+from snapforge.llm import exact_dedup, near_copies, packing, toxicity
 from snapforge.llm.common import write_table
 
 
@@ -26,8 +26,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one_of_near(docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more (five-word shingles)."""
+    return near_copies.keep_one_of_near(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

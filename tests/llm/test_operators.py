@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snapforge.llm import byte_bpe, chat, components, exact_dedup, html_text, packing, sharding, simhash, toxicity, url_filter, winnowing
+from snapforge.llm import byte_bpe, chat, components, exact_dedup, html_text, near_copies, packing, sharding, simhash, toxicity, url_filter, winnowing
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "  \n", "a", "One two three four five six.", "one  two three four five six.", "é日😀 \x1c\xa0x", "word " * 3000, "x" * 5000, "One two three four five six."]
@@ -219,6 +219,53 @@ def test_near_duplicates_edge_cases(docs, empty):
     assert set(simhash.keep_one_of_near(docs).columns) == set(docs.columns)
 
 
+def jaccard_components(texts):
+    sets = {i: set(near_copies.shingles(t).tolist()) for i, t in texts.items()}
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("bucket, hubs, rounds", [(32, 16, 6), (2, 1, 1)])
+def test_near_copies_are_those_of_all_pairs(spark, bucket, hubs, rounds):
+    r = random.Random(5)
+    word = lambda: "w" + str(r.randrange(900))
+    texts, at = {}, 0
+    for size, copies, edits in [(200, 6, 3), (200, 6, 6), (60, 5, 1), (120, 40, 4), (7, 3, 1), (2, 2, 0), (90, 5, 20)]:
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            new = list(base)
+            for _ in range(edits):
+                new[r.randrange(size)] = word()
+            texts[at] = " ".join(new)
+            at += 1
+    passage = " ".join(word() for _ in range(12))
+    for _ in range(3):  # one passage, repeated more than the rest, isn't a copy
+        texts[at] = (passage + " ") * 60 + " ".join(word() for _ in range(100))
+        at += 1
+    expected = jaccard_components(texts)
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id bigint, text string")
+    found = {r["node"]: r["component"] for r in near_copies.near_copies(docs, bucket, hubs, rounds).collect()}
+    assert {i: found.get(i, i) for i in texts} == expected
+    kept = [r["doc_id"] for r in near_copies.keep_one_of_near(docs).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(expected.values())) and None in kept
+
+
+def test_pipeline_drops_edited_copies(spark, docs, empty):
+    import corpus_pipeline
+
+    words = ["w" + str(i) for i in range(200)]
+    near = [*words[:60], "new", *words[61:130], "other", *words[131:]]
+    pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, pair, "").collect()] == [1]
+    assert corpus_pipeline.drop_near_copies(spark, empty, "").count() == 0
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").columns == docs.columns
+
+
 # 8
 
 def check_groups(found, rows):

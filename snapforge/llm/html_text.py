@@ -3,13 +3,15 @@
 A page's text falls into blocks, each with the path of block-level tags (with their classes) from the root. For each path
 the text length and the punctuation of its blocks are summed, link text left out. A path's two ratios (characters
 and punctuation marks per block) are smoothed with its neighbours' in page order, fused by multiplication and
-compared with a part of the best path's value. The paths that pass vote with their text for the deepest element that
-holds nearly all of it, and that element's blocks are the content, headings and short paragraphs included. Elements
-that are no article text by their tag or class take no part.
+compared with a part of the best path's value. The nearest element around all paths that pass, or an article or main
+element around that, is the content with all of its blocks: headings, short paragraphs and blocks of links included.
+Elements that are no article text by their tag or role take no part, nor do those marked by a word in class or id
+and forms, unless they hold over half of the page's text.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
 from html import unescape
@@ -22,22 +24,23 @@ from snapforge.llm.common import text_of
 
 #: Part of the best path's fused ratio that a path needs.
 THRESHOLD = 0.05
-#: Part of the passing paths' text that the content element must hold.
-COVER = 0.9
-#: Blocks whose text is mostly links are no content.
+#: Blocks whose text is mostly links don't count in ratios.
 LINKS = 0.5
+#: Part of the page's text up to which an element marked by class, id or form is left out.
+MARKED = 0.5
 
 # Elements by their meaning in HTML, and words in class or id that mark other parts of a page.
 RAW = "script style noscript template iframe svg math canvas object audio video textarea title"
-OUTSIDE = "head nav footer aside form button select dialog menu map"
+OUTSIDE = "head nav footer aside button select dialog menu map"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
 MARKS = ("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
          "footer masthead sidebar aside widget notice cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login comment comments "
          "disqus reply replies respond share sharing social related recommended form search")
+LAYOUT = "with without has no"
 ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar"
 
-_RAW, _OUTSIDE, _VOID, _INLINE, _MARKS, _ROLES = (frozenset(x.split()) for x in (RAW, OUTSIDE, VOID, INLINE, MARKS, ROLES))
+_RAW, _OUTSIDE, _VOID, _INLINE, _MARKS, _ROLES, _LAYOUT = (frozenset(x.split()) for x in (RAW, OUTSIDE, VOID, INLINE, MARKS, ROLES, LAYOUT))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[a-z/!?][^>]*>?", re.IGNORECASE | re.DOTALL)
@@ -50,39 +53,39 @@ _SCOPE = {"ul", "ol", "dl", "table"}
 
 
 def _outside(tag: str, names: dict[str, str], inside: bool) -> bool:
-    """No article text by tag, class, id or role; a header counts as one outside of an article only."""
-    if tag in _OUTSIDE or (tag == "header" and not inside) or names.get("role", "").lower() in _ROLES:
-        return True
+    """No article text by tag or role; a header counts as one outside of an article only."""
+    return tag in _OUTSIDE or (tag == "header" and not inside) or names.get("role", "").lower() in _ROLES
+
+
+def _marked(tag: str, names: dict[str, str]) -> bool:
+    """A form, or a word in class or id that marks other parts of a page; names like with-sidebar or has-ads tell of a layout."""
     if tag in ("html", "body", "article", "main"):
         return False
-    return any(w.lower() in _MARKS for w in _WORD.findall(names.get("class", "") + " " + names.get("id", "")))
+    words = (_WORD.findall(n) for n in (names.get("class", "") + " " + names.get("id", "")).split())
+    return tag == "form" or any(w.lower() in _MARKS for found in words if found and found[0].lower() not in _LAYOUT for w in found)
+
 
+def blocks(html: str) -> list[tuple[tuple[str, ...], list[tuple[str, bool, tuple[int, ...]]]]]:
+    """(path, parts) of each block of text in page order; unclosed tags are closed as browsers do.
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters within links) of each block of text in page order; unclosed tags are closed as browsers do."""
-    found, parts, linked = [], [], 0
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, path, whether outside
+    A part is a text, whether it lies within a link, and the numbers of the marked elements around it.
+    """
+    found, parts, marked = [], [], 0
+    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = []  # tag, path, whether outside, marked elements
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text and not (stack and stack[-1][2]):
-            found.append((stack[-1][1] if stack else (), text, linked))
+        if any(not text.isspace() for text, _, _ in parts) and not (stack and stack[-1][2]):
+            found.append((stack[-1][1] if stack else (), parts.copy()))
         parts.clear()
-        linked = 0
 
     def pop(at: int) -> None:
-        if any(t not in _INLINE for t, _, _ in stack[at:]):
+        if any(t[0] not in _INLINE for t in stack[at:]):
             flush()
         del stack[at:]
 
     def add(raw: str) -> None:
-        nonlocal linked
         if raw and not (stack and stack[-1][2]):
-            text = unescape(raw)
-            parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
-                linked += len("".join(text.split()))
+            parts.append((unescape(raw), any(t[0] == "a" for t in stack), stack[-1][3] if stack else ()))
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -92,7 +95,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not tag:
             continue
         if tag in _VOID:
-            parts.append(" ")
+            parts.append((" ", False, ()))
             if tag == "hr":
                 flush()
             continue
@@ -114,21 +117,39 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if stack[i][0] in _SCOPE or ("p" in closes and stack[i][0] not in _INLINE):
                     break
         names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(m["attrs"])}
-        path, out = (stack[-1][1], stack[-1][2]) if stack else ((), False)
+        path, out, around = stack[-1][1:] if stack else ((), False, ())
         if not inline:
             path = (*path, tag + "".join("." + c for c in sorted(names.get("class", "").split())))
-        inside = any(t in ("article", "main") for t, _, _ in stack)
+        inside = any(t[0] in ("article", "main") for t in stack)
         if not m["attrs"].endswith("/") or tag in ("p", "div", "span", "b"):
-            stack.append((tag, path, out or _outside(tag, names, inside)))
+            if _marked(tag, names):
+                marked += 1
+                around = (*around, marked)
+            stack.append((tag, path, out or _outside(tag, names, inside), around))
     add(html[at:])
     flush()
     return found
 
 
-def main_text(html: str, threshold: float = THRESHOLD, cover: float = COVER) -> str:
+def main_text(html: str, threshold: float = THRESHOLD) -> str:
     """The content blocks, one line each."""
-    page = blocks(html)
-    page = [(path, text) for path, text, linked in page if linked <= LINKS * len("".join(text.split()))]
+    found = blocks(html)
+    size, held = 0, defaultdict(int)
+    for _, parts in found:
+        for text, _, marks in parts:
+            n = len("".join(text.split()))
+            size += n
+            for m in marks:
+                held[m] += n
+    gone = {m for m, n in held.items() if n <= MARKED * size}
+    every, page = [], []
+    for path, parts in found:
+        left = [(text, link) for text, link, marks in parts if gone.isdisjoint(marks)]
+        text = " ".join("".join(t for t, _ in left).split())
+        if text:
+            every.append((path, text))
+            if sum(len("".join(t.split())) for t, link in left if link) <= LINKS * len("".join(text.split())):
+                page.append((path, text))
     if not page:
         return ""
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
@@ -145,15 +166,14 @@ def main_text(html: str, threshold: float = THRESHOLD, cover: float = COVER) ->
         smooth.append(tuple(0.5 * ratios[i][k] + 0.5 * sum(r[k] for r in near) / len(near) for k in (0, 1)))
     fused = {p: a * b * sums[p][2] for p, (a, b) in zip(order, smooth, strict=True)}
     passed = {p for p in order if fused[p] >= threshold * max(fused.values())}
-    total = sum(sums[p][0] for p in passed)
-    votes: dict[tuple[str, ...], float] = defaultdict(float)
-    for p in passed:
-        for depth in range(len(p) + 1):
-            votes[p[:depth]] += sums[p][0]
-    root = max((p for p, v in votes.items() if v >= cover * total), key=len)
-    if root and root[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"):
+    root = tuple(os.path.commonprefix(sorted(passed)))
+    names = [p.split(".")[0] for p in root]
+    around = [i for i, name in enumerate(names) if name in ("article", "main")]
+    if around:
+        root = root[: around[-1] + 1]
+    elif names and names[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"):
         root = root[:-1]
-    return "\n".join(text for path, text in page if path[: len(root)] == root)
+    return "\n".join(text for path, text in every if path[: len(root)] == root)
 
 
 def with_main_text(pages: DataFrame, html: str = "html", name: str = "main_text") -> DataFrame:

@@ -140,6 +140,15 @@ def test_main_text():
     assert html_text.main_text("<" * 3000 + "a'" * 3000) != ""
 
 
+def test_main_text_keeps_the_whole_article():
+    many = "".join(f"<p>Paragraph {i}, with some more words, and an end.</p>" for i in range(40))
+    lines = html_text.main_text(f"<body><article><h1>T</h1><p class=lead>A lead, short.</p><div class=body>{many}<ul><li><a href=x>One reference</a></ul></div></article></body>").split("\n")
+    assert lines[:2] == ["T", "A lead, short."] and lines[-1] == "One reference" and len(lines) == 43
+    for wrapper in ("<div class='content with-sidebar'>", "<div id=social>", "<form action=x>"):
+        page = html_text.main_text(f"<body>{wrapper}{many}<div class=sidebar>Side, bar.</div></div></form></body>")
+        assert len(page.split("\n")) == 40 and "Side" not in page
+
+
 def test_null_pages(spark):
     pages = spark.createDataFrame([(1, None), (2, PAGE), (2, PAGE)], "page_id int, html string")
     assert sorted(len(r["main_text"]) for r in html_text.with_main_text(pages).collect())[0] == 0

@@ -9,6 +9,8 @@ from snapforge.functions.matrix import ordered_rank
 
 #: Multiplier and modulus of the hash, which any SQL engine can compute on whole numbers.
 MULTIPLIER, MODULUS = 2654435761, 4294967296
+#: Ranges of hashes in which a stratum's rows are counted.
+RANGES = 4096
 
 
 def id_hash(key: str) -> Column:
@@ -32,13 +34,16 @@ def expand(counts: DataFrame, name: str) -> DataFrame:
 def sample_strata(rows: DataFrame, counts: DataFrame, stratum: str, key: str) -> DataFrame:
     """The ``count`` rows of each stratum that are least by hash of their id.
 
-    Rows beyond a stratum's share of the hash range can't be chosen, so they are left out before ranking: three
-    times the expected range (and all rows of strata too small for it) is ranked.
+    Rows are counted per stratum and range of hashes; ranges after the one in which the running count reaches
+    ``count`` hold no chosen row, so they are left out before ranking. Equal hashes are ranked by the key, null keys last.
     """
-    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
-    bounds = counts.select(stratum, "count").join(sizes, stratum).withColumn("_bound", F.lit(float(MODULUS)) * (F.col("count") * 3 + 100) / F.col("_size"))
-    drawn = rows.withColumn("_hash", id_hash(key)).join(F.broadcast(bounds), stratum).filter(F.col("_hash") <= F.col("_bound"))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_hash", key))
+    hashed = rows.withColumn("_hash", id_hash(key)).withColumn("_range", F.coalesce(F.floor(F.col("_hash") / (MODULUS // RANGES)), F.lit(RANGES)).cast("long"))
+    sizes = hashed.groupBy(stratum, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.select(stratum, "count")
+    bounds = sizes.withColumn("_before", before).join(wanted, stratum).filter(F.col("_before") < F.col("count")).groupBy(stratum, "count").agg(F.max("_range").alias("_bound"))
+    drawn = hashed.join(F.broadcast(bounds), stratum).filter(F.col("_range") <= F.col("_bound"))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.asc_nulls_last("_hash"), F.asc_nulls_last(key)))
     return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("count")).select(*rows.columns)
 
 

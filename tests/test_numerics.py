@@ -109,6 +109,18 @@ def test_early_stop(spark):
     assert [r["stopped"] for r in found] == [False, False, False, True, True]
 
 
+def test_strata_are_whole_when_hashes_are_alike(spark):
+    same = [((i << 32) + 3, "same") for i in range(400)]  # one hash for all, at 0.85 of the range
+    few = [((i << 32) + i % 3, "few") for i in range(400)]
+    rows = spark.createDataFrame([*same, *few, (None, "tiny"), (7, "tiny")], "key bigint, name string")
+    counts = spark.createDataFrame([("same", 60), ("few", 150), ("tiny", 5), ("none", 3)], "name string, count bigint")
+    found = sampling.sample_strata(rows, counts, "name", "key").collect()
+    by_hash = lambda r: (r[0] * sampling.MULTIPLIER % sampling.MODULUS, r[0])
+    assert {r["key"] for r in found if r["name"] == "same"} == {(i << 32) + 3 for i in range(60)}
+    assert {r["key"] for r in found if r["name"] == "few"} == {r[0] for r in sorted(few, key=by_hash)[:150]}
+    assert len([r for r in found if r["name"] == "tiny"]) == 2
+
+
 def test_locate_prefers_first_name_on_ties(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "id int, x double, y double")
     nodes = spark.createDataFrame([("b", 0.1, 0.0), ("a", -0.1, 0.0)], "boundary string, x double, y double")

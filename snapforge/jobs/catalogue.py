@@ -284,6 +284,14 @@ def locate_boundary(spark, d):
     return mesh.locate_boundary(p.select("vec_id", "x", "y"), nodes, ["x", "y"], 0.02).select("vec_id", "boundary")
 
 
+@query(f"WITH {POINTS}, hits AS (SELECT p.vec_id, min({{'d': sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2), 'b': 'side' || n.label}}) AS best FROM points p JOIN points n "
+       "ON n.label = 0 AND sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2) <= 0.02 GROUP BY p.vec_id) SELECT p.vec_id, best.b AS boundary FROM points p LEFT JOIN hits USING (vec_id)")
+def locate_boundary_label(spark, d):
+    p = points_of(spark, d)
+    nodes = p.filter("label = 0").select(F.concat(F.lit("side"), F.col("label").cast("string")).alias("boundary"), "x", "y")
+    return mesh.locate_boundary(p.select("vec_id", "x", "y"), nodes, ["x", "y"], 0.02).select("vec_id", "boundary")
+
+
 KNN = f"""{POINTS}, near AS (SELECT q.vec_id AS query, p.vec_id AS neighbour, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS distance,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), p.vec_id) AS rank
   FROM points q JOIN points p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id QUALIFY rank <= 8)"""

@@ -1,5 +1,7 @@
 """Decompositions and solvers against NumPy and closed forms."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -121,6 +123,15 @@ def test_strata_are_whole_when_hashes_are_alike(spark):
     assert len([r for r in found if r["name"] == "tiny"]) == 2
 
 
+def test_boundary_nodes_are_taken_whole(spark):
+    from snapforge.jobs import catalogue
+
+    points = catalogue.points_of(spark, "/root/testdata/sf0.001").collect()
+    expected = {p["vec_id"]: "side0" if any(n["label"] == 0 and math.hypot(p["x"] - n["x"], p["y"] - n["y"]) <= 0.02 for n in points) else None for p in points}
+    found = {r["vec_id"]: r["boundary"] for r in catalogue.QUERIES["locate_boundary_label"](spark, "/root/testdata/sf0.001").collect()}
+    assert found == expected and sum(x is not None for x in found.values()) >= sum(p["label"] == 0 for p in points) > 0
+
+
 def test_locate_prefers_first_name_on_ties(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "id int, x double, y double")
     nodes = spark.createDataFrame([("b", 0.1, 0.0), ("a", -0.1, 0.0)], "boundary string, x double, y double")

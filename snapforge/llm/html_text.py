@@ -2,18 +2,21 @@
 
 A page's text falls into blocks, each with the path of block-level tags (with their classes) from the root. For each path
 the text length and the punctuation of its blocks are summed, link text left out. A path's two ratios (characters
-and punctuation marks per block) are smoothed with its neighbours' in page order, fused by multiplication and
-compared with a part of the best path's value. The nearest element around all paths that pass, or an article or main
-element around that, is the content with all of its blocks: headings, short paragraphs and blocks of links included.
-Elements that are no article text by their tag or role take no part, nor do those marked by a word in class or id
-and forms, unless they hold over half of the page's text.
+and punctuation marks per block) are smoothed with its neighbours' in page order and fused by multiplication, with the
+path's number of blocks, its share of text outside of links and its weight. Paths that reach a part of the best
+path's value are content nodes. The nearest element around all of them, or an article or main element around that, is
+the content: all of its blocks stay, but for those under an element of lower weight inside, whose own path must have passed.
+
+Weights come from what HTML says of an element: navigation, footers, asides, forms and the like have a low weight,
+and so has all that lies outside of a page's article or main elements. They shift the comparison of ratios and remove
+nothing by themselves: text in a footer, or outside of an article, is content where its ratios outweigh the rest.
+Only what is never running text (scripts, styles, the head, form controls) takes no part.
 """
 
 from __future__ import annotations
 
-import os
 import re
-from collections import defaultdict
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -22,70 +25,98 @@ from pyspark.sql import functions as F
 
 from snapforge.llm.common import text_of
 
-#: Part of the best path's fused ratio that a path needs.
-THRESHOLD = 0.05
-#: Blocks whose text is mostly links don't count in ratios.
-LINKS = 0.5
-#: Part of the page's text up to which an element marked by class, id or form is left out.
-MARKED = 0.5
+#: Part of the best path's fused ratio that a path needs, and what every content path needs.
+THRESHOLD, LEAST = 0.05, 0.3
+#: Weight of an element that HTML sets apart from the main text, and of all outside of a page's article or main elements.
+APART = 0.001
+#: Weight of an element whose class or id names it as an advert, a notice or the like.
+NAMED = 0.02
 
-# Elements by their meaning in HTML, and words in class or id that mark other parts of a page.
+# Elements by their meaning in HTML; words of class or id names for parts that HTML has no element for.
 RAW = "script style noscript template iframe svg math canvas object audio video textarea title"
-OUTSIDE = "head nav footer aside button select dialog menu map"
+CONTROLS = "head select datalist button map"
+HEAD = "title meta link base style script noscript template"
+ASIDE = "nav footer aside form dialog menu"
+ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar"
+NAMES = "ad ads advert advertisement sponsored sidebar menu footer cookie consent newsletter comment comments disqus"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
-MARKS = ("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-         "footer masthead sidebar aside widget notice cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login comment comments "
-         "disqus reply replies respond share sharing social related recommended form search")
-LAYOUT = "with without has no"
-ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar"
+LEAVES = "p h1 h2 h3 h4 h5 h6 li blockquote pre"
 
-_RAW, _OUTSIDE, _VOID, _INLINE, _MARKS, _ROLES, _LAYOUT = (frozenset(x.split()) for x in (RAW, OUTSIDE, VOID, INLINE, MARKS, ROLES, LAYOUT))
+_RAW, _CONTROLS, _HEAD, _ASIDE, _ROLES, _NAMED, _VOID, _INLINE, _LEAVES = (frozenset(x.split()) for x in (RAW, CONTROLS, HEAD, ASIDE, ROLES, NAMES, VOID, INLINE, LEAVES))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[a-z/!?][^>]*>?", re.IGNORECASE | re.DOTALL)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
-#: What a start tag closes without saying so.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = {"ul", "ol", "dl", "table"}
-
-
-def _outside(tag: str, names: dict[str, str], inside: bool) -> bool:
-    """No article text by tag or role; a header counts as one outside of an article only."""
-    return tag in _OUTSIDE or (tag == "header" and not inside) or names.get("role", "").lower() in _ROLES
-
-
-def _marked(tag: str, names: dict[str, str]) -> bool:
-    """A form, or a word in class or id that marks other parts of a page; names like with-sidebar or has-ads tell of a layout."""
-    if tag in ("html", "body", "article", "main"):
-        return False
-    words = (_WORD.findall(n) for n in (names.get("class", "") + " " + names.get("id", "")).split())
-    return tag == "form" or any(w.lower() in _MARKS for found in words if found and found[0].lower() not in _LAYOUT for w in found)
-
-
-def blocks(html: str) -> list[tuple[tuple[str, ...], list[tuple[str, bool, tuple[int, ...]]]]]:
-    """(path, parts) of each block of text in page order; unclosed tags are closed as browsers do.
-
-    A part is a text, whether it lies within a link, and the numbers of the marked elements around it.
+#: What a start tag closes without saying so, and the elements beyond which it closes nothing.
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_SCOPE = ("ul", "ol", "dl", "table")
+
+
+@dataclass
+class Paths:
+    """The tag paths of one page, numbered so that a path's parent comes before it; path 0 is the empty one."""
+
+    parent: list[int]
+    tag: list[str]
+    weight: list[float]
+    article: list[int]  # the innermost article or main element's path that the path lies in, or -1
+    known: dict[tuple[int, str, str], int]
+
+    def child(self, path: int, tag: str, names: dict[str, str]) -> int:
+        label = " ".join(sorted(names.get("class", "").split()))
+        words = {w.lower() for w in _WORD.findall(names.get("class", "") + " " + names.get("id", ""))}
+        role = names.get("role", "").lower()
+        weight = 1.0
+        if tag not in ("html", "body", "article", "main"):
+            if tag in _ASIDE or role in _ROLES or (tag == "header" and self.article[path] < 0):
+                weight = APART
+            elif not words.isdisjoint(_NAMED):
+                weight = NAMED
+        key = (path, f"{tag} {label}", str(weight))
+        if key not in self.known:
+            self.known[key] = len(self.parent)
+            self.parent.append(path)
+            self.tag.append(tag)
+            self.weight.append(self.weight[path] * weight)
+            self.article.append(self.known[key] if tag in ("article", "main") or role == "main" else self.article[path])
+        return self.known[key]
+
+
+def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The page's paths, and (path, text, characters in links) of each block of text in page order.
+
+    Unclosed tags are closed as browsers do. The work grows in proportion to the page, however deep its tags are nested.
     """
-    found, parts, marked = [], [], 0
-    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = []  # tag, path, whether outside, marked elements
+    paths, found, parts = Paths([-1], [""], [1.0], [-1], {}), [], []
+    tags, at_path, hidden = [""], [0], [False]  # the open elements: tag, path, whether no text
+    where: dict[str, list[int]] = {}  # places of each open tag
+    outer = [0]  # places of open block-level elements
 
     def flush() -> None:
-        if any(not text.isspace() for text, _, _ in parts) and not (stack and stack[-1][2]):
-            found.append((stack[-1][1] if stack else (), parts.copy()))
+        text = " ".join("".join(t for t, _ in parts).split())
+        if text and not hidden[-1]:
+            found.append((at_path[-1], text, sum(len(" ".join(t.split())) for t, link in parts if link)))
         parts.clear()
 
     def pop(at: int) -> None:
-        if any(t[0] not in _INLINE for t in stack[at:]):
+        if outer[-1] >= at:
             flush()
-        del stack[at:]
+        while len(tags) > at:
+            where[tags.pop()].pop()
+            at_path.pop()
+            hidden.pop()
+        while outer[-1] >= at:
+            outer.pop()
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
 
     def add(raw: str) -> None:
-        if raw and not (stack and stack[-1][2]):
-            parts.append((unescape(raw), any(t[0] == "a" for t in stack), stack[-1][3] if stack else ()))
+        if raw and not hidden[-1]:
+            parts.append((unescape(raw), bool(where.get("a"))))
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -94,90 +125,93 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], list[tuple[str, bool, tuple
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if m["end"]:
+            if where.get(tag):
+                pop(where[tag][-1])
+            elif tag not in _INLINE and tag not in _VOID:
+                flush()
+            continue
+        if where.get("head") and tag not in _HEAD:
+            pop(where["head"][-1])
         if tag in _VOID:
-            parts.append((" ", False, ()))
+            parts.append((" ", False))
             if tag == "hr":
                 flush()
             continue
-        if m["end"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
+        if tag not in _INLINE:
+            flush()
+            place = last(_CLOSES.get(tag, ("p",)))
+            if place and place >= (last(_SCOPE) if tag in _CLOSES else outer[-1]):
                 pop(place)
-            elif tag not in _INLINE:
-                flush()
+        names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m["attrs"])} if m["attrs"] else {}
+        if m["attrs"].endswith("/") and tag not in ("p", "div", "span", "b"):
             continue
-        inline = tag in _INLINE
-        if not inline:
-            flush()
-            closes = _CLOSES.get(tag, {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    pop(i)
-                    break
-                if stack[i][0] in _SCOPE or ("p" in closes and stack[i][0] not in _INLINE):
-                    break
-        names = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(m["attrs"])}
-        path, out, around = stack[-1][1:] if stack else ((), False, ())
-        if not inline:
-            path = (*path, tag + "".join("." + c for c in sorted(names.get("class", "").split())))
-        inside = any(t[0] in ("article", "main") for t in stack)
-        if not m["attrs"].endswith("/") or tag in ("p", "div", "span", "b"):
-            if _marked(tag, names):
-                marked += 1
-                around = (*around, marked)
-            stack.append((tag, path, out or _outside(tag, names, inside), around))
+        where.setdefault(tag, []).append(len(tags))
+        if tag in _INLINE:
+            at_path.append(at_path[-1])
+        else:
+            outer.append(len(tags))
+            at_path.append(paths.child(at_path[-1], tag, names))
+        tags.append(tag)
+        hidden.append(hidden[-1] or tag in _CONTROLS)
     add(html[at:])
     flush()
-    return found
+    return paths, found
 
 
-def main_text(html: str, threshold: float = THRESHOLD) -> str:
-    """The content blocks, one line each."""
-    found = blocks(html)
-    size, held = 0, defaultdict(int)
-    for _, parts in found:
-        for text, _, marks in parts:
-            n = len("".join(text.split()))
-            size += n
-            for m in marks:
-                held[m] += n
-    gone = {m for m, n in held.items() if n <= MARKED * size}
-    every, page = [], []
-    for path, parts in found:
-        left = [(text, link) for text, link, marks in parts if gone.isdisjoint(marks)]
-        text = " ".join("".join(t for t, _ in left).split())
-        if text:
-            every.append((path, text))
-            if sum(len("".join(t.split())) for t, link in left if link) <= LINKS * len("".join(text.split())):
-                page.append((path, text))
-    if not page:
-        return ""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for path, text in page:
-        s = sums[path]
-        s[0] += len(text)
-        s[1] += len(_PUNCT.findall(text))
+def fused_ratios(paths: Paths, found: list[tuple[int, str, int]]) -> dict[int, float]:
+    """Each path's value, from its ratios and its neighbours', in page order."""
+    sums: dict[int, list[float]] = {}
+    for path, text, linked in found:
+        s = sums.setdefault(path, [0.0, 0.0, 0.0, 0.0])
+        s[0] += len(text) - linked
+        s[1] += len(_PUNCT.findall(text)) * (len(text) - linked) / len(text)
         s[2] += 1
+        s[3] += len(text)
     order = list(sums)
-    ratios = [(sums[p][0] / sums[p][2], (sums[p][1] + 1) / sums[p][2]) for p in order]
-    smooth = []
-    for i in range(len(order)):
+    ratios = [(sums[p][0] / sums[p][2], (sums[p][1] + 0.5) / sums[p][2]) for p in order]
+    inside = any(paths.article[p] >= 0 for p in range(len(paths.parent)))
+    out = {}
+    for i, p in enumerate(order):
         near = ratios[max(0, i - 1) : i + 2]
-        smooth.append(tuple(0.5 * ratios[i][k] + 0.5 * sum(r[k] for r in near) / len(near) for k in (0, 1)))
-    fused = {p: a * b * sums[p][2] for p, (a, b) in zip(order, smooth, strict=True)}
-    passed = {p for p in order if fused[p] >= threshold * max(fused.values())}
-    root = tuple(os.path.commonprefix(sorted(passed)))
-    names = [p.split(".")[0] for p in root]
-    around = [i for i, name in enumerate(names) if name in ("article", "main")]
-    if around:
-        root = root[: around[-1] + 1]
-    elif names and names[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"):
-        root = root[:-1]
-    return "\n".join(text for path, text in every if path[: len(root)] == root)
+        length, marks = (0.5 * ratios[i][k] + 0.5 * sum(r[k] for r in near) / len(near) for k in (0, 1))
+        weight = APART if inside and paths.article[p] < 0 else max(paths.weight[p], APART)
+        out[p] = length * marks * sums[p][2] * sums[p][0] / sums[p][3] * weight
+    return out
+
+
+def main_text(html: str, threshold: float = THRESHOLD, least: float = LEAST) -> str:
+    """The content blocks, one line each."""
+    paths, found = blocks(html)
+    if not found:
+        return ""
+    fused = fused_ratios(paths, found)
+    bound = max(threshold * max(fused.values()), least)
+    passed = {p for p, value in fused.items() if value >= bound}
+    if not passed:
+        return ""
+    held = [0] * len(paths.parent)
+    for p in passed:
+        held[p] = 1
+    for p in range(len(held) - 1, 0, -1):
+        held[paths.parent[p]] += held[p]
+    root = max(p for p, n in enumerate(held) if n == len(passed))  # the deepest path around all that passed
+    if paths.article[root] >= 0:
+        root = paths.article[root]
+    elif paths.tag[root] in _LEAVES:
+        root = paths.parent[root]
+    within = [p == root for p in range(len(held))]
+    for p in range(root + 1, len(held)):
+        within[p] = within[paths.parent[p]]
+    return "\n".join(text for p, text, _ in found if within[p] and (p in passed or paths.weight[p] == paths.weight[root]))
 
 
 def with_main_text(pages: DataFrame, html: str = "html", name: str = "main_text") -> DataFrame:
-    """Add the main text of the whole page; a null or empty page has the empty text."""
+    """Add the main text of the whole page; a null or empty page has the empty text.
+
+    Each row is read by itself, so repeated rows have equal results, and an empty table gives an empty result. A column
+    called ``name`` is replaced; others stay.
+    """
 
     @F.arrow_udf("string")
     def extract(pages: pa.Array) -> pa.Array:

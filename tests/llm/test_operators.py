@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -149,9 +152,48 @@ def test_main_text_keeps_the_whole_article():
         assert len(page.split("\n")) == 40 and "Side" not in page
 
 
-def test_null_pages(spark):
-    pages = spark.createDataFrame([(1, None), (2, PAGE), (2, PAGE)], "page_id int, html string")
-    assert sorted(len(r["main_text"]) for r in html_text.with_main_text(pages).collect())[0] == 0
+def article_of(html):
+    """The reference for the given pages: their article element, cut at block tags by hand."""
+    inner = re.search(r"<article>(.*?)</article>", html, re.DOTALL)
+    lines = re.split(r"</?(?:p|h1|div|ul|li)>", re.sub(r"<br>|<hr>", " ", inner[1])) if inner else []
+    plain = (" ".join(unescape(re.sub(r"</?b>", "", x)).split()) for x in lines)
+    return "\n".join(x for x in plain if x)
+
+
+def test_main_text_of_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(pages) > 200
+    assert [html_text.main_text(p["html"]) for p in pages] == [article_of(p["html"]) for p in pages]
+
+
+def test_ratios_decide_without_articles(monkeypatch):
+    """Pages of div elements alone, whose names say nothing: only lengths, punctuation and links tell text from the rest."""
+    monkeypatch.setattr(html_text, "_NAMED", frozenset())
+    body = "".join(f"<p>Paragraph {i}, with some more words, and an end.</p>" for i in range(12))
+    page = f"<body><div class=x1><a href=a>Home</a> <a href=b>News</a></div><div class=x2>Buy now</div><div class=x3><div class=x4>{body}</div></div><div class=x5>All rights reserved</div></body>"
+    text = html_text.main_text(page).split("\n")
+    assert len(text) == 12 and len(html_text.blocks(page)[1]) == 15
+    assert html_text.main_text(f"<footer>{body * 20}</footer><main><p>Skip</p></main>").startswith("Paragraph 0")
+
+
+def test_deep_pages_take_no_longer():
+    n = 10_000
+    began = time.process_time()
+    assert html_text.main_text("<div>" * n + "A text, here.") == "A text, here."
+    assert html_text.main_text("<div><p>x, y.<b>" * n).count("\n") == n - 1
+    html_text.main_text("<li><ul>" + "<div>" * n + "<li>a</li>" * n + "</z>" * n)
+    assert time.process_time() - began < 10
+
+
+def test_pages_with_nulls_repeats_and_clashing_columns(spark):
+    rows = [(1, None, "a"), (2, PAGE, "b"), (2, PAGE, "b"), (None, "", "c"), (3, "<article>" + "<p>Long, text.</p>" * 20_000, None)]
+    pages = spark.createDataFrame(rows, "page_id int, html string, TEXT string")
+    found = html_text.with_main_text(pages).collect()
+    assert sorted(len(r["main_text"]) for r in found)[:2] == [0, 0]
+    assert len({r["main_text"] for r in found if r["page_id"] == 2}) == 1
+    assert [r["main_text"].count("\n") for r in found if r["page_id"] == 3] == [19_999]
+    assert html_text.with_main_text(pages, name="text").columns == ["page_id", "html", "text"]
+    assert html_text.with_main_text(pages.limit(0)).count() == 0
 
 
 # 6

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import BROADCAST_ROWS, join_hot, maybe_broadcast, text_of, write_table
+from snapforge.llm.common import join_hot, text_of, write_table
 from snapforge.llm.components import connected_components
 
 BITS = 64
@@ -134,12 +134,12 @@ def plan(values: DataFrame, tau: int, layouts: Sequence[int] = (2, 3)) -> list[t
     """(threshold, bits) of each partition to probe, for the cheapest layout.
 
     Pairs that agree on a whole partition are counted exactly, over all fingerprints; pairs at one or two more
-    bits follow from the bits' own frequencies.
+    bits follow from the bits' own frequencies. At ``tau`` 0 all bits are one partition.
     """
     n, both = bit_counts(values)
     if n < 2:
         return []
-    layouts = [m for m in layouts if m <= tau + 1]
+    layouts = [m for m in layouts if m <= tau + 1] or [1]
     parts = [(m, bits) for m in layouts for bits in group_bits(n, both, m)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("key")) for i, (_, bits) in enumerate(parts)]))
     sizes = values.select(keys.alias("k")).groupBy("k.part", "k.key").agg(F.count(F.lit(1)).alias("n"))
@@ -236,17 +236,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2, bucket: int
     return join_hot(prints, write_table(classes, "simhash-classes"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_near(docs: DataFrame, shingle: int = 3, tau: int = 2, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of ``docs`` (with all columns) but those that reach a smaller doc_id over links.
-
-    doc_id is taken as a key here; rows with a null one stay. Dropped ids are broadcast while they number at most
-    ``limit``; beyond that the join is shuffled.
-    """
-    found = near_duplicates(docs, shingle, tau)
-    gone = write_table(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near")
-    return docs.join(maybe_broadcast(gone, gone.count(), limit), "doc_id", "left_anti").select(*docs.columns)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

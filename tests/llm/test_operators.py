@@ -267,7 +267,22 @@ def test_near_duplicates_edge_cases(docs, empty):
     assert {c for (i, f), c in by.items() if f == 0} == {0}
     assert all(c is not None for (i, f), c in by.items() if i is not None)
     assert simhash.near_duplicates(empty).count() == 0
-    assert set(simhash.keep_one_of_near(docs).columns) == set(docs.columns)
+
+
+@pytest.mark.parametrize("tau", [0, 1])
+def test_links_at_small_radii(spark, tau):
+    values = spark.createDataFrame([(x,) for x in (0, 1, 3, 1 << 40, -1)], "fp bigint")
+    found = {(r["a"], r["b"]) for r in simhash.links(values, tau).collect()}
+    assert found == (set() if tau == 0 else {(0, 1), (1, 3), (0, 1 << 40)})
+
+
+def test_components_of_a_path_with_rising_and_falling_ids(spark):
+    ids = [*range(0, 1000, 2), *range(999, 0, -2)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    found = components.connected_components(edges, rounds=14).collect()
+    assert len(found) == 1000 and {r["component"] for r in found} == {0}
+    with pytest.raises(RuntimeError):
+        components.connected_components(edges, rounds=3)
 
 
 def jaccard_components(texts):
@@ -281,9 +296,8 @@ def jaccard_components(texts):
     return label
 
 
-@pytest.mark.parametrize("bucket, hubs, rounds", [(32, 16, 6), (2, 1, 1)])
-def test_near_copies_are_those_of_all_pairs(spark, bucket, hubs, rounds):
-    r = random.Random(5)
+def near_texts(seed):
+    r = random.Random(seed)
     word = lambda: "w" + str(r.randrange(900))
     texts, at = {}, 0
     for size, copies, edits in [(200, 6, 3), (200, 6, 6), (60, 5, 1), (120, 40, 4), (7, 3, 1), (2, 2, 0), (90, 5, 20)]:
@@ -298,23 +312,47 @@ def test_near_copies_are_those_of_all_pairs(spark, bucket, hubs, rounds):
     for _ in range(3):  # one passage, repeated more than the rest, isn't a copy
         texts[at] = (passage + " ") * 60 + " ".join(word() for _ in range(100))
         at += 1
-    expected = jaccard_components(texts)
-    docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id bigint, text string")
-    found = {r["node"]: r["component"] for r in near_copies.near_copies(docs, bucket, hubs, rounds).collect()}
-    assert {i: found.get(i, i) for i in texts} == expected
-    kept = [r["doc_id"] for r in near_copies.keep_one_of_near(docs).collect()]
-    assert sorted(i for i in kept if i is not None) == sorted(set(expected.values())) and None in kept
-
+    return texts
 
-def test_pipeline_drops_edited_copies(spark, docs, empty):
-    import corpus_pipeline
 
-    words = ["w" + str(i) for i in range(200)]
-    near = [*words[:60], "new", *words[61:130], "other", *words[131:]]
-    pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id bigint, text string")
-    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, pair, "").collect()] == [1]
-    assert corpus_pipeline.drop_near_copies(spark, empty, "").count() == 0
-    assert corpus_pipeline.drop_near_copies(spark, docs, "").columns == docs.columns
+@pytest.mark.parametrize("bucket, hubs, rounds", [(32, 16, 6), (2, 1, 1)])
+def test_near_copies_are_those_of_all_pairs(spark, bucket, hubs, rounds):
+    texts = near_texts(5)
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0])], "doc_id bigint, text string")
+    kept = [r["doc_id"] for r in near_copies.keep_one_of_near(docs, bucket=bucket, hubs=hubs, rounds=rounds).collect()]
+    assert sorted(kept) == sorted(set(jaccard_components(texts).values()))
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_near_copies_with_repeated_ids_and_clashing_columns(spark, limit):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long + " end", "a"), (2, long, "b"), (2, "another text with words of its own", "c"), (3, "x y", "d"), (3, "x y", "d"), (None, long, "e"), (5, None, "f"), (6, "", "g"), (7, "  ", "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, NODE string").withColumn("_id", F.lit(1)).withColumn("_hash", F.lit(2)).withColumn("count", F.lit(3))
+    found = near_copies.keep_one_of_near(docs, limit)
+    assert found.columns == docs.columns
+    assert sorted(r["NODE"] for r in found.collect()) == ["a", "c", "d", "d", "f"]
+    assert near_copies.keep_one_of_near(docs.limit(0), limit).count() == 0
+
+
+def test_recall_of_blocks_at_the_limit():
+    """Pairs at a similarity of just 0.8 or more share a block key with a probability over 0.99, at every length."""
+    r = np.random.default_rng(3)
+    for n in (5, 9, 15, 25, 63, 64, 200, 1000, 20_000):
+        met = 0
+        for _ in range(100):
+            union = round(n / 0.9)
+            common = -(-4 * union // 5)
+            half = (union - common) // 2
+            hashes = r.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, union, dtype=np.uint64)
+            a, b = (near_copies.block_keys(np.sort(x))[1].tolist() for x in (hashes[: common + half], np.delete(hashes, slice(common, common + half))))
+            met += not set(a).isdisjoint(b)
+        assert met >= 97, n
+
+
+def test_thresholds_spare_costly_blocks(spark):
+    rows = spark.createDataFrame([(0, 1)] * 3000 + [(b, i) for b in range(1, 16) for i in range(3)], "block int, key bigint")
+    found = near_copies.thresholds(rows)
+    assert found[0] == -1 and sum(found) == 0 and len(found) == near_copies.BLOCKS
 
 
 # 8

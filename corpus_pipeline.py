@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapforge.llm import exact_dedup, near_copies, packing, toxicity
-from snapforge.llm.common import write_table
+from snapforge.llm.common import free_name, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score says that they are rather not toxic."""
     model = toxicity.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_toxicity(docs, model, name="toxicity").filter("toxicity < 0.5").drop("toxicity")
+    score = free_name(docs, "toxicity")
+    return toxicity.with_toxicity(docs, model, name=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more (five-word shingles)."""
+    """One document of each group linked by SimHash candidates with a Jaccard similarity of 0.8 or more (five-word shingles)."""
     return near_copies.keep_one_of_near(docs)
 
 

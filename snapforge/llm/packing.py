@@ -54,8 +54,8 @@ class WordEncoder:
 
     Words of plain characters are merged by tiktoken over the same vocabulary, many times faster for short strings
     than a call of the tokenizer: with the end of a word as a byte of its own, the vocabulary's ids are ranks in
-    the order of its merges. All other words, and all words where ids don't follow the merges, are left to the
-    tokenizer itself.
+    the order of its merges. All other words, those that hold an added token (which has an id of its own wherever it
+    occurs in a text), and all words where ids don't follow the merges, are left to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -63,10 +63,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
+        self.added = [token["content"] for token in whole["added_tokens"]]
         model, splits = whole["model"], whole["pre_tokenizer"]["pretokenizers"]
         pairs = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
         vocab, end, chars = model["vocab"], model["end_of_word_suffix"], _byte_chars()
@@ -90,7 +90,7 @@ class WordEncoder:
         rest = []
         for raw in words:
             word = raw.decode("utf-8", "replace")
-            if self.plain and max(word) < PLAIN:
+            if self.plain and max(word) < PLAIN and not any(token in word for token in self.added):
                 self.known[raw] = self.encode_plain(word)
             else:
                 rest.append((raw, word))

@@ -395,7 +395,6 @@ def test_exact_dedup_keeps_columns_and_takes_empty_tables(docs, empty):
 
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     found = packing.pack(docs.coalesce(2), WORDS).toPandas()
     for i, t in text_by_id(docs.filter("doc_id <> 3")):
         ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
@@ -411,9 +410,9 @@ def test_packing(docs, empty):
 
 def test_word_encoder_equals_tokenizer():
     tokenizer, encoder, r = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS), random.Random(3)
-    tokenizer.encode_special_tokens = True
-    parts = ["ab", "The", "ing", "é", "Ñ", "tion", "ß", "İ", "Σ", "e\u0301", "0", ".", "***", "日", "½", "\x1c", "'s", "\u2003", "<|endoftext|>"]
-    for _ in range(1500):
+    parts = ["ab", "The", "ing", "é", "Ñ", "tion", "ß", "İ", "Σ", "e\u0301", "0", ".", "***", "日", "½", "\x1c", "'s", "\u2003", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|"]
+    assert encoder.encode("a<|endoftext|>b") == np.array([320, 49407, 321], "<u4").tobytes()
+    for _ in range(5000):
         t = " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for _ in range(8))
         assert encoder.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 

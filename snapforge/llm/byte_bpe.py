@@ -136,7 +136,9 @@ class ByteBPE:
         return out + self.encode(group)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of all ids; ids outside the vocabulary are an error."""
+        """The bytes of all ids; ids outside the vocabulary, negative ones too, are an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
+            raise ValueError(f"ids must lie in 0 .. {len(self.tokens) - 1}, found {ids.min()} .. {ids.max()}")
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
@@ -159,14 +161,14 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", name: str = "ids")
 
 
 def with_decoded(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """Add the bytes that ``ids`` stand for; null ids stand for none."""
+    """Add the bytes that ``ids`` stand for; a null list, and a null in a list, stand for none."""
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         return pa.array([bpe(path).decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
-    return df.withColumn(name, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+    return df.withColumn(name, decode(F.coalesce(F.array_compact(F.col(ids)), F.array().cast("array<int>"))))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

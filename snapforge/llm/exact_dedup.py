@@ -70,9 +70,9 @@ def run_stream(spark: SparkSession, path: str, schema: StructType, checkpoint: s
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def winners(spark: SparkSession, updates: str) -> DataFrame:
-    """digest, best, n as of the last batch: the best row only improves and the count only grows."""
-    schema = "digest binary, best struct<shorter:int, doc_id:bigint, locator:struct<file:string, row:bigint>>, n bigint, batch bigint"
+def winners(spark: SparkSession, updates: str, kind: str = "bigint") -> DataFrame:
+    """digest, best, n as of the last batch: the best row only improves and the count only grows. ``kind`` is doc_id's type."""
+    schema = f"digest binary, best struct<shorter:int, doc_id:{kind}, locator:struct<file:string, row:bigint>>, n bigint, batch bigint"
     found = spark.read.schema(schema).option("basePath", updates).parquet(updates)
     return found.groupBy("digest").agg(F.min("best").alias("best"), F.max("n").alias("n"))
 
@@ -90,16 +90,16 @@ def deduplicate(spark: SparkSession, path: str, schema: StructType, digest: Call
 
     Texts are equal when the same after white space is deleted; null counts as empty, so null, empty and blank
     texts are one group. The row with the most code points stays, then the smallest doc_id (null first), then the
-    first in the store, so of repeated rows exactly one is kept. Empty tables give an empty result; other
-    columns are ignored.
+    first in the store, so of repeated rows exactly one is kept. doc_id may have any type that has an order. Empty tables
+    give an empty result; other columns are ignored.
     """
     folder = checkpoint or new_folder(spark, "dedup")
     updates = f"{folder}/updates"
-    store = spark.read.schema(schema).parquet(path)
+    store, kind = spark.read.schema(schema).parquet(path), schema["doc_id"].dataType.simpleString()
     if store.isEmpty():
-        return spark.createDataFrame([], "doc_id bigint, locator struct<file:string, row:bigint>, digest binary, keep_id bigint, group_size bigint, kept boolean")
+        return spark.createDataFrame([], f"doc_id {kind}, locator struct<file:string, row:bigint>, digest binary, keep_id {kind}, group_size bigint, kept boolean")
     run_stream(spark, path, schema, f"{folder}/state", updates, digest, max_bytes)
-    best = write_table(winners(spark, updates), "winners")
+    best = write_table(winners(spark, updates, kind), "winners")
     hits = best.filter(F.col("n") > 1)
     n_hits = hits.count()
     groups = best.select("digest", F.col("best").alias("keep"), F.col("n").alias("group_size"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import write_table
+from snapforge.llm.common import join_hot, write_table
 
 #: Host, path and verdict, as in the contract of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -71,16 +71,16 @@ def prior_strength(groups: DataFrame) -> float:
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """host, rate, lower and verdict of every host of ``pages`` (page_id, host).
+    """host, pages (how many), rate, lower and verdict of every host of ``pages`` (page_id, host).
 
     Pages are counted by host within each task first, so a host with a third of all pages is a row per task.
     """
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("k"))
-    outcomes = pages.join(known, "page_id").select("host", F.lit(1).alias("n"), "k")
-    every = pages.select("host", F.lit(0).alias("n"), F.lit(0).alias("k")).unionByName(outcomes)
-    counts = every.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("k").cast("double").alias("k"))
-    hosts = write_table(counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k"), "hosts")
+    outcomes = pages.join(known, "page_id").select("host", F.lit(1).alias("n"), "k", F.lit(0).alias("pages"))
+    every = pages.select("host", F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(1).alias("pages")).unionByName(outcomes)
+    counts = every.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("k").cast("double").alias("k"), F.sum("pages").alias("pages"))
+    hosts = write_table(counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k", "pages"), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     overall = ((total["k"] or 0.0) + 0.5) / ((total["n"] or 0.0) + 1.0)
 
@@ -92,12 +92,12 @@ def host_reputation(pages: DataFrame, labels: DataFrame, threshold: float = THRE
     suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("p", F.lit(overall))
     domains = hosts.groupBy("domain", "suffix").agg(*sums).join(shrunk(suffixes, "suffix"), "suffix")
     domains = write_table(domains, "domains")
-    groups = write_table(hosts.select("host", "domain", "n", "k").join(shrunk(domains, "domain"), "domain"), "host-groups")
+    groups = write_table(hosts.select("host", "domain", "n", "k", "pages").join(shrunk(domains, "domain"), "domain"), "host-groups")
     s = prior_strength(groups)
     rate = (F.col("k") + F.lit(s) * F.col("p")) / (F.col("n") + F.lit(s))
     lower = F.col("rate") - F.lit(z) * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(s + 1)))
-    found = groups.select("host", rate.alias("rate"), "n").withColumn("lower", lower)
-    return found.select("host", "rate", "lower", F.when(F.col("lower") > threshold, "block").otherwise("allow").alias("verdict"))
+    found = groups.select("host", "pages", rate.alias("rate"), "n").withColumn("lower", lower)
+    return found.select("host", "pages", "rate", "lower", F.when(F.col("lower") > threshold, "block").otherwise("allow").alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -108,9 +108,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     has the even prior, whose lower bound is under the threshold, so only rules block. Other columns are ignored.
     """
     rows = pages.select("page_id", url_host().alias("host"), url_path().alias("path"))
-    reputation = host_reputation(rows.select("page_id", "host"), labels, threshold).select("host", F.col("verdict").alias("by_host"))
+    reputation = write_table(host_reputation(rows.select("page_id", "host"), labels, threshold).select("host", "pages", F.col("verdict").alias("by_host")), "reputation")
     rule = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = rows.withColumn("rule", rule).join(reputation, "host", "left")
+    judged = join_hot(rows.withColumn("rule", rule), reputation, "host", "pages")  # every host has a row
     verdict = F.col("by_host")
     for name, decision in rules:
         verdict = F.when(F.col("rule") == name, F.lit(decision)).otherwise(verdict)

@@ -59,6 +59,16 @@ def test_bpe_on_random_texts():
         assert np.frombuffer(ids, "<i4").tolist() == encoding.encode_ordinary(t)
 
 
+def test_bpe_refuses_ids_outside_the_vocabulary(spark):
+    model = byte_bpe.ByteBPE(RANKS)
+    for bad in (-1, len(model.tokens)):
+        with pytest.raises(ValueError, match="must lie"):
+            model.decode(np.array([0, bad]))
+    lists = spark.createDataFrame([([1, None, 2],), (None,), ([],)], "ids array<int>")
+    found = [bytes(r["decoded"]) for r in byte_bpe.with_decoded(lists, RANKS).collect()]
+    assert found == [model.decode(np.array([1, 2])), b"", b""]
+
+
 def test_bpe_needs_whole_vocabularies():
     with pytest.raises(ValueError, match="gaps"):
         byte_bpe.serialise_model({b"a": 1})
@@ -209,6 +219,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_urls_with_repeats_hot_hosts_and_clashing_columns(spark):
+    rows = [(i % 40, f"x://hot.net/{i % 40}") for i in range(3000)] + [(100 + i, f"x://h{i}.net/") for i in range(50)] + [(None, None), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string").withColumn("HOST", F.lit("c")).withColumn("pages", F.lit(1)).withColumn("verdict", F.lit("v"))
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(40)] + [(None, 0, 1)], "doc_id int, quality int, toxic int")
+    found = url_filter.judge_urls(pages, labels).collect()
+    assert len(found) == len(rows)
+    assert {r["verdict"] for r in found if r["host"] == "hot.net"} == {"block"}
+    assert sum(r["host"] == "" for r in found) == 2
+
+
 def test_reputation_needs_evidence(spark):
     pages = spark.createDataFrame([(i, f"x://bad{i % 2}.net/p") for i in range(200)] + [(200 + i, f"x://good{i}.net/p") for i in range(200)], "page_id int, url string")
     labels = spark.createDataFrame([(i, 0 if i < 200 else 1, 0) for i in range(400)], "doc_id int, quality int, toxic int")
@@ -384,6 +404,12 @@ def test_exact_dedup_goes_on_with_new_files(spark, docs, tmp_path):
     check_groups(found, text_by_id(spark.read.parquet(path)))
 
 
+def test_exact_dedup_of_text_ids(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "x  y"), ("c", "xy"), (None, "z")], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in exact_dedup.keep_first(docs).collect()) == ["None", "a"]
+    assert exact_dedup.keep_first(docs.limit(0)).count() == 0
+
+
 def test_exact_dedup_keeps_columns_and_takes_empty_tables(docs, empty):
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it has none (tests, local mode)."""
+    """The session's ``spark.checkpoint.dir``, which the driver and all executors see.
+
+    Only a session in local mode may have none (tests): a temporary folder takes its place. On a cluster that is an error,
+    since executors wouldn't see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="snapforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
+
+    The schema is handed over, so that an empty result can be read too.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

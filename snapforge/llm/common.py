@@ -1,41 +1,16 @@
-"""Shared folder, written tables and size-checked broadcasts for the jobs of this package."""
+"""Texts, free names and size-checked broadcasts for the jobs of this package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a semi or anti join may broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 100_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, local mode) a temporary folder takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="snapforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from snapforge.sources.folders import new_folder, shared_folder, write_table
 
+__all__ = ["BROADCAST_ROWS", "free_name", "join_hot", "maybe_broadcast", "new_folder", "shared_folder", "text_of", "write_table"]
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
-
-    The schema is handed over, so that an empty result can be read too.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that a semi or anti join may broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def text_of(column: str | Column) -> Column:

@@ -31,20 +31,34 @@ def rollout(rows: DataFrame, series: str, order: list[str], error: str, gamma: f
     return rows.withColumn("_step", step).agg(F.avg(F.pow(F.lit(gamma), F.col("_step")) * F.col(error)).alias("loss"))
 
 
-def early_stop(history: DataFrame, epoch: str, loss: str, patience: int, min_delta: float = 0.0, warmup: int = 0) -> DataFrame:
+def early_stop(history: DataFrame, epoch: str, loss: str, patience: int, min_delta: float = 0.0, warmup: int = 0, mode: str = "min") -> DataFrame:
     """(epoch, loss, best, wait, stopped) of a metric's history, one row per epoch.
 
-    ``best`` is the running minimum; an epoch is better when it undercuts the best before by more than
-    ``min_delta``. ``wait`` counts epochs since the last better one, from ``warmup`` on; the history has stopped
-    once it reaches ``patience``.
+    An epoch is better when its metric undercuts (mode ``max``: exceeds) the last accepted best by more than ``min_delta``;
+    only then it becomes ``best``. ``wait`` counts epochs since the last better one, from ``warmup`` on, and a
+    history has stopped once that reaches ``patience``. What is best depends on what was accepted before, so it is a fold
+    over the history, which is one number per epoch. A null or NaN metric is never better.
     """
-    back = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = history.withColumn("_low", F.min(loss).over(back)).withColumn("_n", F.row_number().over(Window.orderBy(epoch)) - 1)
-    h = h.withColumn("_better", F.col("_low").isNull() | (F.col(loss) < F.col("_low") - min_delta))
-    h = h.withColumn("_last", F.max(F.when(F.col("_better"), F.col("_n"))).over(upto)).withColumn("best", F.min(loss).over(upto))
-    h = h.withColumn("wait", F.greatest(F.col("_n") - F.greatest("_last", F.lit(warmup - 1)), F.lit(0)).cast("long"))
-    return h.withColumn("stopped", F.max((F.col("wait") >= patience).cast("int")).over(upto) == 1).select(epoch, loss, "best", "wait", "stopped")
+    if mode not in ("min", "max"):
+        raise ValueError("mode must be min or max")
+    sign = 1.0 if mode == "min" else -1.0
+    step = F.struct(F.col(epoch).alias("epoch"), F.col(loss).cast("double").alias("loss"))
+    ordered = history.agg(F.array_sort(F.collect_list(step)).alias("h"))
+    nothing = F.lit(None).cast("double")
+    start = F.struct(nothing.alias("best"), F.lit(-1).alias("last"), F.lit(-1).alias("n"), F.lit(False).alias("stopped"), F.array().cast("array<struct<best:double,wait:bigint,stopped:boolean>>").alias("out"))
+
+    def fold(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        better = F.coalesce(~F.isnan(x["loss"]) & (s["best"].isNull() | (sign * x["loss"] < sign * s["best"] - min_delta)), F.lit(False))
+        best, last = F.when(better, x["loss"]).otherwise(s["best"]), F.when(better, n).otherwise(s["last"])
+        wait = F.greatest(n - F.greatest(last, F.lit(warmup - 1)), F.lit(0)).cast("long")
+        stopped = s["stopped"] | (wait >= patience)
+        row = F.struct(best.alias("best"), wait.alias("wait"), stopped.alias("stopped"))
+        return F.struct(best.alias("best"), last.alias("last"), n.alias("n"), stopped.alias("stopped"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    kind = history.schema
+    folded = ordered.select(F.explode(F.arrays_zip(F.col("h"), F.aggregate("h", start, fold, lambda s: s["out"]).alias("out"))).alias("r"))
+    return folded.select(F.col("r.h.epoch").cast(kind[epoch].dataType).alias(epoch), F.col("r.h.loss").cast(kind[loss].dataType).alias(loss), "r.out.best", "r.out.wait", "r.out.stopped")
 
 
 def one_step_fit(rows: DataFrame, series: str, order: list[str], value: str) -> DataFrame:

@@ -37,8 +37,15 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(right, F.col("j") == F.col("inner")).groupBy("i", F.col("col").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-def low_rank_apply(left: DataFrame, right: DataFrame, x: DataFrame) -> DataFrame:
-    """L (R^T x), the small inner product first, so L R^T never exists."""
+def low_rank_apply(left: DataFrame, right: DataFrame, x: DataFrame, check: bool = True) -> DataFrame:
+    """L (R^T x), the small inner product first, so L R^T never exists.
+
+    Both factors must have the same number of columns (the highest index that occurs is compared; ``check`` reads them for that).
+    """
+    if check:
+        widths = [(f.agg(F.max("j").alias("j")).first()["j"] or 0) + 1 for f in (left, right)]
+        if widths[0] != widths[1]:
+            raise ValueError(f"low-rank factors must have the same number of columns, not {widths[0]} and {widths[1]}")
     return matmul(left, matmul(transpose(right), x))
 
 
@@ -120,14 +127,24 @@ def distinct_rounded(rows: DataFrame, columns: list[str], order: str, decimals:
     return rows.groupBy(*keys).agg(first).select("row.*")
 
 
-def ordered_rank(rows: DataFrame, key: Column, span: int, order: list[str], buckets: int = 1024) -> DataFrame:
-    """Add ``rank``, 1, 2, ... over all rows by ``key`` (a whole number in [0, span)) and then ``order``.
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, or a variant of it that no column of ``rows`` bears (Spark compares names without case)."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ordered_rank(rows: DataFrame, key: Column, span: int, order: list[str], buckets: int = 1024, name: str = "rank") -> DataFrame:
+    """Add ``name``, 1, 2, ... over all rows by ``key`` (a whole number in [0, span), null first) and then ``order``.
 
     Buckets of the key's range are ranked by themselves and moved up by the counts of those before, a table of at
-    most ``buckets`` rows, so no task sees all rows.
+    most ``buckets`` + 1 rows, so no task sees all rows. A column called ``name`` is replaced.
     """
-    rows = rows.withColumn("_key", key).withColumn("_bucket", F.floor(F.col("_key") * buckets / span).cast("int"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("_bucket").count().select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *order)))
-    return ranked.join(F.broadcast(first), "_bucket").withColumn("rank", F.col("rank") + F.col("_first")).drop("_key", "_bucket", "_first")
+    k, bucket, first, n = (free_name(rows, x) for x in ("_key", "_bucket", "_first", "_n"))
+    rows = rows.withColumn(k, key).withColumn(bucket, F.coalesce(F.floor(F.col(k) * buckets / span), F.lit(-1)).cast("int"))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias(n))
+    firsts = counts.select(bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(bucket).orderBy(k, *order)))
+    return ranked.join(F.broadcast(firsts), bucket).withColumn(name, F.col(name) + F.col(first)).drop(k, bucket, first)

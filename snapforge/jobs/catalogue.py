@@ -450,7 +450,7 @@ def boundary_sets(spark, d):
     return points.unionByName(cells_).distinct()
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_totalprice, o_orderkey % 64 AS run FROM orders),
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, ((o_orderkey::HUGEINT * 2654435761) % 4294967296) % 4096 AS run FROM orders),
 c AS (SELECT o_orderkey, o_totalprice, coalesce(sum(o_totalprice) OVER (ORDER BY run, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(o_totalprice) OVER () AS whole FROM o),
 r AS (SELECT o_orderkey, ceil(round(before * 500 / whole, 9) - 0.5)::BIGINT AS first, ceil(round((before + o_totalprice) * 500 / whole, 9) - 0.5)::BIGINT - 1 AS last FROM c)
 SELECT o_orderkey, unnest(range(first, last + 1)) AS sample FROM r WHERE last >= first""")

@@ -7,11 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Topological dimension of each cell type.
-TOPOLOGICAL_DIMENSION = {
-    "vertex": 0, "line": 1, "line3": 1, "triangle": 2, "triangle6": 2, "quad": 2, "quad8": 2, "quad9": 2,
-    "tetra": 3, "tetra10": 3, "hexahedron": 3, "hexahedron20": 3, "hexahedron27": 3, "wedge": 3, "wedge15": 3, "pyramid": 3, "pyramid13": 3,
-}
+from snapforge.functions.matrix import free_name
+from snapforge.operators.sampling import id_hash
 
 #: Corners of each facet, as positions in a cell's connectivity.
 FACETS = {
@@ -182,21 +179,23 @@ def hull_area(hull: list[tuple[float, float]]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True)) / 2
 
 
-def sample_facets(facets: DataFrame, measure: str, key: str, n: int, runs: int = 64) -> DataFrame:
+def sample_facets(facets: DataFrame, measure: str, key: str, n: int, runs: int = 4096) -> DataFrame:
     """``n`` samples, evenly spaced over the facets laid end to end, so each facet gets its share: ``sample``, ``at`` in [0, 1).
 
-    Facets are laid in runs by ``key % runs``; runs are summed by themselves and moved up by a table of ``runs`` rows.
+    Facets are laid in runs by a hash of ``key`` (null keys too), and by ``key`` within a run; runs are summed by themselves
+    and moved up by a table of ``runs`` rows.
     """
-    rows = facets.withColumn("_run", F.pmod(F.col(key), F.lit(runs)))
-    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = rows.groupBy("_run").agg(F.sum(measure).alias("_s"))
-    sums = sums.select("_run", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_base"), F.sum("_s").over(whole).alias("_all"))
-    inner = Window.partitionBy("_run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum(measure).over(inner), F.lit(0.0))).join(F.broadcast(sums), "_run")
-    start = F.round((F.col("_base") + F.col("_in")) * n / F.col("_all"), 9)
-    stop = F.round((F.col("_base") + F.col("_in") + F.col(measure)) * n / F.col("_all"), 9)
+    run, total, base, whole, inner, a, b = (free_name(facets, x) for x in ("_run", "_s", "_base", "_all", "_in", "_a", "_b"))
+    rows = facets.withColumn(run, F.coalesce(F.pmod(id_hash(key), F.lit(runs)), F.lit(-1)))
+    before = Window.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = rows.groupBy(run).agg(F.sum(measure).alias(total))
+    sums = sums.select(run, F.coalesce(F.sum(total).over(before), F.lit(0.0)).alias(base), F.sum(total).over(everything).alias(whole))
+    within = Window.partitionBy(run).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(inner, F.coalesce(F.sum(measure).over(within), F.lit(0.0))).join(F.broadcast(sums), run)
+    start = F.round((F.col(base) + F.col(inner)) * n / F.col(whole), 9)
+    stop = F.round((F.col(base) + F.col(inner) + F.col(measure)) * n / F.col(whole), 9)
     first, last = F.ceil(start - 0.5), F.ceil(stop - 0.5) - 1
-    rows = rows.withColumn("_a", start).withColumn("_b", stop).filter(last >= first).withColumn("sample", F.explode(F.sequence(first, last)))
-    at = (F.col("sample") + 0.5 - F.col("_a")) / (F.col("_b") - F.col("_a"))
-    return rows.withColumn("at", at).drop("_run", "_in", "_base", "_all", "_a", "_b")
+    rows = rows.withColumn(a, start).withColumn(b, stop).filter(last >= first).withColumn("sample", F.explode(F.sequence(first, last)))
+    at = (F.col("sample") + 0.5 - F.col(a)) / (F.col(b) - F.col(a))
+    return rows.withColumn("at", at).drop(run, inner, base, whole, a, b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.functions.matrix import ordered_rank
+from snapforge.functions.matrix import free_name, ordered_rank
 
 #: Multiplier and modulus of the hash, which any SQL engine can compute on whole numbers.
 MULTIPLIER, MODULUS = 2654435761, 4294967296
@@ -17,13 +17,30 @@ def id_hash(key: str) -> Column:
     return F.pmod(F.col(key).cast("decimal(38,0)") * F.lit(MULTIPLIER).cast("decimal(20,0)"), F.lit(MODULUS).cast("decimal(20,0)")).cast("long")
 
 
+def valid_weights(weights: DataFrame, name: str, weight: str) -> DataFrame:
+    """``weights`` itself; an empty table, a null, negative or infinite weight and a sum of zero are errors."""
+    value = F.col(weight).cast("double")
+    bad = value.isNull() | F.isnan(value) | (value < 0) | (value == float("inf"))
+    found = weights.agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("int")).alias("bad"), F.sum(value).alias("total")).first()
+    if not found["n"]:
+        raise ValueError("there are no weights")
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} weights are null, negative or not finite")
+    if not found["total"] > 0:
+        raise ValueError("the sum of weights must be positive")
+    return weights
+
+
 def apportion(weights: DataFrame, name: str, weight: str, total: int) -> DataFrame:
     """Add ``count``: the largest-remainder split of ``total`` by weight, ties by name. One row per stratum."""
+    if total < 0:
+        raise ValueError("the number of samples must not be negative")
+    raw, floor = free_name(weights, "_raw"), free_name(weights, "_floor")
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = weights.withColumn("_raw", F.round(F.col(weight) / F.sum(weight).over(whole) * total, 9)).withColumn("_floor", F.floor("_raw"))
-    rest = F.lit(total) - F.sum("_floor").over(whole)
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_raw") - F.col("_floor"), 9)), name))
-    return share.withColumn("count", (F.col("_floor") + (rank <= rest).cast("long")).cast("long")).drop("_raw", "_floor")
+    share = valid_weights(weights, name, weight).withColumn(raw, F.round(F.col(weight) / F.sum(weight).over(whole) * total, 9)).withColumn(floor, F.floor(raw))
+    rest = F.lit(total) - F.sum(floor).over(whole)
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col(raw) - F.col(floor), 9)), name))
+    return share.withColumn("count", (F.col(floor) + (rank <= rest).cast("long")).cast("long")).drop(raw, floor)
 
 
 def expand(counts: DataFrame, name: str) -> DataFrame:
@@ -32,27 +49,44 @@ def expand(counts: DataFrame, name: str) -> DataFrame:
 
 
 def sample_strata(rows: DataFrame, counts: DataFrame, stratum: str, key: str) -> DataFrame:
-    """The ``count`` rows of each stratum that are least by hash of their id.
+    """The ``count`` rows of each stratum (null is one too) that are least by hash of their id.
 
     Rows are counted per stratum and range of hashes; ranges after the one in which the running count reaches
     ``count`` hold no chosen row, so they are left out before ranking. Equal hashes are ranked by the key, null keys last.
     """
-    hashed = rows.withColumn("_hash", id_hash(key)).withColumn("_range", F.coalesce(F.floor(F.col("_hash") / (MODULUS // RANGES)), F.lit(RANGES)).cast("long"))
-    sizes = hashed.groupBy(stratum, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = counts.select(stratum, "count")
-    bounds = sizes.withColumn("_before", before).join(wanted, stratum).filter(F.col("_before") < F.col("count")).groupBy(stratum, "count").agg(F.max("_range").alias("_bound"))
-    drawn = hashed.join(F.broadcast(bounds), stratum).filter(F.col("_range") <= F.col("_bound"))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.asc_nulls_last("_hash"), F.asc_nulls_last(key)))
-    return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("count")).select(*rows.columns)
+    hashed, span, size, before, bound, rank, wanted, name = (free_name(rows, x) for x in ("_hash", "_range", "_size", "_before", "_bound", "_rank", "_wanted", "_stratum"))
+    each = rows.withColumn(hashed, id_hash(key)).withColumn(span, F.coalesce(F.floor(F.col(hashed) / (MODULUS // RANGES)), F.lit(RANGES)).cast("long"))
+    sizes = each.groupBy(F.col(stratum).alias(name), span).agg(F.count(F.lit(1)).alias(size))
+    sofar = F.coalesce(F.sum(size).over(Window.partitionBy(name).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = counts.select(F.col(stratum).alias(wanted), F.col("count").alias(rank))
+    bounds = sizes.withColumn(before, sofar).join(asked, F.col(name).eqNullSafe(F.col(wanted))).filter(F.col(before) < F.col(rank))
+    bounds = bounds.groupBy(name, F.col(rank).alias(wanted)).agg(F.max(span).alias(bound))
+    drawn = each.join(bounds, F.col(stratum).eqNullSafe(F.col(name))).filter(F.col(span) <= F.col(bound))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.asc_nulls_last(hashed), F.asc_nulls_last(key)))
+    return drawn.withColumn(rank, place).filter(F.col(rank) <= F.col(wanted)).select(*rows.columns)
+
+
+def sample_with_replacement(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` draws of rows with replacement, all equally likely: ``sample`` (0 .. n - 1) and the row drawn.
+
+    Rows get places 1, 2, ... in the order of their hashes; each draw is a place, so one join by place deals rows out.
+    """
+    total = rows.count()
+    if not total:
+        raise ValueError("there are no rows to draw from")
+    place, other = free_name(rows, "_place"), free_name(rows, "_drawn")
+    ranked = ordered_rank(rows, id_hash(key), MODULUS, [key], name=place)
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("sample"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)) + 1).alias(other))
+    return draws.join(ranked, F.col(other) == F.col(place)).drop(place, other)
 
 
 def train_validation_split(rows: DataFrame, key: str, share: float = 0.2) -> DataFrame:
-    """Add ``split``: the first round(n * share) rows by hash (at least 1, at most n - 1) validate, the others train."""
+    """Add ``split``: the first round(n * share) rows by hash (at least 1, at most n - 1; null keys first) validate, the others train."""
     n = rows.count()
     held = min(max(round(n * share), 1), n - 1) if n > 1 else 0
-    ranked = ordered_rank(rows, id_hash(key), MODULUS, [key])
-    return ranked.withColumn("split", F.when(F.col("rank") <= held, "validation").otherwise("train")).drop("rank")
+    rank = free_name(rows, "_rank")
+    ranked = ordered_rank(rows, id_hash(key), MODULUS, [key], name=rank)
+    return ranked.withColumn("split", F.when(F.col(rank) <= held, "validation").otherwise("train")).drop(rank)
 
 
 def concat_batches(*batches: DataFrame) -> DataFrame:

@@ -131,10 +131,10 @@ def svd_randomized(rows: DataFrame, vec: str, rank: int, oversampling: int = 10,
 
 
 def project(rows: DataFrame, row_id: str, vec: str, found: Decomposition) -> DataFrame:
-    """(id, k, c): coefficients of each snapshot in the basis, which is literal in the plan."""
+    """(id, k, c): coefficients of each snapshot in the basis, which is literal in the plan. Null vectors are left out."""
     mean = np.zeros(len(found.basis)) if found.mean is None else found.mean
     coefficients = [F.lit(float(-(mean @ found.basis[:, k]))) + _literal_dot(F.col(vec), found.basis[:, k]) for k in range(found.basis.shape[1])]
-    return rows.select(row_id, F.posexplode(F.array(*coefficients)).alias("k", "c"))
+    return rows.filter(F.col(vec).isNotNull()).select(row_id, F.posexplode(F.array(*coefficients)).alias("k", "c"))
 
 
 def _literal_dot(vec: Column, weights: np.ndarray) -> Column:
@@ -143,10 +143,14 @@ def _literal_dot(vec: Column, weights: np.ndarray) -> Column:
 
 
 def reconstruction_error(rows: DataFrame, vec: str, found: Decomposition) -> DataFrame:
-    """Relative Frobenius error of the projection: the energy that the coefficients don't hold."""
-    mean = found.mean
-    size = F.aggregate(F.col(vec), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    own = [_literal_dot(F.col(vec), found.basis[:, k]) - F.lit(float(mean @ found.basis[:, k]) if mean is not None else 0.0) for k in range(found.basis.shape[1])]
+    """Relative Frobenius error of the projection, to the size of what was decomposed: for a centred basis, of the centred snapshots.
+
+    The error is what the coefficients don't hold of the energy. Null vectors are left out, as in the decompositions.
+    """
+    mean = np.zeros(len(found.basis)) if found.mean is None else found.mean
+    centre = F.array(*[F.lit(float(m)) for m in mean])
+    size = F.aggregate(F.zip_with(vec, centre, lambda x, m: x.cast("double") - m), F.lit(0.0), lambda s, x: s + x * x)
+    own = [_literal_dot(F.col(vec), found.basis[:, k]) - F.lit(float(mean @ found.basis[:, k])) for k in range(found.basis.shape[1])]
     held = sum((c * c for c in own), F.lit(0.0))
-    sums = rows.agg(F.sum(size).alias("all"), F.sum(held).alias("held"))
+    sums = rows.filter(F.col(vec).isNotNull()).agg(F.sum(size).alias("all"), F.sum(held).alias("held"))
     return sums.select(F.sqrt(F.greatest(F.lit(0.0), F.col("all") - F.col("held")) / F.col("all")).alias("relative_error"))

@@ -143,7 +143,8 @@ def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: f
         return pa.array([shingles(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    used = prints.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(used, "node")
+    used = write_table(prints.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(used, "node"), "near-used")
+    used = maybe_broadcast(used, used.count())  # else texts are shuffled
     rows = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(used, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     sets = write_table(rows.select("node", hashes(text_of("text")).alias("set")), "near-sets")
     side = lambda end: sets.join(pairs.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}")), F.col(end) == F.col("node")).select(end, F.col("set").alias(f"set_{end}"), f"n_{end}")

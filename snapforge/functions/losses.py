@@ -65,3 +65,22 @@ def one_step_fit(rows: DataFrame, series: str, order: list[str], value: str) ->
     """Least-squares slope and intercept of each next value on the current one, over all series."""
     ahead = rows.withColumn("_next", F.lead(value).over(Window.partitionBy(series).orderBy(*order))).filter(F.col("_next").isNotNull())
     return ahead.agg(F.regr_slope("_next", value).alias("slope"), F.regr_intercept("_next", value).alias("intercept"), F.count(F.lit(1)).alias("n"))
+
+
+def step_pairs(rows: DataFrame, series: str, order: list[str], value: str, horizon: int = 1) -> DataFrame:
+    """All rows that have a row ``horizon`` steps later in their series, with its value as ``target`` and their place as ``step`` (from 0)."""
+    along = Window.partitionBy(series).orderBy(*order)
+    ahead = rows.withColumn("target", F.lead(value, horizon).over(along)).withColumn("_later", F.lead(F.lit(1), horizon).over(along))
+    return ahead.withColumn("step", F.row_number().over(along) - 1).filter(F.col("_later").isNotNull()).drop("_later")
+
+
+def grid_derivatives(rows: DataFrame, line: list[str], place: str, value: str, width: float = 1.0) -> DataFrame:
+    """Adds ``first`` and ``second``: central differences along each grid line; null at its ends and beside gaps.
+
+    The analogue on gridded data of a function's derivatives; sums of ``second`` over axes are the Laplacian.
+    """
+    along = Window.partitionBy(*line).orderBy(place)
+    beside = (F.lag(place).over(along) == F.col(place) - 1) & (F.lead(place).over(along) == F.col(place) + 1)
+    low, high = F.lag(value).over(along), F.lead(value).over(along)
+    rows = rows.withColumn("first", F.when(beside, (high - low) / (2 * width)))
+    return rows.withColumn("second", F.when(beside, (high - 2 * F.col(value) + low) / (width * width)))

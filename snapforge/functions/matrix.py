@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,30 @@ def stable_shifts(shifts: DataFrame, tol: float = 1e-14, positive_imaginary: boo
     return shifts.filter(kept & (F.col("im") >= 0) if positive_imaginary else kept)
 
 
+def smallest_shifts(shifts: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` shifts of least magnitude, ties by real and then imaginary part."""
+    return shifts.orderBy(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), "re", "im").limit(n)
+
+
+def scale_columns(a: DataFrame, weights: DataFrame) -> DataFrame:
+    """Each column j times its weight (j, w), as a basis by its spectrum; columns without a weight are left out."""
+    return a.join(weights.select("j", "w"), "j").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
+
+
+def save_state(state: dict[str, np.ndarray], spark: SparkSession, path: str) -> None:
+    """Write small named matrices as one Parquet table (name, rows, columns, values)."""
+    rows = [(name, *np.atleast_2d(m).shape, np.atleast_2d(m).ravel().tolist()) for name, m in state.items()]
+    spark.createDataFrame(rows, "name string, rows int, columns int, cells array<double>").coalesce(1).write.parquet(path)
+
+
+def load_state(spark: SparkSession, path: str, strict: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+    """Read them again; names in ``strict`` that are missing are an error."""
+    found = {r["name"]: np.array(r["cells"]).reshape(r["rows"], r["columns"]) for r in spark.read.parquet(path).collect()}
+    if missing := [name for name in strict if name not in found]:
+        raise KeyError(f"the state lacks {', '.join(missing)}")
+    return found
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -77,8 +101,18 @@ def trace(a: DataFrame) -> DataFrame:
     return a.filter("i = j").agg(F.sum("v").alias("trace"))
 
 
-def gram(rows: DataFrame, vec: str) -> DataFrame:
-    """(i, j, v) of the sum of vec vec^T over all rows.
+def as_matrix(column: pa.Array) -> np.ndarray:
+    """The arrays of an Arrow column, none of which is null, as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def table_of(cells: np.ndarray) -> pa.RecordBatch:
+    i, j = np.indices(cells.shape)
+    return pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(cells.ravel())], ["i", "j", "v"])
+
+
+def gram(rows: DataFrame, vec: str, other: str | None = None) -> DataFrame:
+    """(i, j, v) of the sum of vec other^T over all rows, ``other`` being ``vec`` itself unless named.
 
     Each Arrow batch is one small matrix product, each task returns one table, and Spark adds the tables up: what is
     shuffled depends on the number of columns and tasks, not on the rows. Rows with a null vector are left out.
@@ -87,18 +121,47 @@ def gram(rows: DataFrame, vec: str) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            column = batch.column(0)
-            if len(column):
-                x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-                total = x.T @ x if total is None else total + x.T @ x
+            if len(batch.column(0)):
+                more = as_matrix(batch.column(0)).T @ as_matrix(batch.column(1))
+                total = more if total is None else total + more
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "v"])
+            yield table_of(total)
 
-    vectors = rows.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("vec"))
+    second = vec if other is None else other
+    vectors = rows.filter(F.col(vec).isNotNull() & F.col(second).isNotNull()).select(F.col(vec).cast("array<double>").alias("a"), F.col(second).cast("array<double>").alias("b"))
     return vectors.mapInArrow(partial, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def rows_of(a: DataFrame, columns: int) -> DataFrame:
+    """(i, vec) of a matrix in long form with ``columns`` columns; absent cells are zero, and rows without cells are absent."""
+    cells = F.map_from_entries(F.collect_list(F.struct("j", "v")))
+    each = a.groupBy("i").agg(cells.alias("cells"))
+    dense_row = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.coalesce(F.element_at("cells", j.cast("long")), F.lit(0.0)))
+    return each.select("i", dense_row.alias("vec"))
+
+
+def conjugate(a: DataFrame) -> DataFrame:
+    """Of a complex matrix (i, j, re, im)."""
+    return a.withColumn("im", -F.col("im"))
+
+
+def reshape(a: DataFrame, columns: int, new_columns: int) -> DataFrame:
+    """The same cells in row order, dealt into rows of ``new_columns``."""
+    flat = F.col("i") * columns + F.col("j")
+    return a.select(F.floor(flat / new_columns).cast("long").alias("i"), (flat % new_columns).cast("long").alias("j"), "v")
+
+
+def identity(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+
+
+def random_normal(spark: SparkSession, rows: int, columns: int, seed: int = 0) -> DataFrame:
+    """Independent standard normal cells. The same seed gives the same cells, however Spark deals the rows."""
+    unit = lambda salt: (F.pmod(F.xxhash64("i", "j", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    cells = spark.range(rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).alias("j"))
+    return cells.select("i", "j", (F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * np.pi * unit(2))).alias("v"))
+
+
 def dense(a: DataFrame, limit: int = 2048) -> np.ndarray:
     """A small matrix on the driver; one with an index of ``limit`` or more is refused."""
     shape = a.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()

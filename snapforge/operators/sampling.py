@@ -95,3 +95,35 @@ def concat_batches(*batches: DataFrame) -> DataFrame:
     for b in batches[1:]:
         out = out.unionByName(b, allowMissingColumns=True)
     return out
+
+
+def region_batch(rows: DataFrame, counts: DataFrame, region: str, key: str, seed: int = 0) -> DataFrame:
+    """A batch with ``count`` rows of each region: without repeats where the region has as many, else drawn with replacement.
+
+    Counts of zero or less are left out; if none is left, or a region with a count has no rows, that is an error. All columns stay, so
+    normals that only some regions have are null elsewhere. Column ``sample`` numbers the batch's rows within a region.
+    """
+    place, size, other, n = (free_name(rows, x) for x in ("_place", "_size", "_region", "_n"))
+    asked = counts.select(F.col(region).alias(other), F.col("count").cast("long").alias(n)).filter(F.col(n) > 0)
+    sizes = rows.groupBy(F.col(region).alias(region)).agg(F.count(F.lit(1)).alias(size))
+    plan = asked.join(sizes, F.col(other).eqNullSafe(F.col(region)), "left").drop(region)
+    state = plan.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(size).isNull().cast("int")).alias("empty")).first()
+    if not state["n"] or state["empty"]:
+        raise ValueError("every region with a count needs rows, and some count must be positive")
+    least = plan.select(F.col(other).alias(region), F.least(n, size).alias("count"))
+    kept = sample_strata(rows, least, region, key)  # as many rows as asked for, at most
+    ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy(region).orderBy(F.asc_nulls_last(id_hash(key)), F.asc_nulls_last(key))).cast("long"))
+    draws = plan.withColumn("sample", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    draws = draws.withColumn(place, F.when(F.col(n) <= F.col(size), F.col("sample")).otherwise(F.pmod(F.xxhash64("sample", F.lit(seed)), F.col(size)) + 1))
+    draws = draws.select(F.col(other).alias(n), "sample", F.col(place).alias(size))
+    return ranked.join(draws, F.col(region).eqNullSafe(F.col(n)) & (F.col(place) == F.col(size))).select(*rows.columns, "sample")
+
+
+def weighted_batch(rows: DataFrame, weights: DataFrame, region: str, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows, shared out among regions by weight (largest remainders); ``weight`` is the region's normalised weight on each row."""
+    counts = apportion(weights.select(region, weight), region, weight, n)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a region
+    name, share = free_name(rows, "_name"), free_name(rows, "_share")
+    shares = counts.select(F.col(region).alias(name), (F.col(weight) / F.sum(weight).over(whole)).alias(share))
+    batch = region_batch(rows, counts, region, key, seed)
+    return batch.join(shares, F.col(region).eqNullSafe(F.col(name))).withColumn("weight", F.col(share)).drop(name, share)

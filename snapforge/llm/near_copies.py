@@ -12,9 +12,10 @@ often the same in both texts. Every candidate is verified on the two whole sets
 The sampling rate is a power of two by the text's number of shingles, so that a block has ``SAMPLE`` to 2 ``SAMPLE``
 shingles; a text whose near copies may have the next rate has blocks at both rates.
 
-A bucket with more than ``BUCKET`` texts makes pairs with hubs only, and goes on with new hubs among the texts that
-aren't yet connected to the bucket's first; after ``ROUNDS`` rounds all pairs that could still connect two components are
-verified. Only pairs within a component are left out, so components are those of all links met.
+A bucket with more than ``BUCKET`` texts first makes pairs with its centre only, the text that most full buckets hold. What that
+leaves apart from the centre's component is compared with all texts of the bucket by bitmaps of their shingles, which bound the
+similarity from above, and the pairs that still may be similar enough are verified. So no link between components is lost, and
+only pairs that pass the bound make rows.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from snapforge.llm.simhash import BITS, allocate
 SHINGLE, SIMILARITY = 5, 0.8
 #: SimHashes of a text, and the shingles that each is taken over, at least on average.
 BLOCKS, SAMPLE = 16, 4
-#: Texts in a bucket up to which all pairs are made; hubs that a fuller one takes at once, and how often.
-BUCKET, HUBS, ROUNDS = 32, 16, 6
+#: Texts in a bucket up to which all pairs are made.
+BUCKET = 32
+#: Longs of a text's bitmap of shingles, a power of two; it prunes texts of up to some hundred shingles, and never loses a pair.
+BITMAP = 32
 _DRAWN = np.random.default_rng(7).integers(1, 1 << 63, (BLOCKS + 64, BLOCKS), dtype=np.uint64)
 #: Multipliers that deal shingles into classes, and what tells keys of different rates and blocks apart.
 _DEALS, _MARKS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1:65] * np.uint64(2)
@@ -132,66 +135,85 @@ def bucket_rows(prints: DataFrame) -> DataFrame:
     return home.unionByName(around.select("node", "size", F.col("key").bitwiseXOR(F.col("flip")).alias("key")))
 
 
-def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole shingle sets are similar enough; two texts without words are.
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each class of shingle hashes that the text has."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[hashes >> np.uint64(64 - (64 * BITMAP).bit_length() + 1)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
 
-    ``pairs`` is read more than once, so it should be a written table.
-    """
 
-    @F.arrow_udf("array<bigint>")
+def may_be_similar(bits: str, size: str, other_bits: str, other_size: str, similarity: float = SIMILARITY) -> Column:
+    """Whether two bitmaps and sizes allow so much similarity: each class that only one text has is a shingle that isn't shared."""
+    only = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(BITMAP)), F.lit(0))
+    shared = F.least(F.col(size) - only(bits, other_bits), F.col(other_size) - only(other_bits, bits))
+    return shared >= F.lit(similarity) * (F.col(size) + F.col(other_size) - shared)
+
+
+def shingle_sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set, bits) of the whole texts of ``nodes``, written once: all that comparing and verifying read."""
+
+    @F.arrow_udf("struct<set: array<bigint>, bits: array<bigint>>")
     def hashes(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+        sets = [shingles(t.as_py()) for t in texts]
+        own, bits = ([x.view(np.int64) for x in sets], [bitmap(x) for x in sets])
+        return pa.StructArray.from_arrays([pa.array(own, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["set", "bits"])
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    used = write_table(prints.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(used, "node"), "near-used")
-    used = maybe_broadcast(used, used.count())  # else texts are shuffled
+    used = write_table(prints.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(nodes, "node"), "near-used")
+    used = maybe_broadcast(used, used.count())  # else texts are shuffled, once
     rows = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(used, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    sets = write_table(rows.select("node", hashes(text_of("text")).alias("set")), "near-sets")
-    side = lambda end: sets.join(pairs.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}")), F.col(end) == F.col("node")).select(end, F.col("set").alias(f"set_{end}"), f"n_{end}")
+    return write_table(rows.select("node", hashes(text_of("text")).alias("s")).select("node", "s.set", "s.bits"), "near-sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose whole shingle sets are similar enough; two texts without words are.
+
+    ``sets`` and ``pairs`` are read more than once, so they should be written tables.
+    """
+    n_pairs = pairs.count()
+
+    def side(end: str) -> DataFrame:
+        ends = maybe_broadcast(pairs.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}")), n_pairs)
+        return sets.join(ends, F.col(end) == F.col("node")).select(end, F.col("set").alias(f"set_{end}"), f"n_{end}")
+
     both = join_hot(join_hot(pairs, side("a"), "a", "n_a"), side("b"), "b", "n_b")
     shared, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
     return both.filter(shared >= F.lit(similarity) * (total - shared)).select("a", "b").distinct()
 
 
-def near_copies(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET, hubs: int = HUBS, rounds: int = ROUNDS) -> DataFrame:
+def near_copies(docs: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(node, component) of all texts that have near copies, nodes being those of ``prints`` (written), one for each id and text."""
     rows = bucket_rows(prints)
-    shared = write_table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1"), "near-shared")
-    members = write_table(join_hot(rows, shared, "key", "n").select("key", "node", "size", "n", "first"), "near-members")
+    shared = write_table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared")
+    members = write_table(join_hot(rows, shared, "key", "n").select("key", "node", "size", "n"), "near-members")
     fit = F.least("size", "other_size") >= F.lit(SIMILARITY) * F.greatest("size", "other_size")
     ordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
     few, full = members.filter(F.col("n") <= bucket), members.filter(F.col("n") > bucket)
     other = few.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"))
     direct = few.join(other, "key").filter((F.col("node") < F.col("other")) & fit).select(*ordered)
-    stars = full.select("node", F.col("first").alias("other")).filter("node <> other").select(*ordered)
+    degrees = full.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    centres = write_table(full.join(degrees, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre")), "near-centres")
+    stars = full.join(centres, "key").select("node", F.col("centre").alias("other")).filter("node <> other").select(*ordered)
     tried = write_table(direct.unionByName(stars).distinct(), "near-pairs")
-    links = write_table(verified(docs, prints, tried), "near-links")
+    nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).unionByName(full.select("node")).distinct()
+    sets = shingle_sets(docs, prints, nodes)
+    links = write_table(verified(sets, tried), "near-links")
     found = connected_components(links)
-    for turn in range(rounds + 1):
-        label = found.select(F.col("node").alias("_node"), "component")
-        now = full.join(label, F.col("node") == F.col("_node"), "left").select("key", "node", "size", "first", F.coalesce("component", "node").alias("component"))
-        now = write_table(now, "near-full")
-        main = now.filter(F.col("node") == F.col("first")).select("key", F.col("component").alias("main")).distinct()
-        apart = now.join(main, "key").filter(F.col("component") != F.col("main"))
-        if turn < rounds:
-            draw = F.xxhash64("node", F.lit(turn))
-            apart = apart.groupBy("key", F.pmod(draw, F.lit(hubs)).alias("slot")).agg(F.min_by(F.struct("node", "size", "component"), draw).alias("hub")).select("key", "hub.*")
-        apart = apart.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-        pairs = now.join(apart, "key").filter((F.col("component") != F.col("other_component")) & fit).select(*ordered).distinct()
-        pairs = write_table(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.limit(1).count():
-            tried = write_table(tried.unionByName(pairs), "near-tried")
-            more = write_table(verified(docs, prints, pairs), "near-links")
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                found = connected_components(links)
-        elif turn == rounds or not now.join(main, "key").filter(F.col("component") != F.col("main")).limit(1).count():
-            break
-    return found
-
-
-def keep_one_of_near(docs: DataFrame, limit: int = BROADCAST_ROWS, bucket: int = BUCKET, hubs: int = HUBS, rounds: int = ROUNDS) -> DataFrame:
+    if not centres.limit(1).count():
+        return found
+    label = found.select(F.col("node").alias("_node"), "component")
+    now = full.join(label, F.col("node") == F.col("_node"), "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    now = write_table(now.join(sets.select("node", "bits"), "node"), "near-full")
+    main = now.join(centres, "key").filter(F.col("node") == F.col("centre")).select("key", F.col("component").alias("main"))
+    apart = now.join(main, "key").filter(F.col("component") != F.col("main")).drop("main")
+    apart = apart.select("key", *[F.col(c).alias(f"other_{c}") for c in ("size", "component", "bits")], F.col("node").alias("other"))
+    near = (F.col("component") != F.col("other_component")) & fit & may_be_similar("bits", "size", "other_bits", "other_size")
+    pairs = write_table(now.join(apart, ["key"]).filter(near).select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    more = write_table(verified(sets, pairs), "near-links")
+    return connected_components(links.unionByName(more)) if more.limit(1).count() else found
+
+
+def keep_one_of_near(docs: DataFrame, limit: int = BROADCAST_ROWS, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``docs`` (with all columns) without near copies, of which the smallest doc_id of each group stays.
 
     A null text counts as empty; texts without words are one group. A null doc_id comes after all others. Rows with one
@@ -204,7 +226,7 @@ def keep_one_of_near(docs: DataFrame, limit: int = BROADCAST_ROWS, bucket: int =
         texts = docs.select("doc_id", "text").dropDuplicates(["doc_id", "text"])
     else:
         texts = docs
-    found = write_table(near_copies(texts, prints, bucket, hubs, rounds).join(prints.select("node", "doc_id", "text_hash"), "node"), "near-found")
+    found = write_table(near_copies(texts, prints, bucket).join(prints.select("node", "doc_id", "text_hash"), "node"), "near-found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "node")
     best = write_table(found.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")), "near-best")
     gone = join_hot(found, best, "component", "n").filter(F.col("node") != F.col("best.node"))

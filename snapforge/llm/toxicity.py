@@ -7,6 +7,8 @@ ordinary documents. A logistic curve, fitted on training documents, turns a docu
 
 zstandard's headers outweigh a word's few bytes, so a window is written out first: every four consecutive characters
 become four bytes of a hash. Text that one dictionary knows then shrinks by tens of bytes, other text not at all.
+Dictionaries of plain text and windows of several words were tried and can't tell these documents apart: a toxic word is one
+of hundreds, and saves no more bytes than a lucky match of ordinary syllables (README has figures).
 The toxic dictionary is trained on words of toxic documents that hold character sequences met there far more often than
 in ordinary documents; else it would fill up with common syllables.
 """
@@ -24,13 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import text_of
+from snapforge.llm.common import text_of, write_table
 
 CONTEXT = 4
 GRAM = 5
 #: Labelled documents of each class that training reads, at most: those least by a hash of the id.
 TRAIN_DOCS = 4000
-#: Distinct words that a dictionary is trained on, at most.
+#: Distinct words that a dictionary is trained on, and telling sequences that pick them, at most (the dictionaries hold fewer than 10,000 words).
 TRAIN_WORDS = 100_000
 #: A character sequence is telling when it is met at so many times ordinary documents' rate, and a likelihood-ratio test gives so much.
 GRAM_RATIO, GRAM_TEST = 6.0, 20.0
@@ -164,10 +166,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, words: in
     Without training documents of both classes, the model scores every document 0 or 1, as its class is.
     """
     rows = training_rows(docs, labels, limit).persist()
+    try:
+        return _fit(rows, words)
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, words: int) -> ToxicityModel:
+    """The model of training ``rows`` (toxic, text), which are read several times."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_ordinary:
-        rows.unpersist()
         return ToxicityModel(b"", b"", (0.0,) * (2 * REACH + 1), 0.0, 30.0 if n_toxic else -30.0)
 
     @F.arrow_udf("array<string>")
@@ -180,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, words: in
         return pa.array([sorted({p[i : i + GRAM] for i in range(len(p) - GRAM + 1)}) for p in padded], pa.list_(pa.string()))
 
     counts = rows.select("toxic", F.explode(split("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("in_toxic"), F.sum(1 - F.col("toxic")).alias("in_ordinary"))
-    counts = counts.persist()
+    counts = write_table(counts, "toxicity-words")  # bounded by the training rows
     per_gram = counts.select("word", "in_toxic", "in_ordinary", F.explode(grams("word")).alias("gram")).groupBy("gram").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_ordinary").alias("in_ordinary"))
     a, b = F.col("in_toxic"), F.col("in_ordinary")
     rate, share = (a / n_toxic) / ((b + 1) / (n_ordinary + 1)), (a + b) / (n_toxic + n_ordinary)
@@ -200,8 +209,6 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, words: in
         return pa.array([np.bincount(np.array(draft.classes(t.as_py()), np.int64), minlength=2 * REACH + 1) for t in texts], pa.list_(pa.int64()))
 
     found = rows.select("toxic", histogram("text").alias("h")).collect()  # 2 * limit rows of 81 numbers
-    counts.unpersist()
-    rows.unpersist()
     h, y = np.array([r["h"] for r in found], np.float64), np.array([r["toxic"] for r in found], np.float64)
     rates = [(h[y == c].sum(axis=0) + 1) / (h[y == c].sum() + h.shape[1]) for c in (1, 0)]
     tails = [np.cumsum(r[::-1])[::-1] for r in rates]

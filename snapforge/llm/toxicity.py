@@ -5,7 +5,7 @@ document's windows (words) are compressed with either. Differences of the length
 documents, are one class; above it, each is a class. A class weighs the log ratio of its rates in toxic and in
 ordinary documents. A logistic curve, fitted on training documents, turns a document's sum into a score with the threshold at one half.
 
-zstandard's headers outweigh a word's few bytes, so a window is written out first: every four consecutive characters
+zstandard's headers outweigh a word's few bytes, so a window is written out first: every six consecutive characters
 become four bytes of a hash. Text that one dictionary knows then shrinks by tens of bytes, other text not at all.
 Dictionaries of plain text and windows of several words were tried and can't tell these documents apart: a toxic word is one
 of hundreds, and saves no more bytes than a lucky match of ordinary syllables (README has figures).
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from snapforge.llm.common import text_of, write_table
 
-CONTEXT = 4
-GRAM = 5
+CONTEXT = 6
+GRAM = 7
 #: Labelled documents of each class that training reads, at most: those least by a hash of the id.
 TRAIN_DOCS = 4000
 #: Distinct words that a dictionary is trained on, and telling sequences that pick them, at most (the dictionaries hold fewer than 10,000 words).

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapforge.llm import byte_bpe, chat, exact_dedup, html_text, packing, periodic_runs, repeated_windows, sharding, simhash, toxicity, url_filter, winnowing
+from snapforge.llm import alignment, byte_bpe, chat, exact_dedup, html_text, packing, periodic_runs, repeated_windows, sharding, simhash, toxicity, url_filter, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.op1_byte_bpe,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_packing": packing.op9_packing,
     "op10_winnowing": winnowing.op10_winnowing,
+    "op11_alignment": alignment.op11_alignment,
     "op12_repeated_windows": repeated_windows.op12_repeated_windows,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }

@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +38,8 @@ CHUNK = 1 << 15
 FAN_IN = 8
 #: Segments that a Python worker remembers, and the longest one.
 MEMORY, LONG = 150_000, 64
+#: Characters of the texts that are aligned together, unless one has more.
+GROUP = 1 << 19
 #: Pairs of ids that may be broadcast, at 24 bytes each.
 PAIRS = 1_000_000
 #: White space to either tokenizer: where a blank follows one of these, nothing is cut.
@@ -53,8 +56,8 @@ class Fragment:
     prefix: tuple[list[int], list[int]] = field(default_factory=lambda: ([], []))
     groups: list[str] = field(default_factory=list)
     suffix: tuple[list[int], list[int]] = field(default_factory=lambda: ([], []))
-    #: Links, each as A id * 2^32 + B id, and whether any common end was met.
-    links: list[int] = field(default_factory=list)
+    #: Links, each as A id * 2^32 + B id in eight bytes, and whether any common end was met.
+    links: list[bytes] = field(default_factory=list)
     closed: bool = False
 
     def __add__(self, other: Fragment) -> Fragment:
@@ -78,16 +81,18 @@ def written(group: tuple[list[int], list[int]]) -> str:
 
 
 def fragment(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> Fragment:
-    """The fragment of the tokens that end in some stretch of bytes, with their ends. Tokens are never empty."""
-    out, i, j = Fragment(), 0, 0
-    for end in sorted(set(a_ends) & set(b_ends)):
-        p, q = a_ends.index(end, i) + 1, b_ends.index(end, j) + 1
-        piece = (a[i:p], b[j:q])
+    """The fragment of the tokens that end in some stretch of bytes, with the places of their ends, which ascend."""
+    out, i, j, p, q = Fragment(), 0, 0, 0, 0
+    while p < len(a) and q < len(b):
+        if a_ends[p] != b_ends[q]:
+            p, q = (p + 1, q) if a_ends[p] < b_ends[q] else (p, q + 1)
+            continue
+        p, q = p + 1, q + 1
         if out.closed:
-            out.groups.append(written(piece))
+            out.groups.append(written((a[i:p], b[j:q])))
         else:
-            out.prefix, out.closed = piece, True
-        out.links.append(a[p - 1] << 32 | b[q - 1])
+            out.prefix, out.closed = (a[:p], b[:q]), True
+        out.links.append((a[p - 1] << 32 | b[q - 1]).to_bytes(8, "little"))
         i, j = p, q
     if out.closed:
         out.suffix = (a[i:], b[j:])
@@ -120,25 +125,51 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def tokens(self, text: str) -> tuple[list[int], list[int], bool]:
-        """Ids of blank + text by A and of text by B; whether the bytes of both are those of blank + text."""
-        whole = " " + text
-        if self.fast is not None and max(whole) < PLAIN:
-            a = self.fast.encode_ordinary(whole)
-        else:
-            a = self.a.encode(whole, add_special_tokens=False).ids
-        b = self.b.encode(text)
-        want = whole.encode()
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-        return a, b, same
-
-    def fragment(self, text: str) -> Fragment | None:
-        """Of a text whose first blank is not written; None where some token's bytes are not the text's."""
-        a, b, same = self.tokens(text)
-        if not same:
-            return None
-        ends = lambda ids, of: np.cumsum([len(of[i]) for i in ids]).tolist()
-        return fragment(a, ends(a, self.a_bytes), b, ends(b, self.b_bytes))
+        n = max(self.a_bytes) + 1
+        self.a_sizes, self.b_sizes = np.zeros(n, np.int64), np.array([len(t) for t in self.b_bytes])
+        self.a_sizes[list(self.a_bytes)] = [len(t) for t in self.a_bytes.values()]
+        table = lambda n, after: np.array([f"{i}{after}" for i in range(n)], object)
+        #: Ids as text, with what follows them inside and at the end of a group's part.
+        self.a_text, self.b_text = (table(n, ","), table(n, "|")), (table(len(pieces), ","), table(len(pieces), ";"))
+
+    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of blank + text by A and of text by B; None where the bytes of either aren't those of blank + text."""
+        fast, slow, of_a, of_b = self.fast and self.fast._core_bpe.encode_ordinary, self.a.encode, self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        whole = [" " + t for t in texts]
+        a = [fast(w) if fast is not None and max(w) < PLAIN else slow(w, add_special_tokens=False).ids for w in whole]
+        b = self.b.encode(texts, num_threads=1)
+        want = "".join(whole).encode()
+        if all(texts) and b"".join(map(of_a, chain.from_iterable(a))) == want and b"".join(map(of_b, chain.from_iterable(b))) == want:
+            if len(texts) == 1 or all(sum(map(len, map(of_b, y))) == len(w.encode()) for w, y in zip(whole, b, strict=True)):
+                return list(zip(a, b, strict=True))
+        same = lambda t, w, x, y: bool(t) and b"".join(map(of_a, x)) == w.encode() == b"".join(map(of_b, y))
+        return [(x, y) if same(t, w, x, y) else None for t, w, x, y in zip(texts, whole, a, b, strict=True)]
+
+    def fragment(self, a: list[int], b: list[int]) -> Fragment:
+        """Of all tokens of some stretch of bytes."""
+        return fragment(a, np.cumsum(self.a_sizes[a]).tolist(), b, np.cumsum(self.b_sizes[b]).tolist())
+
+    def whole_groups(self, tokens: list[tuple[list[int], list[int]]]) -> Iterator[tuple[int, int, str, bytes]]:
+        """Numbers of A's and B's tokens, groups and links of whole texts: the texts laid end to end are one, so their common ends are found together."""
+        if not tokens:
+            return
+        counts = [np.array([len(x[k]) for x in tokens]) for k in (0, 1)]
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in tokens), np.int64, counts[k].sum()) for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        common, a_last, b_last = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        links = (a[a_last] << 32 | b[b_last]).tobytes()
+        n_links = np.searchsorted(common, a_ends[np.cumsum(counts[0]) - 1], "right").tolist()
+        text = []
+        for ids, last, words in ((a, a_last, self.a_text), (b, b_last, self.b_text)):
+            part = words[0][ids]
+            part[last] = words[1][ids[last]]
+            text.append(part)
+        order = np.argsort(np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1]), kind="stable")
+        text = np.concatenate(text)[order].tolist()
+        at = link = 0
+        for n_a, n_b, n in zip(counts[0].tolist(), counts[1].tolist(), n_links, strict=True):
+            yield n_a, n_b, "".join(text[at : at + n_a + n_b])[:-1], links[8 * link : 8 * n]
+            at, link = at + n_a + n_b, n
 
 
 def byte_of_char() -> dict[str, int]:
@@ -177,40 +208,61 @@ def chunks(text: str, cuts: bool = True, size: int = CHUNK) -> list[str]:
 
 
 class Aligner:
-    """Alignments of segments, remembered: ids' numbers, groups and links."""
+    """Alignments of segments, remembered: ids' numbers, groups and links.
+
+    When there are too many, those met since the last time stay within reach, and the others go.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         self.of = Tokenizers(a_path, b_path)
         self.known: dict[str, tuple[int, int, str, bytes] | None] = {}
-
-    def learn(self, segment: str) -> tuple[int, int, str, bytes] | None:
-        found = self.of.fragment(segment)
-        if found is None:
-            return None
-        groups = found.all_groups()
-        a = sum(g.partition("|")[0].count(",") + 1 for g in groups)
-        b = sum(g.partition("|")[2].count(",") + 1 for g in groups)
-        return a, b, ";".join(groups), array("q", found.links).tobytes()
-
-    def align(self, text: str) -> tuple[int, int, str, bytes] | None:
-        """Numbers of A's and B's tokens, the groups and the links of a whole text or chunk; None where bytes differ."""
-        parts = segments(text, self.of.cuts)
-        known = self.known
-        try:
-            found = [known[s] for s in parts]
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            extra = {s: self.learn(s) for s in set(parts).difference(known)}
-            known.update(extra)
+        self.older: dict[str, tuple[int, int, str, bytes] | None] = {}
+
+    def learn(self, wanted: set[str]) -> None:
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for s in wanted:
+            if s in older:
+                known[s] = older[s]
+            elif s not in known:
+                new.append(s)
+        if new:
+            tokens = self.of.tokens(new)
+            known.update((s, None) for s, t in zip(new, tokens, strict=True) if t is None)
+            good = [(s, t) for s, t in zip(new, tokens, strict=True) if t is not None]
+            known.update(zip([s for s, _ in good], self.of.whole_groups([t for _, t in good]), strict=True))
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, str, bytes] | None]:
+        """Numbers of A's and B's tokens, the groups and the links of whole texts or chunks; None where they have no tokens."""
+        split = [segments(t, self.of.cuts) for t in texts]
+        wanted = set().union(*split)
+        if not wanted <= self.known.keys():
+            self.learn(wanted)
+        out, known = [], self.known
+        for parts in split:
             found = [known[s] for s in parts]
-            for s in extra:
-                if len(s) > LONG:
-                    del known[s]
-        if None in found:
-            return None
-        a, b, groups, links = zip(*found, strict=True)
-        return sum(a), sum(b), ";".join(groups), b"".join(links)
+            if None in found:
+                out.append(None)
+            else:
+                a, b, groups, links = zip(*found, strict=True)
+                out.append((sum(a), sum(b), ";".join(groups), b"".join(links)))
+        for s in wanted:
+            if len(s) > LONG:
+                del known[s]
+        return out
+
+    def align_all(self, texts: list[str]) -> Iterator[tuple[int, int, str, bytes] | None]:
+        """The same for any number of texts, some at a time."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP:
+                yield from self.align(group)
+                group, size = [], 0
+        if group:
+            yield from self.align(group)
 
 
 @cache
@@ -252,7 +304,8 @@ def align_short(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), FLUSH):
                 part = batch.slice(at, FLUSH)
-                rows = [(i, *((t and own.align(t)) or NOTHING)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                found = own.align_all(part.column(1).to_pylist())
+                rows = [(i, *(x or NOTHING)) for i, x in zip(part.column(0).to_pylist(), found, strict=True)]
                 yield finished(batch.schema.field(0).type, rows)
 
     return docs.mapInArrow(work, ALIGNED.format(kind=docs.schema["doc_id"].dataType.simpleString()))
@@ -277,15 +330,13 @@ def fragments(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One ``FRAGMENT`` row for each chunk."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(a_path, b_path)
+        own = aligner(a_path, b_path).of
         for batch in batches:
             rows = []
             for row, no, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = own.align(text)
-                n_a, n_b, groups, links = found or NOTHING
-                first, _, rest = groups.partition(";")
-                prefix = tuple([int(x) for x in side.split(",")] if side else [] for side in (first.split("|") if first else ("", "")))
-                rows.append(((row, no, doc_id, n_a, n_b), Fragment(prefix, [rest] if rest else [], ([], []), [links], bool(groups)), found is not None))
+                (tokens,) = own.tokens([text])
+                a, b = tokens or ([], [])
+                rows.append(((row, no, doc_id, len(a), len(b)), own.fragment(a, b), tokens is not None))
             if rows:
                 yield stored(batch.schema.field(2).type, rows)
 

@@ -4,7 +4,8 @@ Each task takes the documents of its partition in blocks and rolls a Rabin-Karp
 document. A block keeps, of each hash, the windows of its smallest document; the others are repeats already.
 What it keeps goes out by ranges of a second hash, a few bytes a window: the hash, and where it is as a difference to the
 window before. Each range counts its hashes over all blocks and tells which windows have an earlier document. So the
-most frequent passage is one record a block, and a document's windows are spread over all ranges.
+most frequent passage is one window a block, and a document's windows are spread over all ranges. What they find is
+gathered by documents' homes, again as one record for each range and home, and merged into intervals there.
 
 Equality is by 64 bits of the first hash and the range of the second, about 80 bits at 100 TB.
 """
@@ -23,7 +24,7 @@ from snapforge.llm.common import free_name, text_of, write_table
 
 WINDOW = 50
 #: Words of a block, which a task holds at once, unless one document has more.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 #: Windows of a range. There are 4,096 ranges at most until they hold ``LARGEST``, so that at any size blocks send records of some length.
 RANGE, LARGEST = 2_000_000, 32_000_000
 #: Words whose hashes a Python worker remembers.
@@ -31,7 +32,8 @@ MEMORY = 200_000
 #: Odd, so that they have inverses modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SENT = "part int, hashes binary, counts binary, ids binary, keys binary, places binary"
-FOUND = "doc_id bigint, key bigint, places array<int>"
+FOUND = "home int, counts binary, ids binary, keys binary, places binary"
+SPANS = "doc_id bigint, key bigint, spans array<struct<start:int,end:int>>"
 
 
 class WordHashes:
@@ -112,7 +114,7 @@ class Block:
         for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
             at = kept[a:b]
             out.append(self.record(int(part[at[0]]), hashes[at].tobytes(), at, doc, place, ids, keys))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], [x.split()[0] for x in SENT.split(", ")])
+        yield table(out, SENT)
 
     @staticmethod
     def record(part: int, hashes: bytes, at: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple:
@@ -124,23 +126,23 @@ class Block:
 
 
 def late_windows(records: list[tuple]) -> Iterator[tuple]:
-    """(doc_id, key, places) of the windows of one range that a document with a smaller id has too.
+    """ids, keys, numbers of windows and places of the documents in one range that have windows which a smaller document has too.
 
     ``records`` are (hashes, counts, ids, keys, places); those without hashes are known to be late.
     """
-    known = [r for r in records if not r[0]]
     open_ = [r for r in records if r[0]]
     numbers = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in open_])
-    for _, counts, ids, keys, places in known:
-        counts = np.frombuffer(counts, "<u4")
-        yield np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64), counts, unpack_places(places, counts)
+    for hashes, counts, ids, keys, places in records:
+        if not hashes:
+            counts = np.frombuffer(counts, "<u4")
+            yield np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64), counts, unpack_places(places, counts)
     if not open_:
         return
     hashes, counts, ids, keys = numbers(0, np.uint64), numbers(1, "<u4"), numbers(2, np.int64), numbers(3, np.int64)
     order = np.argsort(hashes)
     starts = np.flatnonzero(np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]]))
     del hashes
-    doc = np.repeat(np.arange(len(counts)), counts)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     sizes = np.diff(np.append(starts, len(order)))
     least = np.minimum.reduceat(ids[doc[order]], starts)
     late = np.sort(order[ids[doc[order]] > np.repeat(least, sizes)])
@@ -150,11 +152,42 @@ def late_windows(records: list[tuple]) -> Iterator[tuple]:
         yield ids[docs], keys[docs], counts, places[late]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, places): the windows, by their first words' numbers, whose words a document with a smaller id holds too.
-
-    ``key`` is the text's XXH64, for ids that are not unique; a row comes once from each range that has some of its windows.
-    """
+def by_home(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, places: np.ndarray, homes: int) -> Iterator[tuple]:
+    """Records of ``FOUND``: documents go to one of ``homes``, one record each."""
+    home = ((ids.astype(np.uint64) * np.uint64(BASES[0]) ^ keys.astype(np.uint64)) * np.uint64(BASES[1]) >> np.uint64(33)).astype(np.int64) % homes
+    order = np.argsort(home, kind="stable")
+    window = np.argsort(np.repeat(home, counts), kind="stable")
+    places, begins = places[window], np.concatenate([[0], np.cumsum(counts[order], dtype=np.int64)])
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(home[order])) + 1, [len(order)]])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own, n = order[a:b], counts[order[a:b]].astype("<u4")
+        first = begins[a:b] - begins[a]
+        yield int(home[own[0]]), n.tobytes(), ids[own].tobytes(), keys[own].tobytes(), pack_places(places[begins[a] : begins[b]], first)
+
+
+def spans_of(records: list[tuple], window: int) -> pa.RecordBatch:
+    """``SPANS`` of one home's documents: the longest intervals that late windows cover; windows that touch are one."""
+    counts = [np.frombuffer(r[0], "<u4") for r in records]
+    ids, keys = (np.concatenate([np.frombuffer(r[k], np.int64) for r in records]) for k in (1, 2))
+    place = np.concatenate([unpack_places(r[3], n) for r, n in zip(records, counts, strict=True)])
+    pairs = np.lexsort((keys, ids))
+    fresh = np.concatenate([[True], (ids[pairs[1:]] != ids[pairs[:-1]]) | (keys[pairs[1:]] != keys[pairs[:-1]])])
+    number = np.empty(len(ids), np.int64)
+    number[pairs] = np.cumsum(fresh) - 1
+    doc = np.repeat(number, np.concatenate(counts))
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + window)])
+    starts = np.flatnonzero(first)
+    last = np.append(starts[1:], len(place)) - 1
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[starts], minlength=int(fresh.sum())))])
+    both = [pa.array(x.astype(np.int32)) for x in (place[starts], place[last] + window)]
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(both, ["start", "end"]))
+    return pa.RecordBatch.from_arrays([pa.array(ids[pairs[fresh]]), pa.array(keys[pairs[fresh]]), lists], ["doc_id", "key", "spans"])
+
+
+def intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``SPANS``: the words to remove from each document that has any. ``key`` is the text's XXH64, for ids that are not unique."""
     size = docs.agg(F.sum(F.octet_length(text_of("text"))).alias("n")).first()["n"] or 0
     windows = size // 6 + 1
     parts = max(1, min(windows // RANGE, 4096), windows // LARGEST)
@@ -170,11 +203,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
-        for ids, keys, counts, places in late_windows(records):
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), lists], ["doc_id", "key", "places"])
+        for late in late_windows(records):
+            yield table(list(by_home(*late, parts)), FOUND)
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield spans_of([r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)], window)
+
+    return keyed(docs).mapInArrow(send, SENT).groupBy("part").applyInArrow(count, FOUND).groupBy("home").applyInArrow(merge, SPANS)
 
-    return keyed(docs).mapInArrow(send, SENT).groupBy("part").applyInArrow(count, FOUND)
+
+def table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of one number and binary columns."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(columns)], names)
 
 
 def number_of(doc_id: str) -> Column:
@@ -186,12 +228,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(number_of("doc_id").alias("doc_id"), F.xxhash64(text_of("text")).alias("key"), text_of("text").alias("text"))
 
 
-def merged(places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the longest intervals that the windows at ``places`` (sorted) cover; windows that touch are one."""
-    cut = np.flatnonzero(places[1:] > places[:-1] + window)
-    return places[np.concatenate([[0], cut + 1])], places[np.append(cut, len(places) - 1)] + window
-
-
 def with_intervals(docs: DataFrame, window: int = WINDOW, name: str = "removed") -> DataFrame:
     """Add ``name``: the maximal intervals of words, array<struct<start int, end int>>, to be removed from each document.
 
@@ -202,17 +238,7 @@ def with_intervals(docs: DataFrame, window: int = WINDOW, name: str = "removed")
     Other columns stay; a column called ``name`` is replaced. Empty tables give empty results.
     """
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [merged(np.unique(np.concatenate([np.asarray(x, np.int32) for x in lists])), window) for lists in batch.column(2).to_pylist()]
-            if spans:
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s, _ in spans])]), pa.int32())
-                both = [pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*spans, strict=True)]
-                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(both, ["start", "end"]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "key", "spans"])
-
-    found = repeated_windows(docs, window).groupBy("doc_id", "key").agg(F.collect_list("places").alias("places"))
-    found = write_table(found.mapInArrow(merge, "doc_id bigint, key bigint, spans array<struct<start:int,end:int>>"), "intervals")
+    found = write_table(intervals(docs, window), "intervals")
     rest = docs.drop(name)
     names = [free_name(rest, x) for x in ("_id", "_key", "_spans")]
     found = found.toDF(*names)

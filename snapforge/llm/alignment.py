@@ -37,7 +37,7 @@ from snapforge.llm.common import maybe_broadcast, text_of, write_table
 CHUNK = 1 << 15
 FAN_IN = 8
 #: Segments that a Python worker remembers, and the longest one.
-MEMORY, LONG = 150_000, 64
+MEMORY, LONG = 120_000, 64
 #: Characters of the texts that are aligned together, unless one has more.
 GROUP = 1 << 19
 #: Pairs of ids that may be broadcast, at 24 bytes each.
@@ -121,9 +121,9 @@ class Tokenizers:
         if [model["vocab"][m] for m in merges] == list(range(256, 256 + len(merges))):  # ids are ranks
             ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
             self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        pieces = pieces_of(self.b)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.cuts = may_cut(pieces)
 
         n = max(self.a_bytes) + 1
         self.a_sizes, self.b_sizes = np.zeros(n, np.int64), np.array([len(t) for t in self.b_bytes])
@@ -138,12 +138,14 @@ class Tokenizers:
         whole = [" " + t for t in texts]
         a = [fast(w) if fast is not None and max(w) < PLAIN else slow(w, add_special_tokens=False).ids for w in whole]
         b = self.b.encode(texts, num_threads=1)
-        want = "".join(whole).encode()
-        if all(texts) and b"".join(map(of_a, chain.from_iterable(a))) == want and b"".join(map(of_b, chain.from_iterable(b))) == want:
-            if len(texts) == 1 or all(sum(map(len, map(of_b, y))) == len(w.encode()) for w, y in zip(whole, b, strict=True)):
+        want = [w.encode() for w in whole]
+        if all(texts) and all(b"".join(map(of, chain.from_iterable(ids))) == b"".join(want) for of, ids in ((of_a, a), (of_b, b))):
+            ends = np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))
+            flat = [(np.fromiter(chain.from_iterable(ids), np.int64), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))) for ids in (a, b)]
+            if all((np.cumsum(sizes[ids])[last - 1] == ends).all() for (ids, last), sizes in zip(flat, (self.a_sizes, self.b_sizes), strict=True)):
                 return list(zip(a, b, strict=True))
-        same = lambda t, w, x, y: bool(t) and b"".join(map(of_a, x)) == w.encode() == b"".join(map(of_b, y))
-        return [(x, y) if same(t, w, x, y) else None for t, w, x, y in zip(texts, whole, a, b, strict=True)]
+        same = lambda t, w, x, y: bool(t) and b"".join(map(of_a, x)) == w == b"".join(map(of_b, y))
+        return [(x, y) if same(t, w, x, y) else None for t, w, x, y in zip(texts, want, a, b, strict=True)]
 
     def fragment(self, a: list[int], b: list[int]) -> Fragment:
         """Of all tokens of some stretch of bytes."""
@@ -172,6 +174,15 @@ class Tokenizers:
             at, link = at + n_a + n_b, n
 
 
+def pieces_of(model) -> list[str]:
+    return [model.id_to_piece(i) for i in range(model.get_piece_size())]
+
+
+def may_cut(pieces: list[str]) -> bool:
+    """Whether no piece has a blank after another character."""
+    return not any("▁" in p.lstrip("▁") for p in pieces)
+
+
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 up."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -311,14 +322,14 @@ def align_short(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.mapInArrow(work, ALIGNED.format(kind=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def cut_long(docs: DataFrame, a_path: str, b_path: str, size: int = CHUNK) -> DataFrame:
+def cut_long(docs: DataFrame, cuts: bool, size: int = CHUNK) -> DataFrame:
     """(row, no, doc_id, text): the chunks of each document, under a number that no other row has once the table is written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, cuts = TaskContext.get().partitionId() << 40, aligner(a_path, b_path).of.cuts
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                parts = chunks(text, cuts, size)
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                parts = chunks(text.as_py(), cuts, size)
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([doc_id.as_py()] * n, doc_id.type), pa.array(parts)], ["row", "no", "doc_id", "text"])
                 row += 1
@@ -358,45 +369,49 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[tuple, Fragment, bool]]:
         yield labels, found, row["same"]
 
 
-def compose(parts: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """One round: every ``fan_in`` neighbouring fragments of a document become one. A task holds one of them at a time."""
+def finish(kind: pa.DataType, row: tuple[tuple, Fragment, bool]) -> pa.RecordBatch:
+    """The ``ALIGNED`` row of a document that is one fragment."""
+    (_, _, doc_id, n_a, n_b), found, same = row
+    return finished(kind, [(doc_id, n_a, n_b, ";".join(found.all_groups()), b"".join(found.links)) if same else (doc_id, *NOTHING)])
+
+
+def compose(parts: DataFrame, last: bool, fan_in: int = FAN_IN) -> DataFrame:
+    """One round: every ``fan_in`` neighbouring fragments of a document become one, the ``last`` time an ``ALIGNED`` row. A task holds one of them at a time."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kind = None, None
+        now, kind, give = None, None, finish if last else lambda kind, row: stored(kind, [row])
         for batch in batches:
             kind = batch.schema.field(2).type
-            for (row, no, doc_id, n_a, n_b), found, same in read(batch):
-                if now is not None and now[0][:2] == (row, no // fan_in):
-                    (_, _, _, a, b), before, good = now
-                    now = (row, no // fan_in, doc_id, a + n_a, b + n_b), before + found, good and same
-                else:
-                    if now is not None:
-                        yield stored(kind, [now])
-                    now = (row, no // fan_in, doc_id, n_a, n_b), found, same
+            for at in range(len(batch)):
+                for (row, no, doc_id, n_a, n_b), found, same in read(batch.slice(at, 1)):
+                    if now is not None and now[0][:2] == (row, no // fan_in):
+                        (_, _, _, a, b), before, good = now
+                        now = (row, no // fan_in, doc_id, a + n_a, b + n_b), before + found, good and same
+                    else:
+                        if now is not None:
+                            yield give(kind, now)
+                        now = (row, no // fan_in, doc_id, n_a, n_b), found, same
         if now is not None:
-            yield stored(kind, [now])
+            yield give(kind, now)
 
     together = parts.repartition("row", F.floor(F.col("no") / fan_in)).sortWithinPartitions("row", "no")
-    return together.mapInArrow(work, parts.schema)
+    return together.mapInArrow(work, ALIGNED.format(kind=parts.schema["doc_id"].dataType.simpleString()) if last else parts.schema)
 
 
 def align_long(docs: DataFrame, a_path: str, b_path: str, size: int = CHUNK) -> DataFrame:
-    """``ALIGNED`` rows of documents that several tasks tokenise, chunk by chunk."""
+    """``ALIGNED`` rows of documents that several tasks tokenise, chunk by chunk.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for (_, _, doc_id, n_a, n_b), found, same in read(batch):
-                rows.append((doc_id, n_a, n_b, ";".join(found.all_groups()), b"".join(found.links)) if same else (doc_id, *NOTHING))
-            if rows:
-                yield finished(batch.schema.field(2).type, rows)
+    Each step's result is written, so that a stage has one kind of Python worker and only those that tokenise hold the vocabularies.
+    """
+    import sentencepiece
 
-    parts = write_table(cut_long(docs, a_path, b_path, size), "chunks")
+    cuts = may_cut(pieces_of(sentencepiece.SentencePieceProcessor(model_file=b_path)))
+    parts = write_table(cut_long(docs, cuts, size), "chunks")
     left = (parts.agg(F.max("no").alias("n")).first()["n"] or 0) + 1
-    found = fragments(parts.repartition("row", "no"), a_path, b_path)
-    while left > 1:
-        found, left = compose(found), -(-left // FAN_IN)
-    return found.mapInArrow(work, ALIGNED.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+    found = write_table(fragments(parts.repartition("row", "no"), a_path, b_path), "fragments")
+    while left > FAN_IN:
+        found, left = write_table(compose(found, False), "fragments"), -(-left // FAN_IN)
+    return compose(found, True)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, size: int = CHUNK) -> DataFrame:

@@ -343,13 +343,11 @@ def fragments(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path).of
         for batch in batches:
-            rows = []
-            for row, no, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at in range(len(batch)):  # one at a time: ids as Python numbers take many times the text's bytes
+                (row,), (no,), (doc_id,), (text,) = (c.to_pylist() for c in batch.slice(at, 1).columns)
                 (tokens,) = own.tokens([text])
                 a, b = tokens or ([], [])
-                rows.append(((row, no, doc_id, len(a), len(b)), own.fragment(a, b), tokens is not None))
-            if rows:
-                yield stored(batch.schema.field(2).type, rows)
+                yield stored(batch.schema.field(2).type, [((row, no, doc_id, len(a), len(b)), own.fragment(a, b), tokens is not None)])
 
     return parts.mapInArrow(work, FRAGMENT.format(kind=parts.schema["doc_id"].dataType.simpleString()))
 

@@ -4,39 +4,23 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapforge.functions import losses, matrix
+from snapforge.jobs import systems  # noqa: F401 (its queries are registered on import)
+from snapforge.jobs.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from snapforge.operators import lyapunov, mesh, sampling, svd
 from snapforge.sources import meshes
 from snapforge.sources.folders import shared_folder, table
 from snapforge.streaming.incremental import stream_gram, stream_svd
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 LONG = "long AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 GRAM = f"{LONG}, gram AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM long a JOIN long b USING (i) GROUP BY a.j, b.j)"
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(name: str, digits: int = 6, alias: str | None = None):
-    return (F.round(F.col(name), digits) + 0.0).alias(alias or name)
-
-
 def embedding_matrix(spark: SparkSession, d: str) -> DataFrame:
     return matrix.to_long(table(spark, d, "embeddings"), "vec_id", "embedding")
 

@@ -140,7 +140,7 @@ def lr_adi(of: System, b: Vectors, tol: float = 1e-10, max_iter: int = 500, colu
     whole = left = norm(b)
     while left > whole * tol and steps < max_iter:
         s = complex(shifts[at])
-        v = sparse.solve(of, w, 1.0, s if s.imag else s.real, tol=min(1e-8, tol * 1e2))
+        v = sparse.solve(of, w, 1.0, s if s.imag else s.real, tol=min(1e-8, tol * 1e2), verify=False)
         if not s.imag:
             step, gain = v, -2 * s.real
             z.add(v, eye * np.sqrt(gain))

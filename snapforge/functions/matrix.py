@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from snapforge.sources.folders import write_table
+
 
 def to_long(rows: DataFrame, row_id: str, vec: str) -> DataFrame:
     """(i, j, v) of a table with one array per row."""
@@ -111,8 +113,8 @@ def table_of(cells: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(cells.ravel())], ["i", "j", "v"])
 
 
-def gram(rows: DataFrame, vec: str, other: str | None = None) -> DataFrame:
-    """(i, j, v) of the sum of vec other^T over all rows, ``other`` being ``vec`` itself unless named.
+def gram(rows: DataFrame, vec: str, other: str | None = None, centre: np.ndarray | None = None) -> DataFrame:
+    """(i, j, v) of the sum of vec other^T over all rows, ``other`` being ``vec`` itself unless named. ``centre`` is taken from each vector first.
 
     Each Arrow batch is one small matrix product, each task returns one table, and Spark adds the tables up: what is
     shuffled depends on the number of columns and tasks, not on the rows. Rows with a null vector are left out.
@@ -122,7 +124,8 @@ def gram(rows: DataFrame, vec: str, other: str | None = None) -> DataFrame:
         total = None
         for batch in batches:
             if len(batch.column(0)):
-                more = as_matrix(batch.column(0)).T @ as_matrix(batch.column(1))
+                one, two = (as_matrix(c) if centre is None else as_matrix(c) - centre for c in batch.columns)
+                more = one.T @ two
                 total = more if total is None else total + more
         if total is not None:
             yield table_of(total)
@@ -162,16 +165,20 @@ def random_normal(spark: SparkSession, rows: int, columns: int, seed: int = 0) -
     return cells.select("i", "j", (F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * np.pi * unit(2))).alias("v"))
 
 
-def dense(a: DataFrame, limit: int = 2048) -> np.ndarray:
-    """A small matrix on the driver; one with an index of ``limit`` or more is refused."""
-    shape = a.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
+def dense(a: DataFrame, cells: int = 2048 * 2048) -> np.ndarray:
+    """A small matrix on the driver; one of more than ``cells`` cells is refused before any is fetched.
+
+    The matrix is written first, so it is computed once, and fetched as columns.
+    """
+    kept = write_table(a.select("i", "j", F.col("v").cast("double").alias("v")), "dense")
+    shape = kept.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
     if shape["i"] is None:
         return np.zeros((0, 0))
-    if max(shape["i"], shape["j"]) >= limit:
-        raise ValueError(f"a matrix with index {max(shape['i'], shape['j'])} is too large for the driver")
+    if (shape["i"] + 1) * (shape["j"] + 1) > cells:
+        raise ValueError(f"a matrix with {shape['i'] + 1} x {shape['j'] + 1} cells is too large for the driver")
     out = np.zeros((shape["i"] + 1, shape["j"] + 1))
-    for i, j, v in a.select("i", "j", "v").collect():
-        out[i, j] = v
+    i, j, v = (c.to_numpy() for c in kept.toArrow().columns)
+    out[i, j] = v
     return out
 
 

@@ -239,6 +239,67 @@ def svd_dual_inner_product(spark, d):
     return matrix.matmul(matrix.transpose(u), matrix.matmul(product, u)).select("i", "j", rounded("v"))
 
 
+# 64-wide snapshots of known spectrum: the first component of each embedding, weighed down by its group, along the group's vector of an orthonormal cosine basis.
+WIDE = """w AS (SELECT vec_id, vec_id % 40 AS g, embedding[1]::DOUBLE * pow(2.0, -(vec_id % 40)) AS x FROM embeddings),
+s AS (SELECT g, sqrt(sum(x * x)) AS sigma, row_number() OVER (ORDER BY sum(x * x) DESC) - 1 AS k FROM w GROUP BY g)"""
+
+
+def wide_rows(spark: SparkSession, d: str) -> DataFrame:
+    group = F.col("vec_id") % 40
+    x = F.get("embedding", F.lit(0)).cast("double") * F.pow(F.lit(2.0), -group)
+    wave = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.cos(F.lit(np.pi) * (j + 0.5) * (group + 1) / 64) * float(np.sqrt(2 / 64)))
+    return table(spark, d, "embeddings").withColumn("_x", x).withColumn("_wave", wave).select("vec_id", F.transform("_wave", lambda w: w * F.col("_x")).alias("vec"))
+
+
+def top_values(spark: SparkSession, found: svd.Decomposition) -> DataFrame:
+    return found.frame(spark).select(F.col("k").cast("long").alias("k"), rounded("sigma"))
+
+
+LEADING = f"WITH {WIDE} SELECT k, round(sigma, 6) AS sigma FROM s WHERE k < 5"
+
+
+@query(LEADING)
+def svd_randomized_wide(spark, d):
+    """Five values with 15 probes for 64 columns."""
+    return top_values(spark, svd.svd_randomized(wide_rows(spark, d), "vec", 5))
+
+
+@query(LEADING)
+def svd_sparse_wide(spark, d):
+    return top_values(spark, svd.svd_sparse(matrix.to_long(wide_rows(spark, d), "vec_id", "vec").filter("v <> 0"), 64, 5))
+
+
+@query(LEADING)
+def svd_incremental_fast_wide(spark, d):
+    """The fast variant where later batches only repeat directions of the first: values add up in squares."""
+    rows = wide_rows(spark, d)
+    first, second = rows.filter("vec_id < 160"), rows.filter("vec_id >= 160")
+    return top_values(spark, svd.svd_incremental([first, second], "vec", rank=40, variant="fast")).filter("k < 5")
+
+
+@query(f"""WITH {WIDE} SELECT vec_id, r.k, CASE WHEN s.k = r.k THEN round(abs(x), 6) ELSE 0.0 END AS size FROM w JOIN s USING (g), (SELECT unnest(range(5)) AS k) r""")
+def pod_coefficients_wide(spark, d):
+    """Sizes of the coefficients in five basis vectors of 64-wide snapshots."""
+    rows = wide_rows(spark, d)
+    found = svd.project(rows, "vec_id", "vec", svd.svd_tsqr(rows, "vec", rank=5))
+    return found.select("vec_id", F.col("k").cast("long").alias("k"), (F.round(F.abs("c"), 6) + 0.0).alias("size"))
+
+
+@query(f"WITH {WIDE} SELECT round(sqrt(sum(sigma * sigma) FILTER (k >= 10) / sum(sigma * sigma)), 6) AS relative_error FROM s")
+def pod_error_wide(spark, d):
+    rows = wide_rows(spark, d)
+    return svd.reconstruction_error(rows, "vec", svd.svd_gram(rows, "vec", rank=10)).select(rounded("relative_error"))
+
+
+@query("""WITH w AS (SELECT vec_id, vec_id % 40 AS g, 1 + embedding[1]::DOUBLE / 100 AS x FROM embeddings)
+SELECT round(sqrt(sum((x - m) ** 2)), 6) AS sigma FROM w, (SELECT avg(x) AS m FROM w)""")
+def svd_centred_far(spark, d):
+    """A cloud a million spreads away from zero, along one direction: its only value after centring."""
+    x = (F.get("embedding", F.lit(0)).cast("double") / 100 + 1) * F.lit(1.0)
+    rows = table(spark, d, "embeddings").select(F.array(F.lit(1e6) + x * 0.6, F.lit(-2e6) + x * 0.8).alias("vec"))
+    return svd.svd_gram(rows, "vec", rank=1, center=True).frame(spark).select(rounded("sigma"))
+
+
 @query()
 def pod_basis(spark, d):
     return svd.svd_gram(table(spark, d, "embeddings"), "embedding", rank=5, center=True).basis_frame(spark)
@@ -402,9 +463,11 @@ def locate_boundary(spark, d):
 @query(f"WITH {POINTS}, hits AS (SELECT p.vec_id, min({{'d': sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2), 'b': 'side' || n.label}}) AS best FROM points p JOIN points n "
        "ON n.label = 0 AND sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2) <= 0.02 GROUP BY p.vec_id) SELECT p.vec_id, best.b AS boundary FROM points p LEFT JOIN hits USING (vec_id)")
 def locate_boundary_label(spark, d):
+    """Nulls in other columns, and one called boundary, change nothing."""
     p = points_of(spark, d)
     nodes = p.filter("label = 0").select(F.concat(F.lit("side"), F.col("label").cast("string")).alias("boundary"), "x", "y")
-    return mesh.locate_boundary(p.select("vec_id", "x", "y"), nodes, ["x", "y"], 0.02).select("vec_id", "boundary")
+    noted = p.select("vec_id", "x", "y", F.when(F.col("vec_id") % 2 == 0, "note").alias("note"), F.lit(None).cast("string").alias("boundary"))
+    return mesh.locate_boundary(noted, nodes, ["x", "y"], 0.02).select("vec_id", "boundary")
 
 
 KNN = f"""{POINTS}, near AS (SELECT q.vec_id AS query, p.vec_id AS neighbour, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS distance,

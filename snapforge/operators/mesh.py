@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapforge.functions.matrix import as_matrix, free_name
-from snapforge.operators.sampling import apportion, id_hash
+from snapforge.operators.sampling import apportion, key_hash
 from snapforge.sources.folders import write_table
 
 #: Corners of each facet, as positions in a cell's connectivity.
@@ -134,17 +134,21 @@ def locate_boundary(points: DataFrame, nodes: DataFrame, axes: list[str], tolera
     """Add ``boundary``: of the nearest boundary node within ``tolerance``, else null; ties go to the first name.
 
     Nodes are put into a grid of cells as wide as the tolerance and a point looks into the cells around its own, so
-    each pair that is compared is near.
+    each pair that is compared is near. Points are numbered in a written table and meet their boundary by that number, so nulls in other columns, repeated
+    points and columns of any name are no matter; a column called ``boundary`` is replaced. A point without a coordinate has no boundary.
     """
+    points = points.drop("boundary")
+    row, at, distance, best = (free_name(points, x) for x in ("_row", "_cell", "_d", "_best"))
+    numbered = write_table(points.withColumn(row, F.monotonically_increasing_id()), "points")
     cell = lambda a: F.floor(F.col(a) / F.lit(tolerance)).cast("long")
-    around = points
+    around = numbered.select(row, *axes)
     for i, a in enumerate(axes):
-        around = around.withColumn(f"_c{i}", F.explode(F.array(*[cell(a) + s for s in (-1, 0, 1)])))
-    around = around.withColumn("_cell", F.array(*[f"_c{i}" for i in range(len(axes))]))
-    near = nodes.select(F.array(*[cell(a) for a in axes]).alias("_cell"), "boundary", *[F.col(a).alias(f"_n{a}") for a in axes])
-    pairs = around.join(near, "_cell").withColumn("_d", F.sqrt(_squared(axes, "_n"))).filter(F.col("_d") <= tolerance)
-    best = pairs.groupBy(*points.columns).agg(F.min(F.struct("_d", "boundary")).alias("_best")).select(*points.columns, F.col("_best.boundary").alias("boundary"))
-    return points.join(best, points.columns, "left")
+        around = around.withColumn(f"{at}{i}", F.explode(F.array(*[cell(a) + s for s in (-1, 0, 1)])))
+    around = around.withColumn(at, F.array(*[f"{at}{i}" for i in range(len(axes))]))
+    near = nodes.select(F.array(*[cell(a) for a in axes]).alias(at), F.col("boundary").alias(best), *[F.col(a).alias(f"{at}{a}") for a in axes])
+    pairs = around.join(near, at).withColumn(distance, F.sqrt(_squared(axes, at))).filter(F.col(distance) <= tolerance)
+    found = pairs.groupBy(row).agg(F.min(F.struct(distance, best)).getField(best).alias("boundary"))
+    return numbered.join(found, row, "left").drop(row)
 
 
 def nearest(queries: DataFrame, points: DataFrame, key: str, axes: list[str], k: int, block: int = 4096, same: bool = True, rounds: int = 4) -> DataFrame:
@@ -300,7 +304,7 @@ def sample_facets(facets: DataFrame, measure: str, key: str, n: int | DataFrame,
     """
     run, total, base, whole, inner, a, b, wanted = (free_name(facets, x) for x in ("_run", "_s", "_base", "_all", "_in", "_a", "_b", "_n"))
     group = [by] if by else []
-    rows = facets.withColumn(run, F.coalesce(F.pmod(id_hash(key), F.lit(runs)), F.lit(-1)))
+    rows = facets.withColumn(run, F.coalesce(F.pmod(key_hash(facets, key), F.lit(runs)), F.lit(-1)))
     of_group = Window.partitionBy(*group) if by else Window.partitionBy(F.lit(1))
     before, everything = (of_group.orderBy(run).rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.unboundedFollowing))
     sums = rows.groupBy(*group, run).agg(F.sum(measure).alias(total))

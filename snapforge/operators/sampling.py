@@ -13,10 +13,19 @@ MULTIPLIER, MODULUS = 2654435761, 4294967296
 RANGES = 4096
 
 
-def id_hash(key: str) -> Column:
+def id_hash(key: str, kind: str = "bigint") -> Column:
+    """A number below ``MODULUS``. Keys of ``kind`` string, date or timestamp count as a number made of their text's bytes (its first 60 bits of MD5)."""
+    if kind in ("string", "date", "timestamp", "binary"):
+        whole = F.conv(F.substring(F.md5(F.col(key).cast("binary") if kind == "string" else F.col(key).cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+        return F.pmod(whole, F.lit(MODULUS))
     return F.pmod(F.col(key).cast("decimal(38,0)") * F.lit(MULTIPLIER).cast("decimal(20,0)"), F.lit(MODULUS).cast("decimal(20,0)")).cast("long")
 
 
+def key_hash(rows: DataFrame, key: str) -> Column:
+    """``id_hash`` of a column of ``rows`` of whatever type."""
+    return id_hash(key, rows.schema[key].dataType.simpleString())
+
+
 def valid_weights(weights: DataFrame, name: str, weight: str) -> DataFrame:
     """``weights`` itself; an empty table, a null, negative or infinite weight and a sum of zero are errors."""
     value = F.col(weight).cast("double")
@@ -55,7 +64,7 @@ def sample_strata(rows: DataFrame, counts: DataFrame, stratum: str, key: str) ->
     ``count`` hold no chosen row, so they are left out before ranking. Equal hashes are ranked by the key, null keys last.
     """
     hashed, span, size, before, bound, rank, wanted, name = (free_name(rows, x) for x in ("_hash", "_range", "_size", "_before", "_bound", "_rank", "_wanted", "_stratum"))
-    each = rows.withColumn(hashed, id_hash(key)).withColumn(span, F.coalesce(F.floor(F.col(hashed) / (MODULUS // RANGES)), F.lit(RANGES)).cast("long"))
+    each = rows.withColumn(hashed, key_hash(rows, key)).withColumn(span, F.coalesce(F.floor(F.col(hashed) / (MODULUS // RANGES)), F.lit(RANGES)).cast("long"))
     sizes = each.groupBy(F.col(stratum).alias(name), span).agg(F.count(F.lit(1)).alias(size))
     sofar = F.coalesce(F.sum(size).over(Window.partitionBy(name).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     asked = counts.select(F.col(stratum).alias(wanted), F.col("count").alias(rank))
@@ -75,7 +84,7 @@ def sample_with_replacement(rows: DataFrame, key: str, n: int, seed: int = 0) ->
     if not total:
         raise ValueError("there are no rows to draw from")
     place, other = free_name(rows, "_place"), free_name(rows, "_drawn")
-    ranked = ordered_rank(rows, id_hash(key), MODULUS, [key], name=place)
+    ranked = ordered_rank(rows, key_hash(rows, key), MODULUS, [key], name=place)
     draws = rows.sparkSession.range(n).select(F.col("id").alias("sample"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)) + 1).alias(other))
     return draws.join(ranked, F.col(other) == F.col(place)).drop(place, other)
 
@@ -85,7 +94,7 @@ def train_validation_split(rows: DataFrame, key: str, share: float = 0.2) -> Dat
     n = rows.count()
     held = min(max(round(n * share), 1), n - 1) if n > 1 else 0
     rank = free_name(rows, "_rank")
-    ranked = ordered_rank(rows, id_hash(key), MODULUS, [key], name=rank)
+    ranked = ordered_rank(rows, key_hash(rows, key), MODULUS, [key], name=rank)
     return ranked.withColumn("split", F.when(F.col(rank) <= held, "validation").otherwise("train")).drop(rank)
 
 
@@ -112,7 +121,7 @@ def region_batch(rows: DataFrame, counts: DataFrame, region: str, key: str, seed
         raise ValueError("every region with a count needs rows, and some count must be positive")
     least = plan.select(F.col(other).alias(region), F.least(n, size).alias("count"))
     kept = sample_strata(rows, least, region, key)  # as many rows as asked for, at most
-    ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy(region).orderBy(F.asc_nulls_last(id_hash(key)), F.asc_nulls_last(key))).cast("long"))
+    ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy(region).orderBy(F.asc_nulls_last(key_hash(kept, key)), F.asc_nulls_last(key))).cast("long"))
     draws = plan.withColumn("sample", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     draws = draws.withColumn(place, F.when(F.col(n) <= F.col(size), F.col("sample")).otherwise(F.pmod(F.xxhash64("sample", F.lit(seed)), F.col(size)) + 1))
     draws = draws.select(F.col(other).alias(n), "sample", F.col(place).alias(size))

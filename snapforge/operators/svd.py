@@ -55,13 +55,12 @@ def truncate(spectrum: DataFrame, tol: float, sigma: str = "sigma", tie: str = "
 
 
 def svd_gram(rows: DataFrame, vec: str, rank: int | None = None, tol: float | None = None, center: bool = False) -> Decomposition:
-    """Method of snapshots: eigenvalues of the Gram matrix. Values under about 1e-8 of the largest are noise; see svd_tsqr."""
-    mean = None
-    if center:
-        n, mean = column_mean(rows, vec)
-        g = dense(gram(rows, vec)) - n * np.outer(mean, mean)
-    else:
-        g = dense(gram(rows, vec))
+    """Method of snapshots: eigenvalues of the Gram matrix. Values under about 1e-8 of the largest are noise; see svd_tsqr.
+
+    Centring takes two passes, the mean first, so spreads far below the mean's size are kept.
+    """
+    mean = column_mean(rows, vec)[1] if center else None
+    g = dense(gram(rows, vec, centre=mean))
     values, vectors = np.linalg.eigh(g)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
     keep = values > values.max(initial=0) * len(values) * np.finfo(float).eps

@@ -2,14 +2,16 @@
 
 A page's text falls into blocks, each with the path of block-level tags (with their classes) from the root. For each path
 the text length and the punctuation of its blocks are summed, link text left out. A path's two ratios (characters
-and punctuation marks per block) are smoothed with its neighbours' in page order and fused by multiplication, with the
-path's number of blocks, its share of text outside of links and its weight. Paths that reach a part of the best
+and punctuation marks per block) are smoothed with its neighbours' in page order and fused by multiplication, with its
+share of text outside of links and its weight. How many blocks a path has doesn't count, so many short comments weigh no more than
+few paragraphs. Paths that reach a part of the best
 path's value are content nodes. The nearest element around all of them, or an article or main element around that, is
-the content: all of its blocks stay, but for those under an element of lower weight inside, whose own path must have passed.
+the content: its blocks stay, but for those of lower weight inside, and those that are mostly links outside of paragraphs and list items, whose own path must have passed.
 
-Weights come from what HTML says of an element: navigation, footers, asides, forms and the like have a low weight,
-and so has all that lies outside of a page's article or main elements. They shift the comparison of ratios and remove
-nothing by themselves: text in a footer, or outside of an article, is content where its ratios outweigh the rest.
+Weights come from what HTML says of an element: what lies in navigation, footers, asides, forms and the like, or outside of a page's
+article or main elements, is content only where no other path passes. Elements whose class or id names them as
+comments, adverts and the like have a low weight, and so have repeated siblings that each hold a short line of links or dates and a
+text, as comments and teasers do whatever they are called.
 Only what is never running text (scripts, styles, the head, form controls) takes no part.
 """
 
@@ -27,7 +29,7 @@ from snapforge.llm.common import text_of
 
 #: Part of the best path's fused ratio that a path needs, and what every content path needs.
 THRESHOLD, LEAST = 0.05, 0.3
-#: Weight of an element that HTML sets apart from the main text, and of all outside of a page's article or main elements.
+#: Weight of an element that HTML sets apart from the main text.
 APART = 0.001
 #: Weight of an element whose class or id names it as an advert, a notice or the like.
 NAMED = 0.02
@@ -38,12 +40,16 @@ CONTROLS = "head select datalist button map"
 HEAD = "title meta link base style script noscript template"
 ASIDE = "nav footer aside form dialog menu"
 ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar"
-NAMES = "ad ads advert advertisement sponsored sidebar menu footer cookie consent newsletter comment comments disqus"
+NAMES = """ad ads advert advertisement sponsored promo promotion sidebar menu footer cookie consent notice banner newsletter related
+comment comments kommentar kommentare commentaire commentaires comentario comentarios reply replies response responses discussion disqus"""
 VOID = "area base br col embed hr img input link meta param source track wbr"
+#: Repeated siblings of that many are comments or teasers; the longest line of links or dates in them.
+ITEMS, LINE = 3, 80
+HEADINGS = "h1 h2 h3 h4 h5 h6"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
 LEAVES = "p h1 h2 h3 h4 h5 h6 li blockquote pre"
 
-_RAW, _CONTROLS, _HEAD, _ASIDE, _ROLES, _NAMED, _VOID, _INLINE, _LEAVES = (frozenset(x.split()) for x in (RAW, CONTROLS, HEAD, ASIDE, ROLES, NAMES, VOID, INLINE, LEAVES))
+_RAW, _CONTROLS, _HEAD, _ASIDE, _ROLES, _NAMED, _VOID, _INLINE, _LEAVES, _HEADINGS = (frozenset(x.split()) for x in (RAW, CONTROLS, HEAD, ASIDE, ROLES, NAMES, VOID, INLINE, LEAVES, HEADINGS))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[a-z/!?][^>]*>?", re.IGNORECASE | re.DOTALL)
@@ -63,16 +69,18 @@ class Paths:
     tag: list[str]
     weight: list[float]
     article: list[int]  # the innermost article or main element's path that the path lies in, or -1
+    apart: list[bool]  # whether the path lies in an element that HTML sets apart
+    items: list[int]  # how many of the path's elements hold a line of links or dates, and a text
     known: dict[tuple[int, str, str], int]
 
     def child(self, path: int, tag: str, names: dict[str, str]) -> int:
         label = " ".join(sorted(names.get("class", "").split()))
         words = {w.lower() for w in _WORD.findall(names.get("class", "") + " " + names.get("id", ""))}
         role = names.get("role", "").lower()
-        weight = 1.0
+        weight, apart = 1.0, self.apart[path]
         if tag not in ("html", "body", "article", "main"):
             if tag in _ASIDE or role in _ROLES or (tag == "header" and self.article[path] < 0):
-                weight = APART
+                weight, apart = APART, True
             elif not words.isdisjoint(_NAMED):
                 weight = NAMED
         key = (path, f"{tag} {label}", str(weight))
@@ -81,6 +89,8 @@ class Paths:
             self.parent.append(path)
             self.tag.append(tag)
             self.weight.append(self.weight[path] * weight)
+            self.apart.append(apart)
+            self.items.append(0)
             self.article.append(self.known[key] if tag in ("article", "main") or role == "main" else self.article[path])
         return self.known[key]
 
@@ -90,24 +100,35 @@ def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
 
     Unclosed tags are closed as browsers do. The work grows in proportion to the page, however deep its tags are nested.
     """
-    paths, found, parts = Paths([-1], [""], [1.0], [-1], {}), [], []
+    paths, found, parts = Paths([-1], [""], [1.0], [-1], [False], [0], {}), [], []
     tags, at_path, hidden = [""], [0], [False]  # the open elements: tag, path, whether no text
     where: dict[str, list[int]] = {}  # places of each open tag
     outer = [0]  # places of open block-level elements
+    lines, texts = [0], [0]  # of each open element: blocks that are lines of links or dates, and others
 
     def flush() -> None:
         text = " ".join("".join(t for t, _ in parts).split())
         if text and not hidden[-1]:
-            found.append((at_path[-1], text, sum(len(" ".join(t.split())) for t, link in parts if link)))
+            linked = sum(len(" ".join(t.split())) for t, link in parts if link)
+            found.append((at_path[-1], text, sum(len(" ".join(t.split())) for t, link in parts if link == "a")))
+            if len(text) <= LINE and 2 * linked >= len(text) and paths.tag[at_path[-1]] not in _HEADINGS:
+                lines[-1] += 1
+            elif paths.tag[at_path[-1]] not in _HEADINGS:
+                texts[-1] += 1
         parts.clear()
 
     def pop(at: int) -> None:
         if outer[-1] >= at:
             flush()
         while len(tags) > at:
-            where[tags.pop()].pop()
-            at_path.pop()
+            place, tag = at_path.pop(), tags.pop()
+            where[tag].pop()
             hidden.pop()
+            n, m = lines.pop(), texts.pop()
+            if tag not in _INLINE and tag not in ("html", "body", "article", "main"):
+                paths.items[place] += bool(n and m)
+            lines[-1] += n
+            texts[-1] += m
         while outer[-1] >= at:
             outer.pop()
 
@@ -116,7 +137,7 @@ def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
 
     def add(raw: str) -> None:
         if raw and not hidden[-1]:
-            parts.append((unescape(raw), bool(where.get("a"))))
+            parts.append((unescape(raw), "a" if where.get("a") else "time" if where.get("time") else ""))
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -134,7 +155,7 @@ def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
         if where.get("head") and tag not in _HEAD:
             pop(where["head"][-1])
         if tag in _VOID:
-            parts.append((" ", False))
+            parts.append((" ", ""))
             if tag == "hr":
                 flush()
             continue
@@ -153,9 +174,16 @@ def blocks(html: str) -> tuple[Paths, list[tuple[int, str, int]]]:
             outer.append(len(tags))
             at_path.append(paths.child(at_path[-1], tag, names))
         tags.append(tag)
+        lines.append(0)
+        texts.append(0)
         hidden.append(hidden[-1] or tag in _CONTROLS)
     add(html[at:])
     flush()
+    pop(1)
+    for p in range(1, len(paths.parent)):  # what lies in repeated items weighs less
+        if paths.items[p] >= ITEMS or paths.items[paths.parent[p]] < 0:
+            paths.items[p] = -1
+            paths.weight[p] *= NAMED
     return paths, found
 
 
@@ -170,13 +198,11 @@ def fused_ratios(paths: Paths, found: list[tuple[int, str, int]]) -> dict[int, f
         s[3] += len(text)
     order = list(sums)
     ratios = [(sums[p][0] / sums[p][2], (sums[p][1] + 0.5) / sums[p][2]) for p in order]
-    inside = any(paths.article[p] >= 0 for p in range(len(paths.parent)))
     out = {}
     for i, p in enumerate(order):
         near = ratios[max(0, i - 1) : i + 2]
         length, marks = (0.5 * ratios[i][k] + 0.5 * sum(r[k] for r in near) / len(near) for k in (0, 1))
-        weight = APART if inside and paths.article[p] < 0 else max(paths.weight[p], APART)
-        out[p] = length * marks * sums[p][2] * sums[p][0] / sums[p][3] * weight
+        out[p] = length * marks * sums[p][0] / sums[p][3] * max(paths.weight[p], APART * APART)
     return out
 
 
@@ -186,8 +212,12 @@ def main_text(html: str, threshold: float = THRESHOLD, least: float = LEAST) ->
     if not found:
         return ""
     fused = fused_ratios(paths, found)
-    bound = max(threshold * max(fused.values()), least)
-    passed = {p for p, value in fused.items() if value >= bound}
+    passed: set[int] = set()
+    for fit in (lambda p: paths.article[p] >= 0 and not paths.apart[p], lambda p: not paths.apart[p], lambda p: True):
+        own = {p: value for p, value in fused.items() if fit(p)}
+        passed = {p for p, value in own.items() if value >= max(threshold * max(own.values()), least)}
+        if passed:
+            break
     if not passed:
         return ""
     held = [0] * len(paths.parent)
@@ -203,7 +233,13 @@ def main_text(html: str, threshold: float = THRESHOLD, least: float = LEAST) ->
     within = [p == root for p in range(len(held))]
     for p in range(root + 1, len(held)):
         within[p] = within[paths.parent[p]]
-    return "\n".join(text for p, text, _ in found if within[p] and (p in passed or paths.weight[p] == paths.weight[root]))
+    size: dict[int, list[int]] = {}
+    for p, text, linked in found:
+        s = size.setdefault(p, [0, 0])
+        s[0] += len(text)
+        s[1] += linked
+    keep = {p for p, (n, linked) in size.items() if within[p] and (p in passed or (paths.weight[p] == paths.weight[root] and (2 * linked <= n or paths.tag[p] in _LEAVES)))}
+    return "\n".join(text for p, text, _ in found if p in keep)
 
 
 def with_main_text(pages: DataFrame, html: str = "html", name: str = "main_text") -> DataFrame:

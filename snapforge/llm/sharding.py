@@ -54,16 +54,16 @@ def number_slots(df: DataFrame, key: str, order: list[str], runs: int = SLOT_RUN
     A shard's rows are dealt by a hash of the key into ``runs`` runs. Each run is numbered by itself, and the
     rows of earlier runs are added from a table of counts that has at most shards x runs rows: that bound
     holds at every input size, so the table is broadcast. Counting reads only the key. Rows with one key lie in
-    one run; equal rows get different slots.
+    one run; equal rows get different slots. Texts are not read, however long.
     """
-    run = free_name(df, "_run")
+    run, first, n = (free_name(df, x) for x in ("_run", "_first", "_n"))
     digits = F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("/run"))), 1, 8)
     df = df.withColumn(run, (F.conv(digits, 16, 10).cast("long") % runs).cast("int"))
-    counts = df.groupBy("shard", run).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy("shard", run).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy("shard").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", run, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    firsts = counts.select("shard", run, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
     numbered = df.withColumn("slot", F.row_number().over(Window.partitionBy("shard", run).orderBy(*order)).cast("long"))
-    return numbered.join(F.broadcast(first), ["shard", run]).withColumn("slot", F.col("slot") + F.col("_first") - 1).drop(run, "_first")
+    return numbered.join(F.broadcast(firsts), ["shard", run]).withColumn("slot", F.col("slot") + F.col(first) - 1).drop(run, first)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

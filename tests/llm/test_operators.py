@@ -199,7 +199,39 @@ def test_ratios_decide_without_articles(monkeypatch):
     page = f"<body><div class=x1><a href=a>Home</a> <a href=b>News</a></div><div class=x2>Buy now</div><div class=x3><div class=x4>{body}</div></div><div class=x5>All rights reserved</div></body>"
     text = html_text.main_text(page).split("\n")
     assert len(text) == 12 and len(html_text.blocks(page)[1]) == 15
-    assert html_text.main_text(f"<footer>{body * 20}</footer><main><p>Skip</p></main>").startswith("Paragraph 0")
+    assert html_text.main_text(f"<footer>{body * 20}</footer><main><p>Skip</p></main>") == "Skip"
+
+
+ARTICLE = "".join(f"<p>Paragraph {i}, with some more words, and an end of it.</p>" for i in range(8))
+REMARKS = "".join(f"<p>Great post number {i}, thanks a lot, really!</p>" for i in range(10))
+
+
+@pytest.mark.parametrize("name", "comments replies responses discussion Kommentare related notice banner promo".split())
+@pytest.mark.parametrize("page", ["<article>{a}<section class={n}>{r}</section></article>", "<body><div class=c>{a}</div><div class={n}>{r}</div></body>"])
+def test_named_parts_stay_out(name, page):
+    text = html_text.main_text(page.format(a=ARTICLE, r=REMARKS, n=name))
+    assert text.count("\n") == 7 and "Great" not in text
+
+
+@pytest.mark.parametrize("page", ["<article>{a}<ul class=zz>{i}</ul></article>", "<body><div class=c>{a}</div><ul class=q>{i}</ul></body>"])
+def test_repeated_siblings_with_names_and_dates_stay_out(page):
+    items = "".join(f"<li><div class=m><a href=u>Ann {i}</a> <time>2 May</time></div><div>Great post number {i}, thanks a lot, really!</div></li>" for i in range(10))
+    text = html_text.main_text(page.format(a=ARTICLE, i=items))
+    assert text.count("\n") == 7 and "Great" not in text and "Ann" not in text
+
+
+def test_footers_stay_out_while_another_path_passes():
+    foot = f"<footer>{REMARKS * 3}</footer>"
+    for page in (f"<article><p>One short paragraph.</p>{foot}</article>", f"<article><p>One short paragraph.</p></article>{foot}"):
+        assert html_text.main_text(page) == "One short paragraph."
+    assert html_text.main_text(foot).count("\n") == 29  # nothing else is there
+
+
+def test_ratios_decide_inside_an_article():
+    text = html_text.main_text(f"<article>{ARTICLE}<div class=x><a href=1>Buy this now</a> <a href=2>Sign in</a></div></article>")
+    assert text.count("\n") == 7 and "Buy" not in text
+    section = "<section><h2>A title</h2><p>" + "Text one, and two. " * 5 + "</p></section>"
+    assert html_text.main_text(f"<article>{section * 4}</article>").count("\n") == 7  # sections are no comments
 
 
 def test_deep_pages_take_no_longer():

@@ -3,7 +3,7 @@
 A page's text falls into blocks, each with the path of block-level tags (with their classes) from the root. For each path
 the text length and the punctuation of its blocks are summed, link text left out. A path's two ratios (characters
 and punctuation marks per block) are smoothed with its neighbours' in page order and fused by multiplication, with its
-share of text outside of links and its weight. How many blocks a path has doesn't count, so many short comments weigh no more than
+share of text outside of links and its weight. A path's blocks count up to three, so many short comments weigh no more than
 few paragraphs. Paths that reach a part of the best
 path's value are content nodes. The nearest element around all of them, or an article or main element around that, is
 the content: its blocks stay, but for those of lower weight inside, and those that are mostly links outside of paragraphs and list items, whose own path must have passed.
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from snapforge.llm.common import text_of
 
 #: Part of the best path's fused ratio that a path needs, and what every content path needs.
-THRESHOLD, LEAST = 0.05, 0.3
+THRESHOLD, LEAST = 0.15, 0.3
+#: Blocks of a path that count: text comes in several, but thirty weigh no more than three.
+COUNTED = 3
 #: Weight of an element that HTML sets apart from the main text.
 APART = 0.001
 #: Weight of an element whose class or id names it as an advert, a notice or the like.
-NAMED = 0.02
+NAMED = 0.005
 
 # Elements by their meaning in HTML; words of class or id names for parts that HTML has no element for.
 RAW = "script style noscript template iframe svg math canvas object audio video textarea title"
@@ -202,7 +204,7 @@ def fused_ratios(paths: Paths, found: list[tuple[int, str, int]]) -> dict[int, f
     for i, p in enumerate(order):
         near = ratios[max(0, i - 1) : i + 2]
         length, marks = (0.5 * ratios[i][k] + 0.5 * sum(r[k] for r in near) / len(near) for k in (0, 1))
-        out[p] = length * marks * sums[p][0] / sums[p][3] * max(paths.weight[p], APART * APART)
+        out[p] = length * marks * min(sums[p][2], COUNTED) * sums[p][0] / sums[p][3] * max(paths.weight[p], APART * APART)
     return out
 
 
@@ -213,9 +215,9 @@ def main_text(html: str, threshold: float = THRESHOLD, least: float = LEAST) ->
         return ""
     fused = fused_ratios(paths, found)
     passed: set[int] = set()
-    for fit in (lambda p: paths.article[p] >= 0 and not paths.apart[p], lambda p: not paths.apart[p], lambda p: True):
+    for fit, bound in ((lambda p: paths.article[p] >= 0 and not paths.apart[p], least), (lambda p: not paths.apart[p], least), (lambda p: True, least / 10)):
         own = {p: value for p, value in fused.items() if fit(p)}
-        passed = {p for p, value in own.items() if value >= max(threshold * max(own.values()), least)}
+        passed = {p for p, value in own.items() if value >= max(threshold * max(own.values()), bound)}
         if passed:
             break
     if not passed:

@@ -39,6 +39,54 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(right, F.col("j") == F.col("inner")).groupBy("i", F.col("col").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def block_cells(a: DataFrame, width: int) -> DataFrame:
+    """(bi, bj, r, c, v): the cells of each square block of ``width`` as three arrays; null cells are left out."""
+    block = lambda x: F.floor(F.col(x) / width).cast("long")
+    inside = lambda x: (F.col(x) - block(x) * width).cast("int")
+    cells = F.collect_list(F.struct(inside("i").alias("r"), inside("j").alias("c"), F.col("v").cast("double").alias("v"))).alias("cells")
+    return a.dropna(subset=["i", "j", "v"]).groupBy(block("i").alias("bi"), block("j").alias("bj")).agg(cells).select("bi", "bj", *[F.col(f"cells.{x}").alias(x) for x in "rcv"])
+
+
+def matmul_blocked(a: DataFrame, b: DataFrame, width: int = 256) -> DataFrame:
+    """A B for dense matrices: blocks meet by block row and column, and each pair of blocks is one dense product.
+
+    A block of A goes to every block column of B and the other way round, sorted by the inner block, so a task holds a pair of blocks and one sum at a time,
+    and nothing but blocks is shuffled: neither scalar products nor partial sums. Cells that repeat add up; cells of the result that are zero are absent.
+    Indices count from 0.
+    """
+    left, right = write_table(block_cells(a, width), "left-blocks"), write_table(block_cells(b, width), "right-blocks")
+    last = lambda x, c: F.sequence(F.lit(0).cast("long"), F.lit(x.agg(F.max(c).alias("n")).first()["n"] or 0).cast("long"))
+    one = left.select("bi", F.explode(last(right, "bj")).alias("bj"), F.col("bj").alias("k"), F.lit(0).alias("side"), "r", "c", "v")
+    two = right.select(F.explode(last(left, "bi")).alias("bi"), "bj", F.col("bi").alias("k"), F.lit(1).alias("side"), "r", "c", "v")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, held, held_at = None, None, np.zeros((width, width)), None
+
+        def cells() -> Iterator[pa.RecordBatch]:
+            r, c = np.nonzero(total)
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(r + at[0] * width), pa.array(c + at[1] * width), pa.array(total[r, c])], ["i", "j", "v"])
+
+        for batch in batches:
+            for row in range(len(batch)):
+                bi, bj, k, side = (batch.column(x)[row].as_py() for x in range(4))
+                if (bi, bj) != at:
+                    if at is not None:
+                        yield from cells()
+                    at, total, held_at = (bi, bj), np.zeros((width, width)), None
+                block = np.zeros((width, width))
+                np.add.at(block, tuple(batch.column(x)[row].values.to_numpy() for x in (4, 5)), batch.column(6)[row].values.to_numpy())
+                if side == 0:
+                    held, held_at = block, k
+                elif held_at == k:
+                    total += held @ block
+        if at is not None:
+            yield from cells()
+
+    together = one.unionByName(two).repartition("bi", "bj").sortWithinPartitions("bi", "bj", "k", "side")
+    return together.mapInArrow(multiply, "i bigint, j bigint, v double")
+
+
 def low_rank_apply(left: DataFrame, right: DataFrame, x: DataFrame, check: bool = True) -> DataFrame:
     """L (R^T x), the small inner product first, so L R^T never exists.
 

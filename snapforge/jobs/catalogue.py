@@ -239,6 +239,15 @@ def svd_dual_inner_product(spark, d):
     return matrix.matmul(matrix.transpose(u), matrix.matmul(product, u)).select("i", "j", rounded("v"))
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS v FROM e a, e b)
+SELECT i, round(sum(v), 4) + 0.0 AS total, round(max(v) FILTER (i <> j), 5) + 0.0 AS largest FROM p GROUP BY i""")
+def mat_rows_gram(spark, d):
+    """Embeddings times their transpose, block by block: each row's sum and its largest product with another row."""
+    a = embedding_matrix(spark, d)
+    found = matrix.matmul_blocked(a, matrix.transpose(a))
+    return found.groupBy("i").agg(F.sum("v").alias("total"), F.max(F.when(F.col("i") != F.col("j"), F.col("v"))).alias("largest")).select("i", rounded("total", 4), rounded("largest", 5))
+
+
 # 64-wide snapshots of known spectrum: the first component of each embedding, weighed down by its group, along the group's vector of an orthonormal cosine basis.
 WIDE = """w AS (SELECT vec_id, vec_id % 40 AS g, embedding[1]::DOUBLE * pow(2.0, -(vec_id % 40)) AS x FROM embeddings),
 s AS (SELECT g, sqrt(sum(x * x)) AS sigma, row_number() OVER (ORDER BY sum(x * x) DESC) - 1 AS k FROM w GROUP BY g)"""

@@ -236,7 +236,7 @@ def solve(of: System, rhs: Vectors, alpha: complex = 1.0, beta: complex = 0.0, t
     m, width = rhs.columns, of.width
     if rhs.width != width:
         raise ValueError("pieces and blocks must have one width")
-    state = write_table(_start(of, rhs, weights, kind), "krylov")
+    state = _start(of, rhs, weights, kind)
     size = None
     update, held, since, before = None, 0, 0, None
     for _ in range(rounds):
@@ -267,7 +267,7 @@ def solve(of: System, rhs: Vectors, alpha: complex = 1.0, beta: complex = 0.0, t
             if before is not None and (true > before / 4).all():
                 raise RuntimeError(f"the residuals {np.sqrt(true)} don't fall any more: the system may be singular")
             before = true
-            state = write_table(_start(of, residual, weights, kind, x), "krylov")
+            state = _start(of, residual, weights, kind, x)
             update, held, since = None, 0, 0
     raise RuntimeError(f"no solution within {rounds} rounds: relative residuals {np.sqrt(rr / np.maximum(size, 1e-300))}")
 

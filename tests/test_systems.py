@@ -135,3 +135,12 @@ def test_text_keys_split(spark):
     rows = spark.createDataFrame([(f"key {i}",) for i in range(50)] + [(None,)], "name string")
     found = sampling.train_validation_split(rows, "name", 0.2)
     assert sorted(r["count"] for r in found.groupBy("split").count().collect()) == [10, 41]
+
+
+def test_blocked_product(spark):
+    r = np.random.default_rng(0)
+    a, b = r.standard_normal((21, 30)), r.standard_normal((30, 13))
+    a[:, 8:16] = 0  # a block column of nothing
+    found = matrix.dense(matrix.matmul_blocked(cells(spark, a), cells(spark, b), width=8))
+    assert np.abs(found - a @ b).max() < 1e-12
+    assert matrix.matmul_blocked(cells(spark, a).limit(0), cells(spark, b), width=8).count() == 0

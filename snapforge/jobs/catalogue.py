@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from snapforge.functions import losses, matrix
 from snapforge.jobs import systems  # noqa: F401 (its queries are registered on import)
 from snapforge.jobs.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
+from snapforge.operators import cells as cells_of_points
 from snapforge.operators import lyapunov, mesh, sampling, svd
 from snapforge.sources import meshes
 from snapforge.sources.folders import shared_folder, table
@@ -490,6 +491,19 @@ def knn_k8(spark, d):
     return mesh.nearest(p.filter("vec_id % 50 = 0"), p, "vec_id", ["x", "y"], 8).select("query", "neighbour", rounded("distance"), "rank")
 
 
+@query(f"""WITH {POINTS}, all_ AS (SELECT vec_id, x, y FROM points UNION ALL SELECT -1, 1e9, -1e9 UNION ALL SELECT -2 - vec_id, 0.25, 0.25 FROM points),
+near AS (SELECT q.vec_id AS query, p.vec_id AS neighbour, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS distance,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), p.vec_id) AS rank FROM all_ q JOIN all_ p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id QUALIFY rank <= 8)
+SELECT query, neighbour, round(distance, 4) AS distance, rank::INT AS rank FROM near""")
+def knn_cells(spark, d):
+    """Neighbours among as many equal points as others, and one far away, which no cell of the tree suffers from."""
+    p = points_of(spark, d).select("vec_id", "x", "y")
+    heap = p.select((-2 - F.col("vec_id")).alias("vec_id"), F.lit(0.25).alias("x"), F.lit(0.25).alias("y"))
+    far = spark.createDataFrame([(-1, 1e9, -1e9)], p.schema)
+    whole = p.unionByName(far).unionByName(heap)
+    return cells_of_points.nearest(whole.filter("vec_id % 50 = 0"), whole, "vec_id", ["x", "y"], 8, size=64).select("query", "neighbour", rounded("distance", 4), "rank")
+
+
 @query(f"""WITH {KNN}, c AS (SELECT query, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS d FROM near JOIN points ON vec_id = neighbour GROUP BY query),
 n AS (SELECT query, b AS nx, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) - a AS ny FROM c),
 u AS (SELECT query, nx / sqrt(nx * nx + ny * ny) AS nx, ny / sqrt(nx * nx + ny * ny) AS ny FROM n),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from snapforge.functions import matrix
+from snapforge.operators import cells as cells_of_points
 from snapforge.operators import lowrank, lyapunov, mesh, sampling, sparse, svd
 
 
@@ -144,3 +145,23 @@ def test_blocked_product(spark):
     found = matrix.dense(matrix.matmul_blocked(cells(spark, a), cells(spark, b), width=8))
     assert np.abs(found - a @ b).max() < 1e-12
     assert matrix.matmul_blocked(cells(spark, a).limit(0), cells(spark, b), width=8).count() == 0
+
+
+def test_neighbours_by_cells(spark):
+    """Clusters, repeats and an outlier in five axes, against all distances; cells keep their size."""
+    r = np.random.default_rng(0)
+    x = np.vstack([r.standard_normal((120, 5)), 1e-6 * r.standard_normal((60, 5)), np.full((70, 5), 0.5), [[1e9] * 5]])
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)] + [(999, None, 0.0, 0.0, 0.0, 0.0)], "id bigint, a double, b double, c double, d double, e double")
+    axes = list("abcde")
+    found = cells_of_points.nearest(rows.filter("id % 10 = 0"), rows, "id", axes, 4, size=32).collect()
+    for q in range(0, len(x), 10):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        wanted = np.lexsort((np.arange(len(x)), d))[:4]
+        own = sorted((n["rank"], n["neighbour"], n["distance"]) for n in found if n["query"] == q)
+        assert [n[1] for n in own] == wanted.tolist() and np.allclose([n[2] for n in own], d[wanted])
+    leaves, _, _ = cells_of_points.grow(cells_of_points.complete(rows, "id", axes, "neighbour"), 5, 32)
+    sizes = [n["count"] for n in leaves.groupBy("node").count().collect()]
+    assert max(sizes) <= 32 and sum(sizes) == len(x)
+    assert cells_of_points.nearest(rows.limit(0), rows, "id", axes, 4).count() == 0
+    assert cells_of_points.nearest(rows.filter("id < 3"), rows.filter("id < 3"), "id", axes, 4).count() == 6

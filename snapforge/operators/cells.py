@@ -1,6 +1,7 @@
 """Nearest neighbours by cells of bounded size: a tree of cuts at quantiles, whose nodes are tables.
 
-A cell with more points than ``size`` is cut into ``FAN`` at the quantiles of its widest axis; equal points, which no
+A cell with more points than ``size`` is cut at the eighths of its widest axis, what lies on a cut apart from what lies between, so
+a value that many points share parts from the rest; equal points, which no
 axis parts, are dealt by their id's hash. So no cell exceeds its size, whatever outliers, clusters or repeats there are. A query is first answered
 from its own cell; its k-th distance there bounds the search, which goes down the tree into those cells only whose box is within reach.
 """
@@ -34,15 +35,15 @@ def _near(table: DataFrame, nodes: int) -> DataFrame:
 
 
 def _bucket(identity: str) -> Column:
-    """The part of a cut cell that a row falls into: by the cuts of the cell's axis, or by its id where all points are equal."""
+    """The part, one of ``FAN``, of a cut cell that a row falls into: by the cuts of the cell's axis, or by its id where all points are equal."""
     x = F.element_at("p", F.col("axis") + 1)
-    return F.when(F.col("alike"), F.pmod(F.xxhash64(identity), F.lit(FAN))).otherwise(F.size(F.filter("cuts", lambda c: c < x)))
+    return F.when(F.col("alike"), F.pmod(F.xxhash64(identity), F.lit(FAN))).otherwise(F.size(F.filter("cuts", lambda c: c < x)) + F.size(F.filter("cuts", lambda c: c <= x)))
 
 
 def grow(points: DataFrame, axes: int, size: int, rounds: int = 12) -> tuple[DataFrame, list[tuple[DataFrame, int]], list[tuple[DataFrame, int]]]:
     """Leaves (node, neighbour, p), and for each level its nodes (node, n, low, high, leaf) and its cuts (node, axis, alike, cuts) with their numbers.
 
-    A node's parts are numbered node * FAN + 1 and on. ``rounds`` cuts of 16 parts hold for any number of points that Spark can.
+    A node's parts are numbered node * FAN + 1 and on. ``rounds`` cuts hold for any number of points that Spark can.
     """
     rows, leaves, levels, cuts = write_table(points.withColumn("node", F.lit(0).cast("long")), "points"), [], [], []
     ends = [f(F.element_at("p", i + 1)).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(axes)]
@@ -59,7 +60,7 @@ def grow(points: DataFrame, axes: int, size: int, rounds: int = 12) -> tuple[Dat
         if not n_large:
             break
         inner = marked.filter("axis IS NOT NULL")
-        at = F.percentile_approx(F.element_at("p", F.col("axis") + 1), [k / FAN for k in range(1, FAN)]).alias("cuts")
+        at = F.percentile_approx(F.element_at("p", F.col("axis") + 1), [k / (FAN // 2) for k in range(1, FAN // 2)]).alias("cuts")
         own = write_table(inner.groupBy("node", "axis", "alike").agg(at), "cuts")
         cuts.append((own, n_large))
         moved = rows.join(_near(own, n_large), "node").withColumn("node", F.col("node") * FAN + 1 + _bucket("neighbour"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.functions import matrix
+from snapforge.functions import dynamics, matrix
 from snapforge.jobs.registry import query, rounded
 from snapforge.operators import lowrank, sparse
 from snapforge.sources.folders import table
@@ -111,3 +111,46 @@ def bt_factors(spark, d):
     poles = sorted(np.linalg.eigvals(np.linalg.solve(e, found.a)).real, reverse=True)
     rows = [(k, float(s), float(p)) for k, (s, p) in enumerate(zip(found.hsv[:2], poles, strict=True))]
     return spark.createDataFrame(rows, "k int, hsv double, pole double").select("k", rounded("hsv", 5), rounded("pole", 5))
+
+
+# Dynamics of an order's lines: a state is (quantity, discount), scaled alike. Line numbers repeat, so further columns settle the order.
+STEPS = """s AS (SELECT l_orderkey AS o, l_quantity / 50 AS x1, l_discount * 10 AS x2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount) - 1 AS step FROM lineitem),
+p AS (SELECT a.x1, a.x2, b.x1 AS y1, b.x2 AS y2 FROM s a JOIN s b ON a.o = b.o AND b.step = a.step + 1),
+g AS (SELECT sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS d, sum(y1 * x1) AS c11, sum(y1 * x2) AS c12, sum(y2 * x1) AS c21, sum(y2 * x2) AS c22 FROM p),
+k AS (SELECT (c11 * d - c12 * b) / (a * d - b * b) AS k11, (c12 * a - c11 * b) / (a * d - b * b) AS k12, (c21 * d - c22 * b) / (a * d - b * b) AS k21, (c22 * a - c21 * b) / (a * d - b * b) AS k22 FROM g)"""
+
+
+def line_states(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", "l_discount").alias("line"), F.array((F.col("l_quantity") / 50).cast("double"), (F.col("l_discount") * 10).cast("double")).alias("state"))
+
+
+def line_dynamics(rows: DataFrame) -> dynamics.LinearDynamics:
+    return dynamics.fit(dynamics.with_successor(rows, "l_orderkey", "line", "state"), "state", "successor")
+
+
+@query(f"WITH {STEPS} SELECT 0 AS i, 0 AS j, round(k11, 6) AS v FROM k UNION ALL SELECT 0, 1, round(k12, 6) FROM k UNION ALL SELECT 1, 0, round(k21, 6) FROM k UNION ALL SELECT 1, 1, round(k22, 6) FROM k")
+def dynamics_fit(spark, d):
+    """The matrix that takes a line's state to the next one's best."""
+    k = line_dynamics(line_states(spark, d)).k
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(k)], "i int, j int, v double").select("i", "j", rounded("v"))
+
+
+@query(f"""WITH {STEPS},
+p0 AS (SELECT o, x1, x2 FROM s WHERE step = 0), p1 AS (SELECT o, k11 * x1 + k12 * x2 AS x1, k21 * x1 + k22 * x2 AS x2 FROM p0, k),
+p2 AS (SELECT o, k11 * x1 + k12 * x2 AS x1, k21 * x1 + k22 * x2 AS x2 FROM p1, k), p3 AS (SELECT o, k11 * x1 + k12 * x2 AS x1, k21 * x1 + k22 * x2 AS x2 FROM p2, k),
+made AS (SELECT *, 1 AS step FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3)
+SELECT step, count(*) AS n, round(avg(((s.x1 - m.x1) ** 2 + (s.x2 - m.x2) ** 2) / 2), 6) AS loss FROM s JOIN made m USING (o, step) GROUP BY step""")
+def dynamics_rollout_loss(spark, d):
+    """Mean squared error one to three lines ahead of each order's first."""
+    rows = line_states(spark, d)
+    return dynamics.rollout_loss(rows, "l_orderkey", "line", "state", line_dynamics(rows), 3).select("step", "n", rounded("loss"))
+
+
+@query("SELECT c_custkey AS i, 0 AS j, round(c_acctbal, 2) + 0.0 AS v FROM customer UNION ALL SELECT c_custkey + (SELECT max(c_custkey) + 1 FROM customer), 1, 1.0 FROM customer")
+def mat_vstack(spark, d):
+    """Balances on top of an identity's first columns, generated for as many customers and summed by row."""
+    states = customers(spark, d)
+    n = states.agg(F.max("i").alias("n")).first()["n"] + 1
+    top = states.select("i", F.lit(0).cast("long").alias("j"), F.col("c_acctbal").cast("double").alias("v"))
+    below = matrix.identity(spark, n).join(states.select("i"), "i", "left_semi").select("i", F.lit(1).cast("long").alias("j"), "v")
+    return matrix.vstack(top, below, n).select("i", F.col("j").cast("int").alias("j"), rounded("v", 2))

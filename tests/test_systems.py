@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from snapforge.functions import matrix
+from snapforge.functions import dynamics, matrix
 from snapforge.operators import cells as cells_of_points
 from snapforge.operators import lowrank, lyapunov, mesh, sampling, sparse, svd
 
@@ -165,3 +165,23 @@ def test_neighbours_by_cells(spark):
     assert max(sizes) <= 32 and sum(sizes) == len(x)
     assert cells_of_points.nearest(rows.limit(0), rows, "id", axes, 4).count() == 0
     assert cells_of_points.nearest(rows.filter("id < 3"), rows.filter("id < 3"), "id", axes, 4).count() == 6
+
+
+def test_dynamics_recover_a_known_matrix(spark):
+    r = np.random.default_rng(0)
+    k = np.array([[0.9, 0.2, 0.0], [-0.3, 0.8, 0.1], [0.0, 0.1, 0.5]])
+    rows = []
+    for series in range(20):
+        x = r.standard_normal(3)
+        for step in range(6):
+            rows.append((series, step, x.tolist()))
+            x = k @ x
+    rows.append((99, 0, None))
+    states = spark.createDataFrame(rows, "s int, t int, x array<double>")
+    found = dynamics.fit(dynamics.with_successor(states, "s", "t", "x"), "x", "successor")
+    assert np.allclose(found.k, k)
+    assert np.allclose(np.abs(found.eigenvalues), sorted(np.abs(np.linalg.eigvals(k)), reverse=True))
+    losses = {row["step"]: (row["n"], row["loss"]) for row in dynamics.rollout_loss(states, "s", "t", "x", found, 8).collect()}
+    assert sorted(losses) == [1, 2, 3, 4, 5] and all(n == 20 and loss < 1e-20 for n, loss in losses.values())
+    with pytest.raises(ValueError, match="ridge"):
+        dynamics.fit(spark.createDataFrame([([1.0, 0.0], [1.0, 0.0])], "x array<double>, y array<double>"), "x", "y")

@@ -32,8 +32,6 @@ CONTEXT = 6
 GRAM = 7
 #: Labelled documents of each class that training reads, at most: those least by a hash of the id.
 TRAIN_DOCS = 4000
-#: Distinct words that a dictionary is trained on, and telling sequences that pick them, at most (the dictionaries hold fewer than 10,000 words).
-TRAIN_WORDS = 100_000
 #: A character sequence is telling when it is met at so many times ordinary documents' rate, and a likelihood-ratio test gives so much.
 GRAM_RATIO, GRAM_TEST = 6.0, 20.0
 #: Differences count from the least one that toxic documents' windows reach or exceed so many times as often as others'.
@@ -160,19 +158,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -
     return docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, words: int = TRAIN_WORDS) -> ToxicityModel:
-    """Fit dictionaries, weights and curve. Texts stay on the executors; bounded word lists and sums reach the driver.
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> ToxicityModel:
+    """Fit dictionaries, weights and curve. Texts stay on the executors; the training rows' distinct words, which ``limit`` bounds, and sums reach the driver.
 
     Without training documents of both classes, the model scores every document 0 or 1, as its class is.
     """
     rows = training_rows(docs, labels, limit).persist()
     try:
-        return _fit(rows, words)
+        return _fit(rows)
     finally:
         rows.unpersist()
 
 
-def _fit(rows: DataFrame, words: int) -> ToxicityModel:
+def _fit(rows: DataFrame) -> ToxicityModel:
     """The model of training ``rows`` (toxic, text), which are read several times."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
@@ -194,10 +192,10 @@ def _fit(rows: DataFrame, words: int) -> ToxicityModel:
     a, b = F.col("in_toxic"), F.col("in_ordinary")
     rate, share = (a / n_toxic) / ((b + 1) / (n_ordinary + 1)), (a + b) / (n_toxic + n_ordinary)
     test = 2 * (a * F.log(a / (share * n_toxic)) + F.when(b > 0, b * F.log(b / (share * n_ordinary))).otherwise(0))
-    telling = per_gram.filter((a > 0) & (rate >= GRAM_RATIO)).select("gram", test.alias("test")).filter(F.col("test") >= GRAM_TEST).orderBy(F.desc("test"), "gram").limit(words)
+    telling = per_gram.filter((a > 0) & (rate >= GRAM_RATIO)).select("gram", test.alias("test")).filter(F.col("test") >= GRAM_TEST)
     toxic_words = counts.filter("in_toxic > 0").select("word", "in_toxic", F.explode(grams("word")).alias("gram")).join(telling, "gram", "left_semi").groupBy("word").agg(F.max("in_toxic").alias("n"))
-    toxic_words = toxic_words.orderBy(F.desc("n"), "word").limit(words).collect()
-    ordinary_words = counts.filter("in_ordinary > 0").orderBy(F.md5("word"), "word").limit(words).collect()
+    toxic_words = toxic_words.orderBy(F.desc("n"), "word").collect()
+    ordinary_words = counts.filter("in_ordinary > 0").orderBy(F.md5("word"), "word").collect()
     memo: dict[str, bytes] = {}
     scale = SAMPLES / max(1, sum(r["n"] for r in toxic_words))
     toxic = train_dictionary([expand(r["word"], memo) for r in toxic_words for _ in range(max(1, round(scale * r["n"])))], TOXIC_BYTES)

@@ -18,8 +18,8 @@ from snapforge.llm.common import join_hot, write_table
 
 #: Host, path and verdict, as in the contract of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Public suffixes of two labels that are told from registered domains; all others have one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Rules in public-suffix format, where no table of them is given; a host that none fits has a suffix of one label.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
 #: A host is blocked when its rate of bad pages exceeds this with the certainty of ``Z`` standard deviations.
 THRESHOLD = 0.5
 Z = 1.645
@@ -48,17 +48,61 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return found
 
 
-def suffix_of(host: Column) -> Column:
+def read_suffixes(spark: SparkSession, path: str, most: int = 100_000) -> tuple[str, ...]:
+    """The rules of a file in public-suffix format: one a line, up to the first blank; ``//`` starts a comment.
+
+    A table of rules is small (the public one has some 10,000); more than ``most`` is an error.
+    """
+    line = F.translate(F.regexp_extract(F.trim("value"), r"^(\S*)", 1), _UPPER, _LOWER)
+    rules = spark.read.text(path).select(line.alias("rule")).filter("rule <> '' and rule not like '//%'").distinct().orderBy("rule").limit(most + 1).collect()
+    if len(rules) > most:
+        raise ValueError(f"there are more than {most} rules in {path}")
+    return tuple(r["rule"] for r in rules)
+
+
+def _tail(bare: Column, labels: int) -> Column:
+    """The last ``labels`` labels, null where there are fewer."""
+    return F.when(F.size(F.split(bare, r"\.")) >= labels, F.substring_index(bare, ".", -labels))
+
+
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^[\d.]+$") | bare.startswith("[")
+
+
+def suffix_labels(bare: Column, suffixes: Sequence[str]) -> Column:
+    """How many labels the public suffix of a host has by ``suffixes``: the longest rule that fits, one where none does.
+
+    ``co.uk`` stands for itself, ``*.ck`` for any label before ck, and ``!www.ck`` takes www.ck out of it again.
+    """
+    plain, wild, but = ({r[cut:] for r in suffixes if kind(r)} for cut, kind in ((0, lambda r: r[0] not in "*!"), (2, lambda r: r.startswith("*.")), (1, lambda r: r.startswith("!"))))
+    longest = max([1, *[r.count(".") + 1 for r in plain], *[r.count(".") + 2 for r in wild]])
+    found = F.lit(1)
+    for labels in range(2, longest + 1):
+        fits = F.coalesce(_tail(bare, labels).isin(*sorted(plain)), F.lit(False)) if plain else F.lit(False)
+        if wild:
+            fits = fits | (_tail(bare, labels).isNotNull() & _tail(bare, labels - 1).isin(*sorted(wild)))
+        found = F.when(fits, labels).otherwise(found)
+    for rule in sorted(but):
+        found = F.when((bare == rule) | bare.endswith(f".{rule}"), rule.count(".")).otherwise(found)
+    return found
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix of a host without its port; an address is its own."""
     bare = F.regexp_replace(host, r":\d*$", "")
-    two = F.regexp_extract(bare, r"([^.]*\.[^.]*)$", 1)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.regexp_extract(bare, r"([^.]*)$", 1))
+    return F.when(_is_address(bare), bare).otherwise(_last(bare, suffix_labels(bare, suffixes)))
 
 
-def domain_of(host: Column) -> Column:
-    """The suffix and one label more; a numeric address or a host without dots is its own domain."""
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The suffix and one label more; an address or a host that is a suffix is its own domain."""
     bare = F.regexp_replace(host, r":\d*$", "")
-    two = F.regexp_extract(bare, r"([^.]*\.[^.]*)$", 1).isin(*TWO_LABEL_SUFFIXES)
-    return F.when(bare.rlike(r"^[\d.]+$"), bare).when(two, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    return F.when(_is_address(bare), bare).otherwise(_last(bare, suffix_labels(bare, suffixes) + 1))
+
+
+def _last(bare: Column, labels: Column) -> Column:
+    parts = F.split(bare, r"\.")
+    n = F.least(labels, F.size(parts))
+    return F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")
 
 
 def prior_strength(groups: DataFrame) -> float:
@@ -70,7 +114,7 @@ def prior_strength(groups: DataFrame) -> float:
     return 1 / min(max(rho, RHO[0]), RHO[1]) - 1
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """host, pages (how many), rate, lower and verdict of every host of ``pages`` (page_id, host).
 
     Pages are counted by host within each task first, so a host with a third of all pages is a row per task.
@@ -80,7 +124,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame, threshold: float = THRE
     outcomes = pages.join(known, "page_id").select("host", F.lit(1).alias("n"), "k", F.lit(0).alias("pages"))
     every = pages.select("host", F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(1).alias("pages")).unionByName(outcomes)
     counts = every.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("k").cast("double").alias("k"), F.sum("pages").alias("pages"))
-    hosts = write_table(counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k", "pages"), "hosts")
+    hosts = write_table(counts.select("host", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"), "n", "k", "pages"), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     overall = ((total["k"] or 0.0) + 0.5) / ((total["n"] or 0.0) + 1.0)
 
@@ -100,7 +144,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame, threshold: float = THRE
     return found.select("host", "pages", "rate", "lower", F.when(F.col("lower") > threshold, "block").otherwise("allow").alias("verdict"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule and verdict of every row.
 
     A null url, or one without ``://``, has an empty host and path, which have a reputation like any other. A null
@@ -108,7 +152,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     has the even prior, whose lower bound is under the threshold, so only rules block. Other columns are ignored.
     """
     rows = pages.select("page_id", url_host().alias("host"), url_path().alias("path"))
-    reputation = write_table(host_reputation(rows.select("page_id", "host"), labels, threshold).select("host", "pages", F.col("verdict").alias("by_host")), "reputation")
+    reputation = write_table(host_reputation(rows.select("page_id", "host"), labels, threshold, suffixes=suffixes).select("host", "pages", F.col("verdict").alias("by_host")), "reputation")
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     judged = join_hot(rows.withColumn("rule", rule), reputation, "host", "pages")  # every host has a row
     verdict = F.col("by_host")
@@ -121,7 +165,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_TWO = ", ".join(f"'{s}'" for s in SUFFIXES)
 _STRENGTH = f"1 / least(greatest(coalesce(sum((k - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * p * (1 - p) * (n - 1)), 0), {RHO[0]}), {RHO[0]}), {RHO[1]}) - 1"
 ORACLE_SQL = rf"""
 WITH urls AS (
@@ -132,8 +176,8 @@ counts AS (
   FROM urls LEFT JOIN labels l ON l.doc_id = page_id GROUP BY host),
 bare AS (SELECT *, regexp_replace(host, ':\d*$', '') AS b FROM counts),
 hosts AS (
-  SELECT host, n, k, CASE WHEN regexp_extract(b, '([^.]*\.[^.]*)$', 1) IN ({_TWO}) THEN regexp_extract(b, '([^.]*\.[^.]*)$', 1) ELSE regexp_extract(b, '([^.]*)$', 1) END AS suffix,
-         CASE WHEN regexp_matches(b, '^[\d.]+$') THEN b
+  SELECT host, n, k, CASE WHEN regexp_matches(b, '^([\d.]+$|\[)') THEN b WHEN regexp_extract(b, '([^.]*\.[^.]*)$', 1) IN ({_TWO}) THEN regexp_extract(b, '([^.]*\.[^.]*)$', 1) ELSE regexp_extract(b, '([^.]*)$', 1) END AS suffix,
+         CASE WHEN regexp_matches(b, '^([\d.]+$|\[)') THEN b
               WHEN regexp_extract(b, '([^.]*\.[^.]*)$', 1) IN ({_TWO}) THEN regexp_extract(b, '(([^.]*\.)?[^.]*\.[^.]*)$', 1)
               ELSE regexp_extract(b, '(([^.]*\.)?[^.]*)$', 1) END AS domain FROM bare),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) FROM hosts) AS p FROM hosts GROUP BY suffix),

@@ -1,6 +1,7 @@
 """Alignment of tokenizers, repeated windows and periodic runs against brute force; every query on the small tables."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -11,9 +12,11 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from snapforge.llm import alignment, catalogue, periodic_runs, repeated_windows, sharding
+from snapforge.llm import alignment, catalogue, periodic_runs, repeated_windows, sharding, toxicity, url_filter
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -260,3 +263,50 @@ def test_queries_equal_their_sql(spark, name):
     found = catalogue.QUERIES[name](spark, SF)
     assert sorted(names) == sorted(found.columns)
     assert sorted(map(repr, map(tuple, found.select(*names).collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
+def slow_suffix(host, rules):
+    """Public suffix by the format's own description."""
+    labels = host.rsplit(":", 1)[0].split(".") if host.rsplit(":", 1)[-1].isdigit() else host.split(".")
+    if host.startswith("[") or all(part.isdigit() for part in labels):
+        return ".".join(labels)
+    fits = []
+    for rule in rules:
+        parts = rule.lstrip("!").split(".")
+        tail = labels[-len(parts):]
+        if len(tail) == len(parts) and all(r in ("*", x) for r, x in zip(parts, tail, strict=True)):
+            fits.append((rule.startswith("!"), len(parts)))
+    n = max((length - 1 if but else length for but, length in fits if but or not any(b for b, _ in fits)), default=1)
+    return ".".join(labels[-n:])
+
+
+def test_suffixes_from_a_table(spark, tmp_path):
+    (tmp_path / "suffixes.txt").write_text("// public\ncom\nco.uk\n*.ck  note\n!www.ck\n\ngithub.io\nGOV.br\na.b.c.d\n")
+    rules = url_filter.read_suffixes(spark, str(tmp_path / "suffixes.txt"))
+    assert set(rules) == {"com", "co.uk", "*.ck", "!www.ck", "github.io", "gov.br", "a.b.c.d"}
+    hosts = ["", "com", "x.com", "y.x.com:80", "co.uk", "x.co.uk", "z.x.co.uk", "ck", "foo.ck", "x.foo.ck", "www.ck", "a.www.ck", "foo.github.io", "x.gov.br", "1.2.3.4", "1.2.3.4:8080",
+             "x.a.b.c.d", "b.c.d", "un.known"]
+    found = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.suffix_of(F.col("host"), rules).alias("s"), url_filter.domain_of(F.col("host"), rules).alias("d")).collect()
+    for r in found:
+        assert r["s"] == slow_suffix(r["host"], rules), r
+        bare = r["host"].split(":")[0]
+        assert r["d"] in (r["s"], bare) or r["d"].split(".", 1)[1] == r["s"], r
+    assert {r["host"]: r["d"] for r in found}["z.x.co.uk"] == "x.co.uk"
+    with pytest.raises(ValueError):
+        url_filter.read_suffixes(spark, str(tmp_path / "suffixes.txt"), most=3)
+
+
+def test_scores_come_from_the_two_compressors(spark):
+    """Each score again from the model's dictionaries, window by window."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), model).collect()
+    options = zstandard.ZstdCompressionParameters.from_level(1, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=7)
+    size = lambda content, data: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=options).compress(data))
+    for r in scored:
+        total = 0.0
+        for w in toxicity.windows(r["text"] or ""):
+            data = toxicity.expand(w, {})
+            difference = size(model.ordinary, data) - size(model.toxic, data)
+            total += model.weights[min(max(difference, -toxicity.REACH), toxicity.REACH) + toxicity.REACH]
+        assert math.isclose(r["toxicity"], 1 / (1 + math.exp(-(model.slope * total + model.intercept))), rel_tol=1e-9, abs_tol=1e-12)

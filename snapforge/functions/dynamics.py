@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.functions.matrix import as_matrix, dense, free_name, gram
+from snapforge.functions.series import with_steps
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,8 @@ class LinearDynamics:
 
 def with_successor(rows: DataFrame, series: str, time: str, state: str, name: str = "successor") -> DataFrame:
     """Add the state that follows in the same series, null for the last; a column called ``name`` is replaced."""
-    return rows.withColumn(name, F.lead(state).over(Window.partitionBy(series).orderBy(time)))
+    place = free_name(rows, "_step")
+    return with_steps(rows, series, [time], place, later=(state, name, 1)).drop(place, f"{name}_exists")
 
 
 def fit(pairs: DataFrame, state: str, successor: str, ridge: float = 0.0) -> LinearDynamics:
@@ -68,7 +70,7 @@ def rollout_loss(rows: DataFrame, series: str, time: str, state: str, found: Lin
     Series are numbered by their own rows, so a series without ``steps`` more states counts for those that it has.
     """
     place, predicted = free_name(rows, "_step"), free_name(rows, "_predicted")
-    numbered = rows.select(series, state, (F.row_number().over(Window.partitionBy(series).orderBy(time)) - 1).alias(place)).filter(F.col(place) <= steps)
+    numbered = with_steps(rows.select(series, time, state), series, [time], place).select(series, state, F.col(place).cast("int").alias(place)).filter(F.col(place) <= steps)
     made = rollout(numbered.filter(F.col(place) == 0), series, state, found, steps).filter("step > 0")
     made = made.select(series, F.col("step").alias(place), F.col("predicted").alias(predicted))
     error = F.aggregate(F.zip_with(F.col(state), F.col(predicted), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, e: s + e) / F.size(predicted)

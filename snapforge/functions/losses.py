@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapforge.functions.matrix import free_name
+from snapforge.functions.series import grid_blocks, with_later, with_steps
+
 
 def mse(prediction: Column, target: Column) -> Column:
     return F.avg((prediction - target) * (prediction - target))
@@ -27,8 +30,7 @@ def relative_error(error: Column, target: Column) -> Column:
 
 def rollout(rows: DataFrame, series: str, order: list[str], error: str, gamma: float) -> DataFrame:
     """Mean of gamma^step times the error over all series and steps."""
-    step = F.row_number().over(Window.partitionBy(series).orderBy(*order)) - 1
-    return rows.withColumn("_step", step).agg(F.avg(F.pow(F.lit(gamma), F.col("_step")) * F.col(error)).alias("loss"))
+    return with_steps(rows, series, order, "_step").agg(F.avg(F.pow(F.lit(gamma), F.col("_step")) * F.col(error)).alias("loss"))
 
 
 def early_stop(history: DataFrame, epoch: str, loss: str, patience: int, min_delta: float = 0.0, warmup: int = 0, mode: str = "min") -> DataFrame:
@@ -63,24 +65,25 @@ def early_stop(history: DataFrame, epoch: str, loss: str, patience: int, min_del
 
 def one_step_fit(rows: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
     """Least-squares slope and intercept of each next value on the current one, over all series."""
-    ahead = rows.withColumn("_next", F.lead(value).over(Window.partitionBy(series).orderBy(*order))).filter(F.col("_next").isNotNull())
+    ahead = with_later(rows, series, order, value, target="_next").filter(F.col("_next").isNotNull())
     return ahead.agg(F.regr_slope("_next", value).alias("slope"), F.regr_intercept("_next", value).alias("intercept"), F.count(F.lit(1)).alias("n"))
 
 
 def step_pairs(rows: DataFrame, series: str, order: list[str], value: str, horizon: int = 1) -> DataFrame:
     """All rows that have a row ``horizon`` steps later in their series, with its value as ``target`` and their place as ``step`` (from 0)."""
-    along = Window.partitionBy(series).orderBy(*order)
-    ahead = rows.withColumn("target", F.lead(value, horizon).over(along)).withColumn("_later", F.lead(F.lit(1), horizon).over(along))
-    return ahead.withColumn("step", F.row_number().over(along) - 1).filter(F.col("_later").isNotNull()).drop("_later")
+    return with_later(rows, series, order, value, horizon).filter("target_exists").drop("target_exists")
 
 
 def grid_derivatives(rows: DataFrame, line: list[str], place: str, value: str, width: float = 1.0) -> DataFrame:
     """Adds ``first`` and ``second``: central differences along each grid line; null at its ends and beside gaps.
 
-    The analogue on gridded data of a function's derivatives; sums of ``second`` over axes are the Laplacian.
+    The analogue on gridded data of a function's derivatives; sums of ``second`` over axes are the Laplacian. Lines are windowed in blocks of
+    places, whose edge rows meet both, so a long line is many tasks'.
     """
-    along = Window.partitionBy(*line).orderBy(place)
+    block, own = free_name(rows, "_block"), free_name(rows, "_own")
+    along = Window.partitionBy(*line, block).orderBy(place)
     beside = (F.lag(place).over(along) == F.col(place) - 1) & (F.lead(place).over(along) == F.col(place) + 1)
     low, high = F.lag(value).over(along), F.lead(value).over(along)
-    rows = rows.withColumn("first", F.when(beside, (high - low) / (2 * width)))
-    return rows.withColumn("second", F.when(beside, (high - 2 * F.col(value) + low) / (width * width)))
+    rows = grid_blocks(rows, place, block, own).withColumn("first", F.when(beside, (high - low) / (2 * width)))
+    rows = rows.withColumn("second", F.when(beside, (high - 2 * F.col(value) + low) / (width * width)))
+    return rows.filter(F.col(own)).drop(block, own)

@@ -755,8 +755,8 @@ PAIRS = "pairs AS (SELECT user_id, ts, event_id, value AS x, lead(value) OVER (P
 
 
 def event_pairs(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("user_id", "ts", "event_id", F.col("value").alias("x"), F.lead("value").over(order).alias("y")).filter(F.col("y").isNotNull())
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("value").alias("x"))
+    return losses.step_pairs(rows, "user_id", ["ts", "event_id"], "x").select("user_id", "ts", "event_id", "x", F.col("target").alias("y")).filter(F.col("y").isNotNull())
 
 
 @query(f"WITH {PAIRS} SELECT round(avg((x - y) ** 2), 4) AS loss FROM pairs WHERE y IS NOT NULL")
@@ -774,7 +774,7 @@ def loss_rollout_gamma(spark, d):
 SELECT user_id, step::INT AS step, x, y FROM p WHERE later IS NOT NULL""")
 def pairs_three_steps(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    return losses.step_pairs(rows, "user_id", ["ts", "event_id"], "value", 3).select("user_id", "step", F.col("value").alias("x"), F.col("target").alias("y"))
+    return losses.step_pairs(rows, "user_id", ["ts", "event_id"], "value", 3).select("user_id", F.col("step").cast("int").alias("step"), F.col("value").alias("x"), F.col("target").alias("y"))
 
 
 @query(f"""WITH {LONG}, w AS (SELECT i, j, v, lag(v) OVER (PARTITION BY i ORDER BY j) AS a, lead(v) OVER (PARTITION BY i ORDER BY j) AS b FROM long)

@@ -934,3 +934,6 @@ def mini_batches(spark, d):
     """Batches of 64 in a reproducible random order."""
     ranked = matrix.ordered_rank(table(spark, d, "documents").select("doc_id"), sampling.id_hash("doc_id"), sampling.MODULUS, ["doc_id"])
     return ranked.select("doc_id", F.floor((F.col("rank") - 1) / 64).alias("batch"))
+
+
+from snapforge.jobs import domains  # noqa: E402,F401 (uses the grid above; its queries are registered on import)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapforge.functions import losses, matrix
-from snapforge.jobs import systems  # noqa: F401 (its queries are registered on import)
+from snapforge.jobs import networks, systems  # noqa: F401 (their queries are registered on import)
 from snapforge.jobs.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from snapforge.operators import cells as cells_of_points
 from snapforge.operators import lyapunov, mesh, sampling, svd

@@ -79,3 +79,30 @@ def test_refusals(spark):
         with pytest.raises(ValueError):
             bad()
     assert nn.cosine(10)(0) == 1 and nn.cosine(10)(10) == pytest.approx(0)
+
+
+def test_representation_query_against_one_table(spark):
+    """The same passes over NumPy arrays: batches by Spark's hashes, gradients of whole batches."""
+    from pyspark.sql import functions as F
+
+    from snapforge.jobs import networks
+    from snapforge.operators.sampling import train_validation_split
+
+    sf = "/root/testdata/sf0.001"
+    split = train_validation_split(spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding"), "key")
+    deal = [F.pmod(F.xxhash64(F.xxhash64(F.col("key").cast("string")), F.lit(0), F.lit(e)), F.lit(2)).alias(f"b{e}") for e in range(networks.EPOCHS)]
+    rows = split.select("*", *deal).collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    own = np.array([r["split"] == "train" for r in rows])
+    net, how = nn.autoencoder(64, 8, [24], seed=4), nn.cosine(networks.EPOCHS)
+    step = nn._optimiser("adam", len(net.weights), 0.9, 0.0)
+    for h in networks.representation_history(spark, sf).orderBy("epoch").collect():
+        losses = []
+        for b in range(2):
+            batch = x[own & np.array([r[f"b{h['epoch']}"] == b for r in rows])]
+            g, loss = net.gradient(batch, batch)
+            net = replace(net, weights=step(net.weights, g / len(batch), 0.01 * how(h["epoch"])))
+            losses.append(loss / len(batch))
+        held = x[~own]
+        assert h["train"] == pytest.approx(np.mean(losses), rel=1e-6)
+        assert h["validation"] == pytest.approx(((net.values(held)[-1] - held) ** 2).mean(), rel=1e-6)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapforge.functions.matrix import as_matrix
 from snapforge.sources.folders import write_table
 
 FAN = 16
@@ -84,13 +85,14 @@ def _search(pairs: DataFrame, leaves: DataFrame, k: int, same: bool) -> DataFram
 
     def closest(key: tuple, queries: pa.Table, points: pa.Table) -> pa.Table:
         points = points.sort_by("neighbour")
-        b, ids = np.array(points.column("p").to_pylist()).reshape(len(points), -1), points.column("neighbour")
-        names, found = queries.column("query"), [[], [], []]
-        plain = ids.to_pylist()
+        b, ids = as_matrix(points.column("p").combine_chunks()) if len(points) else np.zeros((0, 1)), points.column("neighbour")
+        names, found, own = queries.column("query"), [[], [], []], {}
+        for at, other in enumerate(ids.to_pylist() if same else []):
+            own.setdefault(other, []).append(at)
         for row, (x, name) in enumerate(zip(queries.column("p").to_pylist(), names.to_pylist(), strict=True)):
             d = np.sqrt(((b - np.array(x)) ** 2).sum(axis=1)) if len(b) else np.zeros(0)
             if same:
-                d[[i for i, other in enumerate(plain) if other == name]] = np.inf
+                d[own.get(name, [])] = np.inf
             near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
             near = near[np.argsort(d[near], kind="stable")][:k]
             near = near[np.isfinite(d[near])]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapforge.functions.matrix import as_matrix, free_name
+from snapforge.operators.cells import nearest as by_cells
 from snapforge.operators.sampling import apportion, key_hash
 from snapforge.sources.folders import write_table
 
@@ -154,44 +154,19 @@ def locate_boundary(points: DataFrame, nodes: DataFrame, axes: list[str], tolera
 def nearest(queries: DataFrame, points: DataFrame, key: str, axes: list[str], k: int, block: int = 4096, same: bool = True, rounds: int = 4) -> DataFrame:
     """(query, neighbour, distance, rank): the k nearest points of each stated query, ties by id.
 
-    With ``same``, queries are points too, and a point isn't its own neighbour. Up to three axes, points are put into a grid
-    with about ``k`` of them in a cell, and a query looks into the cells around its own. It is done when it has found k
-    points no farther than the cells reach; the others look twice as far, at most ``rounds`` times. What then is left
-    (queries far from everything), and all queries in more axes, are compared with all points in blocks. Rows without a coordinate are left out.
+    With ``same``, queries are points too, and a point isn't its own neighbour. Up to three axes, points are found by cells of bounded size (see ``cells``), so
+    queries far from everything cost no more than others. Queries in more axes, and all without ``rounds``, are compared with all points in blocks. Rows without a
+    coordinate are left out.
     """
+    if len(axes) <= 3 and rounds:
+        return by_cells(queries, points, key, axes, k, same)
     complete = [F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) for a in axes]
     for c in complete:
         queries, points = queries.filter(c), points.filter(c)
     left = queries.select(F.col(key).alias("query"), *[F.col(a).cast("double").alias(f"_q{i}") for i, a in enumerate(axes)])
     right = points.select(F.col(key).alias("neighbour"), *[F.col(a).cast("double").alias(f"_p{i}") for i, a in enumerate(axes)])
     best = Window.partitionBy("query").orderBy("distance", "neighbour")
-    found = []
-    if len(axes) <= 3:
-        box = right.agg(F.count(F.lit(1)).alias("n"), *[(F.max(f"_p{i}") - F.min(f"_p{i}")).alias(f"w{i}") for i in range(len(axes))]).first()
-        spans = [box[f"w{i}"] for i in range(len(axes)) if box["n"] and box[f"w{i}"] > 0]
-        width = (np.prod(spans) * k / box["n"]) ** (1 / len(spans)) if spans else 1.0
-        cell = lambda p, s=0: F.floor(F.col(p) / F.lit(float(width))).cast("long") + s
-        homes = right.withColumn("_cell", F.array(*[cell(f"_p{i}") for i in range(len(axes))]))
-        reach = 1
-        for _ in range(rounds):
-            around = left
-            for i in range(len(axes)):
-                around = around.withColumn(f"_c{i}", F.explode(F.sequence(cell(f"_q{i}", -reach), cell(f"_q{i}", reach))))
-            met = around.withColumn("_cell", F.array(*[f"_c{i}" for i in range(len(axes))])).join(homes, "_cell")
-            met = met.filter(F.col("query") != F.col("neighbour")) if same else met
-            apart = F.sqrt(sum(((F.col(f"_q{i}") - F.col(f"_p{i}")) * (F.col(f"_q{i}") - F.col(f"_p{i}")) for i in range(len(axes))), F.lit(0.0)))
-            top = met.select("query", "neighbour", apart.alias("distance")).filter(F.col("distance") <= reach * float(width))
-            top = write_table(top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "nearest")
-            done = top.filter(F.col("rank") == k).select("query")
-            found.append(top.join(done, "query", "left_semi"))
-            left = write_table(left.join(done, "query", "left_anti"), "queries")
-            if not left.limit(1).count():
-                break
-            reach *= 2
-    rest = _nearest_in_blocks(left, right, len(axes), k, block, same) if not found or left.limit(1).count() else None
-    if rest is not None:
-        found.append(rest.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    return _nearest_in_blocks(left, right, len(axes), k, block, same).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def _nearest_in_blocks(left: DataFrame, right: DataFrame, axes: int, k: int, block: int, same: bool) -> DataFrame:

@@ -87,6 +87,64 @@ def matmul_blocked(a: DataFrame, b: DataFrame, width: int = 256) -> DataFrame:
     return together.mapInArrow(multiply, "i bigint, j bigint, v double")
 
 
+#: Bytes of the rows that are one operand of a product, and of the product's part that is held at once.
+STRIP, TILE = 4 << 20, 16 << 20
+
+
+def rows_with_rows(rows: DataFrame, row_id: str, vec: str) -> DataFrame:
+    """(i, total, largest): of the products of each row with all rows, the sum, and the largest with a row of another id (null if there is none).
+
+    That is A A^T, reduced by row while it is made: rows are packed into strips, every pair of strips is one dense product in tiles, and only a sum and
+    a maximum a row leave a task. Strips are read anew for each pair of their partitions, so nothing is shuffled more than once. The products grow with the square of the rows.
+    Rows without an array are left out, absent numbers count as zero.
+    """
+    given = rows.filter(F.col(row_id).isNotNull() & F.col(vec).isNotNull())
+    size = given.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("columns")).first()
+    columns = max(size["columns"] or 0, 1)
+    strips = max(1, -(-size["n"] * columns * 8 // STRIP))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.coalesce(F.get(vec, j).cast("double"), F.lit(0.0)))
+    dealt = given.select(F.pmod(F.xxhash64(F.col(row_id).cast("long")), F.lit(strips)).cast("int").alias("strip"), F.col(row_id).cast("long").alias("i"), numbers.alias("vec"))
+
+    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts = zip(*((b.column(1).to_numpy(), as_matrix(b.column(2))) for b in batches), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.vstack(parts).tobytes()], pa.binary())], ["strip", "ids", "data"])
+
+    packed = write_table(dealt.groupBy("strip").applyInArrow(pack, "strip int, ids binary, data binary").repartition(strips, "strip"), "strips")
+
+    def reduce_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, total, largest = None, None, None, None
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total), pa.array(largest)], ["i", "total", "largest"])
+
+        for batch in batches:
+            for row in range(len(batch)):
+                own, other = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
+                if own != at:
+                    if at is not None:
+                        yield found()
+                    at, ids = own, np.frombuffer(batch.column(1)[row].as_buffer(), np.int64).copy()
+                    left = np.frombuffer(batch.column(2)[row].as_buffer(), float).reshape(-1, columns).copy()
+                    total, largest = np.zeros(len(ids)), np.full(len(ids), -np.inf)
+                right = np.frombuffer(batch.column(5)[row].as_buffer(), float).reshape(-1, columns)
+                step = max(1, TILE // (8 * len(right)))
+                for first in range(0, len(ids), step):
+                    part = slice(first, first + step)
+                    v = left[part] @ right.T
+                    total[part] += v.sum(axis=1)
+                    if own == other:  # equal ids meet in one strip only
+                        v[ids[part, None] == np.frombuffer(batch.column(4)[row].as_buffer(), np.int64)] = -np.inf
+                    np.maximum(largest[part], v.max(axis=1), out=largest[part])
+        if at is not None:
+            yield found()
+
+    one = packed.select(F.col("strip").alias("s1"), F.col("ids").alias("i1"), F.col("data").alias("d1")).repartition(strips, "s1")
+    two = packed.select(F.col("strip").alias("s2"), F.col("ids").alias("i2"), F.col("data").alias("d2"))
+    pairs = one.crossJoin(two.hint("shuffle_replicate_nl"))
+    each = pairs.mapInArrow(reduce_, "i bigint, total double, largest double").groupBy("i").agg(F.sum("total").alias("total"), F.max("largest").alias("largest"))
+    return each.withColumn("largest", F.when(F.col("largest") > float("-inf"), F.col("largest")))
+
+
 def low_rank_apply(left: DataFrame, right: DataFrame, x: DataFrame, check: bool = True) -> DataFrame:
     """L (R^T x), the small inner product first, so L R^T never exists.
 

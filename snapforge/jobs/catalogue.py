@@ -244,9 +244,8 @@ def svd_dual_inner_product(spark, d):
 SELECT i, round(sum(v), 4) + 0.0 AS total, round(max(v) FILTER (i <> j), 5) + 0.0 AS largest FROM p GROUP BY i""")
 def mat_rows_gram(spark, d):
     """Embeddings times their transpose, block by block: each row's sum and its largest product with another row."""
-    a = embedding_matrix(spark, d)
-    found = matrix.matmul_blocked(a, matrix.transpose(a))
-    return found.groupBy("i").agg(F.sum("v").alias("total"), F.max(F.when(F.col("i") != F.col("j"), F.col("v"))).alias("largest")).select("i", rounded("total", 4), rounded("largest", 5))
+    found = matrix.rows_with_rows(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return found.select("i", rounded("total", 4), rounded("largest", 5))
 
 
 # 64-wide snapshots of known spectrum: the first component of each embedding, weighed down by its group, along the group's vector of an orthonormal cosine basis.

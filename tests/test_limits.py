@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from snapforge.functions import matrix
+from snapforge.jobs import catalogue
 from snapforge.operators import mesh
 
 
@@ -29,3 +31,25 @@ def test_far_points_send_nothing_to_the_driver(spark):
     wanted = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert [found[i] for i in range(len(x))] == wanted.tolist()
     assert sum(s.resultSize() for s in stages_since(spark, first)) < 4 << 20
+
+
+def test_rows_gram_shuffles_no_copies(spark, tmp_path):
+    """The rows' sums and largest products with others, without copies of all rows for each block of columns."""
+    x = np.random.default_rng(5).standard_normal((4000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(4000, None)], "vec_id bigint, embedding array<float>")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    first = next_stage(spark)
+    found = {row["i"]: (row["total"], row["largest"]) for row in catalogue.QUERIES["mat_rows_gram"](spark, str(tmp_path)).collect()}
+    g = x.astype(float) @ x.T.astype(float)
+    total = g.sum(axis=1)
+    np.fill_diagonal(g, -np.inf)
+    assert np.allclose([found[i] for i in range(4000)], np.stack([total, g.max(axis=1)], axis=1), atol=1e-4) and len(found) == 4000
+    assert sum(s.shuffleWriteBytes() for s in stages_since(spark, first)) < 8 * x.size * 8
+
+
+def test_rows_of_one_id_and_a_row_alone(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0]), (2, [None, 5.0])], "id bigint, v array<double>")
+    found = {row["i"]: (row["total"], row["largest"]) for row in matrix.rows_with_rows(rows, "id", "v").collect()}
+    assert found == {1: (5 + 3 + 10 + 3 + 9 + 0, 10), 2: (10 + 0 + 25, 10)}
+    assert [tuple(row) for row in matrix.rows_with_rows(rows.filter("id = 2"), "id", "v").collect()] == [(2, 25, None)]
+    assert matrix.rows_with_rows(rows.limit(0), "id", "v").count() == 0

@@ -105,15 +105,15 @@ def _search(pairs: DataFrame, leaves: DataFrame, k: int, same: bool) -> DataFram
     return asked.groupBy("node", "block").cogroup(given.groupBy("node", "block")).applyInArrow(closest, f"query {kinds[0]}, neighbour {kinds[1]}, distance double")
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, axes: list[str], k: int, same: bool = True, size: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, key: str, axes: list[str], k: int, same: bool = True, size: int = 1024, within: float | None = None) -> DataFrame:
     """(query, neighbour, distance, rank): exactly the k nearest points of each query, ties by id.
 
     With ``same``, queries are points too, and a point isn't its own neighbour. Ids are unique; rows without a coordinate are left out. Fewer
-    than k points give fewer neighbours, and none an empty result.
+    than k points give fewer neighbours, and none an empty result. Points farther than ``within`` aren't looked for.
     """
     leaves, levels, cuts = grow(complete(points, key, axes, "neighbour"), len(axes), size)
     asked = write_table(complete(queries, key, axes, "query"), "queries")
-    home = asked.withColumn("node", F.lit(0).cast("long")).withColumn("bound", F.lit(float("inf")))
+    home = asked.withColumn("node", F.lit(0).cast("long")).withColumn("bound", F.lit(float("inf") if within is None else float(within)))
     for level, (nodes, n) in enumerate(levels):  # down to the query's own cell; a box with enough points bounds the search
         known = home.join(_near(nodes.select("node", "n", "low", "high", "leaf"), n), "node", "left")
         bound = F.when(F.col("n") >= k + int(same), F.least("bound", _reach(True))).otherwise(F.col("bound"))
@@ -138,4 +138,6 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, axes: list[str], k:
         frontier = frontier.filter(~F.col("leaf")).drop("leaf")
     others = _search(reduce(DataFrame.unionByName, reached), leaves, k, same)
     best = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return first.unionByName(others).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    both = first.unionByName(others)
+    both = both if within is None else both.filter(F.col("distance") <= float(within))
+    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -126,29 +126,19 @@ def unit_cube(points: DataFrame, axes: list[str]) -> DataFrame:
     return out.select(*points.columns)
 
 
-def _squared(axes: list[str], other: str) -> Column:
-    return sum(((F.col(a) - F.col(f"{other}{a}")) * (F.col(a) - F.col(f"{other}{a}")) for a in axes), F.lit(0.0))
-
-
 def locate_boundary(points: DataFrame, nodes: DataFrame, axes: list[str], tolerance: float) -> DataFrame:
     """Add ``boundary``: of the nearest boundary node within ``tolerance``, else null; ties go to the first name.
 
-    Nodes are put into a grid of cells as wide as the tolerance and a point looks into the cells around its own, so
-    each pair that is compared is near. Points are numbered in a written table and meet their boundary by that number, so nulls in other columns, repeated
+    Each point looks for its nearest node by cells of bounded size (see ``cells``), no farther than the tolerance; nodes at one place count once, with
+    their first name. Points are numbered in a written table and meet their boundary by that number, so nulls in other columns, repeated
     points and columns of any name are no matter; a column called ``boundary`` is replaced. A point without a coordinate has no boundary.
     """
     points = points.drop("boundary")
-    row, at, distance, best = (free_name(points, x) for x in ("_row", "_cell", "_d", "_best"))
+    row, name = (free_name(points, x) for x in ("_row", "_name"))
     numbered = write_table(points.withColumn(row, F.monotonically_increasing_id()), "points")
-    cell = lambda a: F.floor(F.col(a) / F.lit(tolerance)).cast("long")
-    around = numbered.select(row, *axes)
-    for i, a in enumerate(axes):
-        around = around.withColumn(f"{at}{i}", F.explode(F.array(*[cell(a) + s for s in (-1, 0, 1)])))
-    around = around.withColumn(at, F.array(*[f"{at}{i}" for i in range(len(axes))]))
-    near = nodes.select(F.array(*[cell(a) for a in axes]).alias(at), F.col("boundary").alias(best), *[F.col(a).alias(f"{at}{a}") for a in axes])
-    pairs = around.join(near, at).withColumn(distance, F.sqrt(_squared(axes, at))).filter(F.col(distance) <= tolerance)
-    found = pairs.groupBy(row).agg(F.min(F.struct(distance, best)).getField(best).alias("boundary"))
-    return numbered.join(found, row, "left").drop(row)
+    places = nodes.groupBy(*[F.col(a).cast("double").alias(a) for a in axes]).agg(F.min(F.struct("boundary")).getField("boundary").alias(name))
+    near = by_cells(numbered.select(F.col(row).alias(name), *axes), places, name, axes, 1, same=False, within=tolerance)
+    return numbered.join(near.select(F.col("query").alias(row), F.col("neighbour").alias("boundary")), row, "left").drop(row)
 
 
 def nearest(queries: DataFrame, points: DataFrame, key: str, axes: list[str], k: int, block: int = 4096, same: bool = True, rounds: int = 4) -> DataFrame:

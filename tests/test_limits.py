@@ -33,6 +33,19 @@ def test_far_points_send_nothing_to_the_driver(spark):
     assert sum(s.resultSize() for s in stages_since(spark, first)) < 4 << 20
 
 
+def test_points_in_one_dense_cell_don_t_meet_all_nodes(spark):
+    """Nodes far closer than the tolerance: a point meets those of a cell or two, not every node within the tolerance."""
+    r = np.random.default_rng(4)
+    x, y = r.random((3000, 2)), r.random((9000, 2))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id bigint, x double, y double")
+    nodes = spark.createDataFrame([(f"n{i:04}", *map(float, p)) for i, p in enumerate(y)], "boundary string, x double, y double")
+    first = next_stage(spark)
+    found = {row["id"]: row["boundary"] for row in mesh.locate_boundary(points, nodes, ["x", "y"], 2.0).collect()}
+    wanted = [((y - p) ** 2).sum(axis=1).argmin() for p in x]
+    assert [found[i] for i in range(len(x))] == [f"n{i:04}" for i in wanted]
+    assert max(s.peakExecutionMemory() for s in stages_since(spark, first)) < 512 << 20
+
+
 def test_rows_gram_shuffles_no_copies(spark, tmp_path):
     """The rows' sums and largest products with others, without copies of all rows for each block of columns."""
     x = np.random.default_rng(5).standard_normal((4000, 16)).astype(np.float32)

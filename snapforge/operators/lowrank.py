@@ -72,7 +72,7 @@ def triangle_of(z: Vectors) -> np.ndarray:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for data in (batch.column(0)[k].as_py() for k in range(len(batch))):
                 yield pa.RecordBatch.from_arrays([pa.array(list(unpack(data, float, width)), pa.list_(pa.float64()))], ["vec"])
 
     return triangle(z.table.select("data").mapInArrow(rows, "vec array<double>"), "vec")
@@ -140,7 +140,7 @@ def lr_adi(of: System, b: Vectors, tol: float = 1e-10, max_iter: int = 500, colu
     whole = left = norm(b)
     while left > whole * tol and steps < max_iter:
         s = complex(shifts[at])
-        v = sparse.solve(of, w, 1.0, s if s.imag else s.real, tol=min(1e-8, tol * 1e2), verify=False)
+        v = sparse.solve(of, w, 1.0, s if s.imag else s.real, tol=max(min(1e-8, tol * 1e2), 1e-12), verify=False)
         if not s.imag:
             step, gain = v, -2 * s.real
             z.add(v, eye * np.sqrt(gain))

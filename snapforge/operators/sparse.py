@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from snapforge.sources.folders import write_table
 
 WIDTH = 128
-#: Bytes of a vector table that may be broadcast to the blocks of a product.
-BROADCAST = 16 << 20
+#: Bytes of a vector table that may be broadcast to the blocks of a product; it is one of hundreds in a solution, and each passes the driver.
+BROADCAST = 1 << 20
 STATE = "b bigint, rows binary, cols binary, diagonal binary, x binary, r binary, zs binary, qs binary, z binary, p binary, gram binary"
 
 
@@ -35,6 +35,7 @@ class System:
     width: int
     pieces: int
     identity: bool = True
+    decoupled: bool = False
 
     def transposed(self) -> System:
         return replace(self, blocks=self.blocks.select(F.col("bj").alias("bi"), F.col("bi").alias("bj"), F.col("c").alias("r"), F.col("r").alias("c"), "a", "e"))
@@ -61,7 +62,7 @@ def system(a: DataFrame, e: DataFrame | None = None, width: int = WIDTH) -> Syst
     inside = lambda c: (F.col(c) - block(c) * width).cast("int")
     lists = cells.groupBy(block("i").alias("bi"), block("j").alias("bj")).agg(F.collect_list(F.struct(inside("i").alias("r"), inside("j").alias("c"), "a", "e")).alias("cells"))
     blocks = write_table(lists.select("bi", "bj", *[F.col(f"cells.{c}").alias(c) for c in "rcae"]), "blocks")
-    return System(blocks, states, width, states.select(block("i")).distinct().count(), e is None)
+    return System(blocks, states, width, states.select(block("i")).distinct().count(), e is None, not blocks.filter("bi <> bj").limit(1).count())
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -71,6 +72,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return total
 
 
+def parted(batches: Iterator[pa.RecordBatch], rows: int = 32) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: pieces are large, and what is made of them should not be held for a whole batch."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 def unpack(data: bytes | None, kind: type, width: int, columns: int | None = None) -> np.ndarray:
     """A piece; without data a piece of zeros."""
     if data is None:
@@ -109,7 +117,7 @@ def rows_from(x: Vectors, states: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for b, data in ((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()) for k in range(len(batch))):
                 piece = unpack(data, kind, width)
                 parts = [piece.real, piece.imag] if kind is complex else [piece]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(b * width, (b + 1) * width)), *[pa.array(list(p), pa.list_(pa.float64())) for p in parts]], ["i", "vec", "im"][: 1 + len(parts)])
@@ -127,10 +135,11 @@ def _products(of: System, weights: tuple[complex, complex], pieces: DataFrame, k
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((width, width), kind)
-        for batch in batches:
+        for batch in parted(batches, 512):
             out = []
             lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[1:5]]
-            for k, data in enumerate(batch.column(5).to_pylist()):
+            for k in range(len(batch)):
+                data = batch.column(5)[k].as_py()
                 r, c, a, e = (values[offsets[k] : offsets[k + 1]] for offsets, values in lists)
                 dense[r, c] = alpha * a + beta * e
                 out.append((dense @ unpack(data, kind, width)).tobytes())
@@ -151,6 +160,8 @@ def product(of: System, x: Vectors, alpha: complex = 1.0, beta: complex = 0.0) -
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["b", "data"])
 
     parts = _products(of, (alpha, beta), x.table, kind, x.columns)
+    if of.decoupled:
+        return replace(x, table=parts.withColumnRenamed("part", "data"))
     return replace(x, table=parts.groupBy("b").applyInArrow(total, "b bigint, data binary"))
 
 
@@ -161,16 +172,17 @@ def combine(terms: list[tuple[Vectors, np.ndarray]]) -> Vectors:
     kinds, matrices = [v.kind for v, _ in terms], [m for _, m in terms]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             out = []
-            for data in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for k in range(len(batch)):
+                data = [c[k].as_py() for c in batch.columns[1:]]
                 total = sum(unpack(d, k, width) @ m for d, k, m in zip(data, kinds, matrices, strict=True) if d is not None)
                 out.append(np.ascontiguousarray(total, kind).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "data"])
 
     joined = first.table.withColumnRenamed("data", "d0")
     for k, (v, _) in enumerate(terms[1:], 1):
-        joined = joined.join(v.table.withColumnRenamed("data", f"d{k}"), "b", "full")
+        joined = joined.join(v.table.withColumnRenamed("data", f"d{k}").hint("merge"), "b", "full")
     return Vectors(joined.mapInArrow(add, "b bigint, data binary"), matrices[0].shape[1], width, kind)
 
 
@@ -182,7 +194,7 @@ def parts_of(x: Vectors) -> tuple[Vectors, Vectors]:
 
     def part(of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
         def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parted(batches):
                 out = [np.ascontiguousarray(of(unpack(d, complex, width))).tobytes() for d in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "data"])
 
@@ -193,18 +205,20 @@ def parts_of(x: Vectors) -> tuple[Vectors, Vectors]:
 
 def inner(x: Vectors, y: Vectors) -> np.ndarray:
     """X^H Y, a small matrix: one per task, added up."""
-    width, kinds = x.width, (x.kind, y.kind)
+    width, kinds, alone = x.width, (x.kind, y.kind), x is y
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = unpack(a, kinds[0], width).conj().T @ unpack(b, kinds[1], width)
+            for k in range(len(batch)):
+                a = unpack(batch.column(0)[k].as_py(), kinds[0], width)
+                more = a.conj().T @ (a if alone else unpack(batch.column(1)[k].as_py(), kinds[1], width))
                 total = more if total is None else total + more
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(complex).tobytes()], pa.binary())], ["gram"])
 
-    pairs = x.table.select("b", F.col("data").alias("one")).join(y.table.select("b", F.col("data").alias("two")), "b").select("one", "two")
+    pairs = x.table.select("b", F.col("data").alias("one"))
+    pairs = pairs.select("one") if alone else pairs.join(y.table.select("b", F.col("data").alias("two")).hint("merge"), "b").select("one", "two")
     return _summed(pairs.mapInArrow(partial, "gram binary"), x.columns, y.columns, x.kind is complex or y.kind is complex)
 
 
@@ -229,13 +243,15 @@ def solve(of: System, rhs: Vectors, alpha: complex = 1.0, beta: complex = 0.0, t
     """X with (alpha A + beta E) X = B, each column up to a relative residual of ``tol``; an error if ``rounds`` don't suffice or it stops to fall, as in singular systems.
 
     After ``depth`` rounds the directions are dropped and the search begins anew from the residual. Complex weights give complex vectors.
-    Without ``verify`` the residual kept by the rounds decides, and the true one is not computed once more.
+    Without ``verify`` the residual kept by the rounds decides, and the true one is not computed once more. Where no block is linked to another one, each is solved by itself.
     """
     kind = complex if rhs.kind is complex or complex(alpha).imag or complex(beta).imag else float
     weights = (alpha, beta) if kind is complex else (complex(alpha).real, complex(beta).real)
     m, width = rhs.columns, of.width
     if rhs.width != width:
         raise ValueError("pieces and blocks must have one width")
+    if of.decoupled and (found := _solve_blocks(of, rhs, weights, kind, tol)) is not None:
+        return found
     state = _start(of, rhs, weights, kind)
     size = None
     update, held, since, before = None, 0, 0, None
@@ -272,6 +288,44 @@ def solve(of: System, rhs: Vectors, alpha: complex = 1.0, beta: complex = 0.0, t
     raise RuntimeError(f"no solution within {rounds} rounds: relative residuals {np.sqrt(rr / np.maximum(size, 1e-300))}")
 
 
+def _solve_blocks(of: System, rhs: Vectors, weights: tuple[complex, complex], kind: type, tol: float) -> Vectors | None:
+    """The solution of a system whose blocks aren't linked, one block at a time; none if a block is singular or a column's residual exceeds ``tol`` and rounding."""
+    width, m, given, (alpha, beta) = of.width, rhs.columns, rhs.kind, weights
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[2:6]]
+            out, sizes = [], np.zeros((2, m))
+            for k in range(len(batch)):
+                r, c, a, e = (values[offsets[k] : offsets[k + 1]] for offsets, values in lists)
+                own, v = unpack(batch.column(1)[k].as_py(), given, width).astype(kind), alpha * a + beta * e
+                if (r == c).all():
+                    diagonal = np.ones(width, kind)
+                    diagonal[r] = v
+                    with np.errstate(all="ignore"):
+                        x = own / diagonal[:, None]
+                    back = diagonal[:, None] * x
+                else:
+                    dense = np.zeros((width, width), kind)
+                    dense[r, c] = v
+                    empty = ~dense.any(axis=1) & ~dense.any(axis=0)
+                    dense[empty, empty] = 1
+                    try:
+                        x = np.linalg.solve(dense, own)
+                    except np.linalg.LinAlgError:
+                        x = np.full(own.shape, np.nan, kind)
+                    back = dense @ x
+                out.append(np.ascontiguousarray(x, kind).tobytes())
+                sizes += np.stack([(np.abs(own - back) ** 2).sum(axis=0), (np.abs(own) ** 2).sum(axis=0)])
+            grams = [sizes.astype(complex).tobytes()] + [None] * (len(out) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(grams[: len(out)], pa.binary())], ["b", "data", "gram"])
+
+    met = rhs.table.join(of.blocks.hint("shuffle_hash"), F.col("b") == F.col("bi")).select("b", "data", "r", "c", "a", "e")
+    table = write_table(met.mapInArrow(each, "b bigint, data binary, gram binary"), "solution")
+    left, size = _summed(table.select("gram").dropna(), 2, m, False)
+    return Vectors(table.select("b", "data"), m, width, kind) if (left <= max(2 * tol, 1e-13) ** 2 * size).all() else None
+
+
 def _as_kind(x: Vectors, kind: type) -> Vectors:
     return x if x.kind is kind else combine([(x, np.eye(x.columns, dtype=kind))])
 
@@ -282,7 +336,7 @@ def _start(of: System, rhs: Vectors, weights: tuple[complex, complex], kind: typ
     names = [f.split()[0] for f in STATE.split(", ")]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             for row in batch.to_pylist():
                 r, c = (np.array(row[k] or [], np.int32) for k in "rc")
                 values = (alpha * np.array(row["a"] or []) + beta * np.array(row["e"] or [])).astype(kind)
@@ -327,7 +381,7 @@ def _round(of: System, state: DataFrame, weights: tuple[complex, complex], kind:
     names = [f.split()[0] for f in STATE.split(", ")]
 
     def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             rows = batch.to_pylist()
             out = [np.ascontiguousarray(_precondition(row, _advance(row, kind, width, update)["r"], kind, width)).tobytes() for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "data"])
@@ -349,7 +403,7 @@ def _solution(state: DataFrame, of: System, m: int, kind: type, update: tuple |
     width = of.width
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             out = [np.ascontiguousarray(_advance(row, kind, width, update)["x"]).tobytes() for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "data"])
 

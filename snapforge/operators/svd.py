@@ -19,6 +19,10 @@ from snapforge.functions.matrix import as_matrix, dense, fix_signs, gram, matmul
 from snapforge.sources.folders import write_table
 
 
+#: Sparse rows that are multiplied together: each of their cells is a row of numbers then.
+ROWS = 512
+
+
 @dataclass(frozen=True)
 class Decomposition:
     """Singular values in descending order and the basis, one column per value."""
@@ -247,18 +251,20 @@ def svd_sparse(cells: DataFrame, columns: int, rank: int, oversampling: int = 10
     """
     if columns > limit:
         raise ValueError(f"{columns} columns are too many for the driver")
-    lists = write_table(cells.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list(F.col("v").cast("double")).alias("v")).select("j", "v"), "sparse-rows")
+    lists = write_table(cells.dropna(subset=["i", "j", "v"]).groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list(F.col("v").cast("double")).alias("v")).select("j", "v"), "sparse-rows")
 
     def apply_to(w: np.ndarray) -> np.ndarray:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(w.shape)
-            for batch in batches:
+            for batch in (b.slice(first, ROWS) for b in batches for first in range(0, len(b), ROWS)):
                 at, values = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
-                starts = np.diff(batch.column(0).offsets.to_numpy()).cumsum()
-                owner = np.searchsorted(starts, np.arange(len(at)), side="right")
-                product = np.zeros((len(batch), w.shape[1]))
-                np.add.at(product, owner, values[:, None] * w[at])
-                np.add.at(total, at, values[:, None] * product[owner])
+                lengths = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+                cells = values[:, None] * w[at]
+                product = np.add.reduceat(cells, lengths.cumsum() - lengths)  # no row is without cells
+                np.multiply(values[:, None], np.repeat(product, lengths, axis=0), out=cells)
+                order = at.argsort(kind="stable")
+                columns, first = np.unique(at[order], return_index=True)
+                total[columns] += np.add.reduceat(cells[order], first)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["i", "vec"])
 
         parts = lists.mapInArrow(partial, "i bigint, vec array<double>").select("i", F.posexplode("vec").alias("j", "v"))

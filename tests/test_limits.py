@@ -8,7 +8,7 @@ import numpy as np
 
 from snapforge.functions import matrix
 from snapforge.jobs import catalogue
-from snapforge.operators import mesh, sparse
+from snapforge.operators import mesh, sparse, svd
 from snapforge.sources.folders import shared_folder
 
 
@@ -95,3 +95,12 @@ def test_unlinked_blocks_are_solved_without_rounds(spark):
     a[np.arange(0, 300, 2), np.arange(1, 300, 2)] = pair
     assert np.abs(np.array([found[i] for i in range(300)]) - np.linalg.solve(a + (-0.5 + 0.25j) * np.eye(300), b)).max() < 1e-13
     assert rounds() == before
+
+
+def test_sparse_decomposition_in_small_parts_and_with_null_cells(spark):
+    """More rows than are multiplied together; null cells count as absent."""
+    x = np.random.default_rng(7).standard_normal((svd.ROWS + 90, 12)) * 0.5 ** np.arange(12)
+    x[:, 3:5][::3] = 0
+    cells = [(i, j, float(v)) for (i, j), v in np.ndenumerate(x) if v] + [(0, 3, None), (10**6, 0, None)]
+    found = svd.svd_sparse(spark.createDataFrame(cells, "i bigint, j bigint, v double").coalesce(1), 12, 3)
+    assert np.allclose(found.sigma, np.linalg.svd(x, compute_uv=False)[:3], rtol=1e-9)

@@ -304,14 +304,14 @@ def _solve_blocks(of: System, rhs: Vectors, weights: tuple[complex, complex], ki
                     diagonal[r] = v
                     with np.errstate(all="ignore"):
                         x = own / diagonal[:, None]
-                    back = diagonal[:, None] * x
+                        back = np.zeros(x.shape, kind)
+                        back[r] = v[:, None] * x[r]
                 else:
                     dense = np.zeros((width, width), kind)
                     dense[r, c] = v
                     empty = ~dense.any(axis=1) & ~dense.any(axis=0)
-                    dense[empty, empty] = 1
                     try:
-                        x = np.linalg.solve(dense, own)
+                        x = np.linalg.solve(dense + np.diag(empty), own)
                     except np.linalg.LinAlgError:
                         x = np.full(own.shape, np.nan, kind)
                     back = dense @ x
@@ -320,7 +320,7 @@ def _solve_blocks(of: System, rhs: Vectors, weights: tuple[complex, complex], ki
             grams = [sizes.astype(complex).tobytes()] + [None] * (len(out) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(grams[: len(out)], pa.binary())], ["b", "data", "gram"])
 
-    met = rhs.table.join(of.blocks.hint("shuffle_hash"), F.col("b") == F.col("bi")).select("b", "data", "r", "c", "a", "e")
+    met = rhs.table.join(of.blocks.hint("shuffle_hash"), F.col("b") == F.col("bi"), "left").select("b", "data", "r", "c", "a", "e")
     table = write_table(met.mapInArrow(each, "b bigint, data binary, gram binary"), "solution")
     left, size = _summed(table.select("gram").dropna(), 2, m, False)
     return Vectors(table.select("b", "data"), m, width, kind) if (left <= max(2 * tol, 1e-13) ** 2 * size).all() else None

@@ -5,6 +5,7 @@ from urllib.parse import urlparse
 
 import duckdb
 import numpy as np
+import pytest
 
 from snapforge.functions import matrix
 from snapforge.jobs import catalogue
@@ -104,3 +105,13 @@ def test_sparse_decomposition_in_small_parts_and_with_null_cells(spark):
     cells = [(i, j, float(v)) for (i, j), v in np.ndenumerate(x) if v] + [(0, 3, None), (10**6, 0, None)]
     found = svd.svd_sparse(spark.createDataFrame(cells, "i bigint, j bigint, v double").coalesce(1), 12, 3)
     assert np.allclose(found.sigma, np.linalg.svd(x, compute_uv=False)[:3], rtol=1e-9)
+
+
+def test_an_unlinked_state_without_cells_is_an_error(spark):
+    """Whether others share its block or it has none: nothing times its value is not its right side."""
+    one = spark.createDataFrame([(0, 0, 2.0)], "i bigint, j bigint, v double")
+    for lost in (1, 500):
+        of = sparse.system(one.unionByName(spark.createDataFrame([(lost, lost, None)], one.schema)), one)
+        rhs = sparse.written(sparse.pieces_of(spark.createDataFrame([(0, [1.0]), (lost, [1.0])], "i bigint, vec array<double>"), 1), "rhs")
+        with pytest.raises(RuntimeError):
+            sparse.solve(of, rhs)

@@ -212,12 +212,11 @@ def balanced_truncation(of: System, b: Vectors, c: Vectors, order: int | None =
     A is regularised by -1e-8 E, and scaled where its norm exceeds 1e6, for the Gramians only. ``order`` fixes the
     number of states, else ``max_error`` is the energy share of Hankel singular values that may be lost.
     """
-    shifted = replace(of, blocks=of.blocks.withColumn("a", F.zip_with("a", "e", lambda a, e: a - REGULARISATION * e))) if continuous_time else of
-    cell = F.explode(F.arrays_zip("a")).alias("x")
-    norm = np.sqrt(shifted.blocks.select(cell).agg(F.sum(F.col("x.a") * F.col("x.a")).alias("n")).first()["n"] or 0.0)
+    shifted = of.altered(lambda a, e: a - REGULARISATION * e) if continuous_time else of
+    norm = shifted.norm()
     factor = lr_adi if continuous_time else lr_smith
     if continuous_time and norm > LARGE_NORM:
-        scaled = replace(shifted, blocks=shifted.blocks.withColumn("a", F.transform("a", lambda a: a / F.lit(float(norm)))))
+        scaled = shifted.altered(lambda a, e: a / F.lit(norm))
         small = lambda x: combine([(x, np.eye(x.columns) / np.sqrt(norm))])
     else:
         scaled, small = shifted, lambda x: x

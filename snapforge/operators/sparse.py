@@ -1,8 +1,8 @@
 """Large sparse systems on tables: (alpha A + beta E) X = B for any number of states and a few right sides at once.
 
-A and E (i, j, v) are cut once into square blocks of ``width`` states, and vectors into pieces of as many rows, one NumPy matrix
-a record. A product is one join of blocks and pieces, a dense product for each pair that has cells, and a sum by
-block row. The solver minimises the residual over all directions so far (generalised conjugate residuals for a block
+Vectors are cut into pieces of ``width`` rows, one NumPy matrix a record, and A and E (i, j, v) once into diagonal blocks of as many states and, for
+what lies outside of these, the links of each block column. A product is one join of pieces and links; a task sums up what its pieces give to a row, so
+only numbers of rows that are linked move, packed by strips of neighbouring pieces, and not a piece for each link. The solver minimises the residual over all directions so far (generalised conjugate residuals for a block
 of right sides), preconditioned by solving with the diagonal blocks, so chains and bands with weak links between blocks take a few rounds. A round is one
 product and one small sum for the driver: all inner products at once, at most as wide as the directions. Its vectors are written to the shared folder, which cuts the
 lineage; the true residual is computed before a result is returned.
@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.sources.folders import write_table
@@ -23,14 +23,23 @@ from snapforge.sources.folders import write_table
 WIDTH = 128
 #: Bytes of a vector table that may be broadcast to the blocks of a product; it is one of hundreds in a solution, and each passes the driver.
 BROADCAST = 1 << 20
+#: Links of a block column in one record, on average; a column with more has several.
+LINKS = 1 << 14
+#: Bytes of one vector in a strip, the pieces that are summed up together, and bytes of sums that a task holds before it hands them on.
+STRIP, HELD = 1 << 16, 1 << 25
+SENT = "g bigint, b bigint, rows binary, data binary"
 STATE = "b bigint, rows binary, cols binary, diagonal binary, x binary, r binary, zs binary, qs binary, z binary, p binary, gram binary"
 
 
 @dataclass(frozen=True)
 class System:
-    """Blocks (bi, bj, r, c, a, e) of A and E on the same cells, and the states (i)."""
+    """Diagonal blocks (b, r, c, a, e) of A and E on the same cells, links (b, part, i, c, a, e) from column c of block b to state i of another one, and the states (i).
+
+    Each block has a part 0 of its links, even if it has none.
+    """
 
     blocks: DataFrame
+    links: DataFrame
     states: DataFrame
     width: int
     pieces: int
@@ -38,7 +47,17 @@ class System:
     decoupled: bool = False
 
     def transposed(self) -> System:
-        return replace(self, blocks=self.blocks.select(F.col("bj").alias("bi"), F.col("bi").alias("bj"), F.col("c").alias("r"), F.col("r").alias("c"), "a", "e"))
+        links = self.links.select("b", F.explode(F.arrays_zip("i", "c", "a", "e")).alias("x")).select((F.col("b") * self.width + F.col("x.c")).alias("i"), F.col("x.i").alias("j"), "x.a", "x.e")
+        return replace(self, blocks=self.blocks.select("b", F.col("c").alias("r"), F.col("r").alias("c"), "a", "e"), links=_links(links, self.states, self.width))
+
+    def altered(self, a: Callable[[Column, Column], Column]) -> System:
+        """With other numbers in A, made of those of A and E in the same cell."""
+        return replace(self, **{part: getattr(self, part).withColumn("a", F.zip_with("a", "e", a)) for part in ("blocks", "links")})
+
+    def norm(self) -> float:
+        """The Frobenius norm of A."""
+        cells = self.blocks.select(F.explode("a").alias("a")).unionByName(self.links.select(F.explode("a").alias("a")))
+        return float(np.sqrt(cells.agg(F.sum(F.col("a") * F.col("a")).alias("n")).first()["n"] or 0.0))
 
 
 @dataclass(frozen=True)
@@ -53,16 +72,38 @@ class Vectors:
 
 def system(a: DataFrame, e: DataFrame | None = None, width: int = WIDTH) -> System:
     """``e`` is the identity unless given. States are all ids i and j of both; cells that repeat add up, and null ones are left out."""
-    given = [a] if e is None else [a, e]
-    states = write_table(_union([m.select(F.col(c).cast("long").alias("i")) for m in given for c in "ij"]).filter("i IS NOT NULL").distinct(), "states")
-    mass = states.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")) if e is None else e
-    part = lambda m, own, other: m.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias(own), F.lit(0.0).alias(other))
-    cells = part(a, "a", "e").unionByName(part(mass, "e", "a")).dropna().groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("e").alias("e"))
-    block = lambda c: F.floor(F.col(c) / width).cast("long")
-    inside = lambda c: (F.col(c) - block(c) * width).cast("int")
-    lists = cells.groupBy(block("i").alias("bi"), block("j").alias("bj")).agg(F.collect_list(F.struct(inside("i").alias("r"), inside("j").alias("c"), "a", "e")).alias("cells"))
-    blocks = write_table(lists.select("bi", "bj", *[F.col(f"cells.{c}").alias(c) for c in "rcae"]), "blocks")
-    return System(blocks, states, width, states.select(block("i")).distinct().count(), e is None, not blocks.filter("bi <> bj").limit(1).count())
+    number = lambda: F.when(~F.isnan(F.col("v").cast("double")), F.col("v").cast("double"))
+    part = lambda m, own, other: m.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), number().alias(own), F.lit(0.0).alias(other))
+    summed = lambda m: m.groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("e").alias("e"))
+    given = part(a, "a", "e")
+    if e is not None:
+        given = given.unionByName(part(e, "e", "a"))
+    # A null cell makes its ids states and gives no number; it is known by the null of its own matrix.
+    known = F.max(F.col("a").isNotNull() & F.col("e").isNotNull()).alias("known")
+    cells = write_table(given.groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("e").alias("e"), known), "cells")
+    states = write_table(_union([cells.select(F.col(c).alias("i")) for c in "ij"]).filter("i IS NOT NULL").distinct(), "states")
+    cells = cells.filter("known AND i IS NOT NULL AND j IS NOT NULL").select("i", "j", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("e", F.lit(0.0)).alias("e"))
+    block, inside = lambda c: _block(c, width), lambda c: (F.col(c) - _block(c, width) * width).cast("int")
+    own, outside = cells.filter(block("i") == block("j")), cells.filter(block("i") != block("j"))
+    if e is None:
+        own = summed(own.unionByName(states.select("i", F.col("i").alias("j"), F.lit(0.0).alias("a"), F.lit(1.0).alias("e"))))
+    lists = own.groupBy(block("i").alias("b")).agg(F.collect_list(F.struct(inside("i").alias("r"), inside("j").alias("c"), "a", "e")).alias("cells"))
+    blocks = write_table(lists.select("b", *[F.col(f"cells.{c}").alias(c) for c in "rcae"]), "blocks")
+    return System(blocks, _links(outside, states, width), states, width, states.select(block("i")).distinct().count(), e is None, not outside.limit(1).count())
+
+
+def _block(name: str, width: int) -> Column:
+    return F.floor(F.col(name) / width).cast("long")
+
+
+def _links(cells: DataFrame, states: DataFrame, width: int) -> DataFrame:
+    """(b, part, i, c, a, e): cells (i, j, a, e) by block column, those of columns with many in several parts."""
+    cells = cells.withColumn("b", _block("j", width))
+    many = cells.groupBy("b").count().filter(F.col("count") > LINKS).select("b", F.ceil(F.col("count") / LINKS).alias("parts"))  # no more rows than cells / LINKS
+    placed = cells.join(F.broadcast(many), "b", "left").select("b", F.coalesce(F.pmod(F.xxhash64("i"), "parts"), F.lit(0)).cast("int").alias("part"), F.struct("i", (F.col("j") - F.col("b") * width).cast("int").alias("c"), "a", "e").alias("cell"))
+    none = states.select(_block("i", width).alias("b")).distinct().select("b", F.lit(0).alias("part"), F.lit(None).cast(placed.schema["cell"].dataType).alias("cell"))
+    lists = placed.unionByName(none).groupBy("b", "part").agg(F.collect_list("cell").alias("cells"))
+    return write_table(lists.select("b", "part", *[F.col(f"cells.{c}").alias(c) for c in "icae"]), "links")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -79,6 +120,12 @@ def parted(batches: Iterator[pa.RecordBatch], rows: int = 32) -> Iterator[pa.Rec
             yield batch.slice(first, rows)
 
 
+def _binary(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values: the rows between neighbouring bounds, which begin with 0."""
+    size = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def unpack(data: bytes | None, kind: type, width: int, columns: int | None = None) -> np.ndarray:
     """A piece; without data a piece of zeros."""
     if data is None:
@@ -90,14 +137,11 @@ def pieces_of(rows: DataFrame, columns: int, width: int = WIDTH, row_id: str = "
     """Of rows (id, array of ``columns`` numbers); an id that comes twice counts as the sum, null rows are left out."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for own in batch.column(1).to_pylist():
-                piece = np.zeros((width, columns))
-                for row in own:
-                    piece[row["at"]] += row["vec"]
-                out.append(piece.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "data"])
+        for batch in parted(batches, 512):
+            rows, owner = batch.column(1).flatten(), np.repeat(np.arange(len(batch)) * width, np.diff(batch.column(1).offsets))
+            out = np.zeros((len(batch) * width, columns))
+            np.add.at(out, owner + rows.field("at").to_numpy(), rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), columns))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(out, np.arange(len(batch) + 1) * width)], ["b", "data"])
 
     place = F.floor(F.col(row_id) / width).cast("long")
     each = rows.filter(F.col(row_id).isNotNull() & F.col(vec).isNotNull()).groupBy(place.alias("b")).agg(F.collect_list(F.struct((F.col(row_id) - place * width).cast("int").alias("at"), F.col(vec).cast("array<double>").alias("vec"))).alias("rows"))
@@ -113,14 +157,14 @@ def columns_of(cells: DataFrame, columns: int, width: int = WIDTH) -> Vectors:
 
 def rows_from(x: Vectors, states: DataFrame) -> DataFrame:
     """(i, vec) of each state; of complex vectors (i, vec, im)."""
-    kind, width = x.kind, x.width
+    kind, width, x_columns = x.kind, x.width, x.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, data in ((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()) for k in range(len(batch))):
                 piece = unpack(data, kind, width)
                 parts = [piece.real, piece.imag] if kind is complex else [piece]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(b * width, (b + 1) * width)), *[pa.array(list(p), pa.list_(pa.float64())) for p in parts]], ["i", "vec", "im"][: 1 + len(parts)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(b * width, (b + 1) * width)), *[pa.ListArray.from_arrays(pa.array(np.arange(width + 1, dtype=np.int32) * x_columns), pa.array(np.ascontiguousarray(p).ravel())) for p in parts]], ["i", "vec", "im"][: 1 + len(parts)])
 
     found = x.table.mapInArrow(rows, "i bigint, vec array<double>" + ", im array<double>" * (kind is complex))
     zero = F.array_repeat(F.lit(0.0), x.columns)
@@ -128,41 +172,97 @@ def rows_from(x: Vectors, states: DataFrame) -> DataFrame:
     return states.join(found, "i", "left").select("i", *[F.coalesce(c, zero).alias(c) for c in names])
 
 
-def _products(of: System, weights: tuple[complex, complex], pieces: DataFrame, kind: type, columns: int) -> DataFrame:
-    """(b, part): products of blocks with the pieces (b, data) of their columns."""
+def _span(width: int, kind: type, columns: int) -> int:
+    """Pieces of a strip."""
+    return max(1, STRIP // (width * columns * np.dtype(kind).itemsize))
+
+
+def _sent(of: System, weights: tuple[complex, complex], pieces: DataFrame, kind: type, columns: int) -> DataFrame:
+    """``SENT``: for each strip g the pieces (b, data) that lie in it, and what links add to its rows: their ids and numbers, each once a record."""
     alpha, beta = weights
-    width = of.width
+    width, span = of.width, _span(of.width, kind, columns)
+
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids = np.concatenate([i for i, _ in held])
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        sums, ids = np.add.reduceat(np.concatenate([v for _, v in held])[order], first, axis=0), ids[first]
+        strips = ids // (width * span)
+        bounds = np.concatenate([[0], np.flatnonzero(strips[1:] != strips[:-1]) + 1, [len(ids)]])
+        return pa.RecordBatch.from_arrays([pa.array(strips[bounds[:-1]]), pa.nulls(len(bounds) - 1, pa.int64()), _binary(ids, bounds), _binary(sums, bounds)], ["g", "b", "rows", "data"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((width, width), kind)
-        for batch in parted(batches, 512):
-            out = []
-            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[1:5]]
-            for k in range(len(batch)):
-                data = batch.column(5)[k].as_py()
-                r, c, a, e = (values[offsets[k] : offsets[k + 1]] for offsets, values in lists)
-                dense[r, c] = alpha * a + beta * e
-                out.append((dense @ unpack(data, kind, width)).tobytes())
-                dense[r, c] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "part"])
+        held, size = [], 0
+        for batch in parted(batches):
+            b, part, data, i = batch.columns[:4]
+            c, a, e = (x.flatten().to_numpy(zero_copy_only=False) for x in batch.columns[4:])
+            if len(c):
+                z = np.frombuffer(b"".join(data.to_pylist()), kind).reshape(-1, columns)
+                at = np.repeat(np.arange(len(batch)) * width, np.diff(i.offsets)) + c
+                held.append((i.flatten().to_numpy(), (alpha * a + beta * e)[:, None] * z[at]))
+                size += held[-1][1].nbytes
+            own = np.flatnonzero(part.to_numpy() == 0)
+            if len(own):
+                b = b.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array(b.to_numpy() // span), b, pa.nulls(len(own), pa.binary()), data.take(pa.array(own))], ["g", "b", "rows", "data"])
+            if size > HELD:
+                yield deal(held)
+                held, size = [], 0
+        if held:
+            yield deal(held)
 
     small = of.pieces * width * columns * np.dtype(kind).itemsize <= BROADCAST
-    met = of.blocks.join(F.broadcast(pieces) if small else pieces, F.col("bj") == F.col("b"))
-    return met.select("bi", "r", "c", "a", "e", "data").mapInArrow(multiply, "b bigint, part binary")
+    met = of.links.join(F.broadcast(pieces) if small else pieces.hint("merge"), "b")
+    return met.select("b", "part", "data", "i", "c", "a", "e").mapInArrow(multiply, SENT)
+
+
+def _gathered(sent: pa.Table, places: np.ndarray, kind: type, width: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces sent to a strip and what links add to them, in the order of ``places``."""
+    z, added = np.zeros((2, len(places), width, columns), kind)
+    rows_of = added.reshape(-1, columns)
+    for b, rows, data in zip(*(sent.column(c).to_pylist() for c in ("b", "rows", "data")), strict=True):
+        if rows is None:
+            z[np.searchsorted(places, b)] = unpack(data, kind, width)
+        else:
+            ids = np.frombuffer(rows, np.int64)
+            rows_of[np.searchsorted(places, ids // width) * width + ids % width] += np.frombuffer(data, kind).reshape(-1, columns)
+    return z, added
 
 
 def product(of: System, x: Vectors, alpha: complex = 1.0, beta: complex = 0.0) -> Vectors:
     """(alpha A + beta E) X."""
-    kind, width = x.kind, x.width
+    kind, width, columns = x.kind, x.width, x.columns
 
-    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = sum(unpack(part, kind, width) for batch in batches for part in batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["b", "data"])
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parted(batches, 512):
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[2:6]]
+            out = [_apply([values[offsets[k] : offsets[k + 1]] for offsets, values in lists], unpack(batch.column(1)[k].as_py(), kind, width)).tobytes() for k in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "data"])
+
+    def _apply(cells: list[np.ndarray], z: np.ndarray) -> np.ndarray:
+        r, c, a, e = cells
+        dense = np.zeros((width, width), kind)
+        dense[r, c] = alpha * a + beta * e
+        return dense @ z
+
+    def total(key: tuple, sent: pa.Table, own: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(rows, np.int64) // width for rows in sent.column("rows").drop_null().to_pylist()]
+        places = np.unique(np.concatenate([sent.column("b").drop_null().to_numpy(), *ids])).astype(np.int64)
+        z, out = _gathered(sent, places, kind, width, columns)
+        for row in own.to_pylist():
+            k = np.searchsorted(places, row["b"])
+            if k < len(places) and places[k] == row["b"]:
+                out[k] += _apply([np.array(row[c], int if c in "rc" else float) for c in "rcae"], z[k])
+        return pa.Table.from_arrays([pa.array(places), _binary(out.reshape(-1, columns), np.arange(len(places) + 1) * width)], ["b", "data"])
 
-    parts = _products(of, (alpha, beta), x.table, kind, x.columns)
     if of.decoupled:
-        return replace(x, table=parts.withColumnRenamed("part", "data"))
-    return replace(x, table=parts.groupBy("b").applyInArrow(total, "b bigint, data binary"))
+        small = of.pieces * width * columns * np.dtype(kind).itemsize <= BROADCAST
+        met = of.blocks.join(F.broadcast(x.table) if small else x.table, "b")
+        return replace(x, table=met.select("b", "data", "r", "c", "a", "e").mapInArrow(multiply, "b bigint, data binary"))
+    sent = _sent(of, (alpha, beta), x.table, kind, columns)
+    own = of.blocks.withColumn("g", F.floor(F.col("b") / _span(width, kind, columns)).cast("long"))
+    return replace(x, table=sent.groupBy("g").cogroup(own.groupBy("g")).applyInArrow(total, "b bigint, data binary"))
 
 
 def combine(terms: list[tuple[Vectors, np.ndarray]]) -> Vectors:
@@ -320,7 +420,7 @@ def _solve_blocks(of: System, rhs: Vectors, weights: tuple[complex, complex], ki
             grams = [sizes.astype(complex).tobytes()] + [None] * (len(out) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(grams[: len(out)], pa.binary())], ["b", "data", "gram"])
 
-    met = rhs.table.join(of.blocks.hint("shuffle_hash"), F.col("b") == F.col("bi"), "left").select("b", "data", "r", "c", "a", "e")
+    met = rhs.table.join(of.blocks.hint("shuffle_hash"), "b", "left").select("b", "data", "r", "c", "a", "e")
     table = write_table(met.mapInArrow(each, "b bigint, data binary, gram binary"), "solution")
     left, size = _summed(table.select("gram").dropna(), 2, m, False)
     return Vectors(table.select("b", "data"), m, width, kind) if (left <= max(2 * tol, 1e-13) ** 2 * size).all() else None
@@ -337,18 +437,18 @@ def _start(of: System, rhs: Vectors, weights: tuple[complex, complex], kind: typ
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parted(batches):
-            for row in batch.to_pylist():
-                r, c = (np.array(row[k] or [], np.int32) for k in "rc")
-                values = (alpha * np.array(row["a"] or []) + beta * np.array(row["e"] or [])).astype(kind)
-                own = unpack(row["data"], given, width, m).astype(kind)
-                at = unpack(row["x"], kind, width, m)
-                data = [r.tobytes(), c.tobytes(), values.tobytes(), at.tobytes(), own.tobytes(), b"", b"", b"", b"", b""]
-                yield pa.RecordBatch.from_arrays([pa.array([row["b"]], pa.int64()), *[pa.array([d], pa.binary()) for d in data]], names)
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(k) for k in "rcae")]
+            out = []
+            for k in range(len(batch)):
+                r, c, a, e = (values[offsets[k] : offsets[k + 1]] for offsets, values in lists)
+                at, own = (unpack(batch.column(name)[k].as_py(), of_kind, width, m).astype(kind) for name, of_kind in (("x", kind), ("data", given)))
+                out.append([r.tobytes(), c.tobytes(), (alpha * a + beta * e).astype(kind).tobytes(), at.tobytes(), own.tobytes(), b"", b"", b"", b"", b""])
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("b"), *[pa.array(c, pa.binary()) for c in zip(*out, strict=True)]], names)
 
     places = of.states.select(F.floor(F.col("i") / width).cast("long").alias("b")).distinct()
-    diagonal = of.blocks.filter("bi = bj").select(F.col("bi").alias("b"), "r", "c", "a", "e")
     known = x.table.withColumnRenamed("data", "x") if x is not None else places.select("b", F.lit(None).cast("binary").alias("x"))
-    joined = places.join(diagonal, "b", "left").join(rhs.table, "b", "left").join(known, "b", "left")
+    joined = places.join(of.blocks, "b", "left").join(rhs.table, "b", "left").join(known, "b", "left")
     return joined.mapInArrow(begin, STATE)
 
 
@@ -362,10 +462,15 @@ def _advance(row: dict, kind: type, width: int, update: tuple | None) -> dict:
     return at
 
 
-def _precondition(row: dict, r: np.ndarray, kind: type, width: int) -> np.ndarray:
-    """The residual divided by the diagonal block; rows without a state stand for themselves, and a singular block is not used."""
+def _diagonal(row: dict, kind: type, width: int) -> np.ndarray:
     dense = np.zeros((width, width), kind)
     dense[np.frombuffer(row["rows"], np.int32), np.frombuffer(row["cols"], np.int32)] = np.frombuffer(row["diagonal"], kind)
+    return dense
+
+
+def _precondition(row: dict, r: np.ndarray, kind: type, width: int) -> np.ndarray:
+    """The residual divided by the diagonal block; rows without a state stand for themselves, and a singular block is not used."""
+    dense = _diagonal(row, kind, width)
     empty = ~dense.any(axis=1) & ~dense.any(axis=0)
     dense[empty, empty] = 1
     try:
@@ -386,17 +491,20 @@ def _round(of: System, state: DataFrame, weights: tuple[complex, complex], kind:
             out = [np.ascontiguousarray(_precondition(row, _advance(row, kind, width, update)["r"], kind, width)).tobytes() for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["b", "data"])
 
-    def meet(key: tuple, own: pa.Table, parts: pa.Table) -> pa.Table:
-        (row,) = own.to_pylist()
-        at = _advance(row, kind, width, update)
-        p = sum((unpack(x, kind, width) for x in parts.column("part").to_pylist()), np.zeros((width, m), kind))
-        z = _precondition(row, at["r"], kind, width)
-        gram = np.hstack([at["qs"], p, at["r"]]).conj().T @ np.hstack([p, at["r"]])
-        data = [row["rows"], row["cols"], row["diagonal"], *[np.ascontiguousarray(v).tobytes() for v in (at["x"], at["r"], at["zs"], at["qs"], z, p, gram.astype(complex))]]
-        return pa.Table.from_arrays([pa.array([row["b"]], pa.int64()), *[pa.array([d], pa.binary()) for d in data]], names)
-
-    parts = _products(of, weights, state.mapInArrow(directions, "b bigint, data binary"), kind, m)
-    return state.groupBy("b").cogroup(parts.groupBy("b")).applyInArrow(meet, STATE)
+    def meet(key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        own = own.sort_by("b")
+        z, p = _gathered(sent, own.column("b").to_numpy(), kind, width, m)
+        out = []
+        for k, row in enumerate(own.to_pylist()):
+            at = _advance(row, kind, width, update)
+            p[k] += _diagonal(row, kind, width) @ z[k]
+            gram = np.hstack([at["qs"], p[k], at["r"]]).conj().T @ np.hstack([p[k], at["r"]])
+            out.append([row["b"], row["rows"], row["cols"], row["diagonal"], *[np.ascontiguousarray(v).tobytes() for v in (at["x"], at["r"], at["zs"], at["qs"], z[k], p[k], gram.astype(complex))]])
+        return pa.Table.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names)
+
+    sent = _sent(of, weights, state.mapInArrow(directions, "b bigint, data binary"), kind, m)
+    strip = F.floor(F.col("b") / _span(width, kind, m)).cast("long")
+    return state.groupBy(strip.alias("g")).cogroup(sent.groupBy("g")).applyInArrow(meet, STATE)
 
 
 def _solution(state: DataFrame, of: System, m: int, kind: type, update: tuple | None = None) -> Vectors:

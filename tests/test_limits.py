@@ -115,3 +115,39 @@ def test_an_unlinked_state_without_cells_is_an_error(spark):
         rhs = sparse.written(sparse.pieces_of(spark.createDataFrame([(0, [1.0]), (lost, [1.0])], "i bigint, vec array<double>"), 1), "rhs")
         with pytest.raises(RuntimeError):
             sparse.solve(of, rhs)
+
+
+def test_far_links_move_numbers_and_not_pieces(spark):
+    """Each state is linked to one in another block: a product hands on sums by strip, not a piece for each link."""
+    n = 4096
+    i = np.arange(n)
+    j = i * 1031 % n
+    of = sparse.system(spark.range(n).selectExpr("id AS i", f"explode(array(struct(id AS j, -3D AS v), struct(id * 1031 % {n} AS j, 0.5D AS v))) AS c").select("i", "c.j", "c.v"))
+    x = np.random.default_rng(8).standard_normal((n, 2))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "i bigint, vec array<double>")
+    pieces = sparse.written(sparse.pieces_of(rows, 2), "test")
+    first = next_stage(spark)
+    found = sparse.written(sparse.product(of, pieces), "test")
+    assert sum(s.shuffleWriteRecords() for s in stages_since(spark, first)) < n / 8
+    y = np.array([row["vec"] for row in sparse.rows_from(found, of.states).orderBy("i").collect()])
+    assert np.abs(y - (0.5 * x[j] - 3 * x)).max() < 1e-12
+
+
+def test_a_state_linked_to_all_others(spark, monkeypatch):
+    """Its links are several records, and each row is summed once; null and NaN cells make states only, also of blocks without a number."""
+    monkeypatch.setattr(sparse, "LINKS", 64)
+    monkeypatch.setattr(sparse, "STRIP", 256)
+    r = np.random.default_rng(9)
+    n, width, strangers = 300, 8, [308, 500]
+    a, e = np.diag(2 + r.random(n)), np.diag(1 + r.random(n))
+    a[3], a[:, 3], e[3, 50:] = r.standard_normal(n), r.standard_normal(n), 0.5
+    cells = lambda m, more: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)] + more, "i bigint, j bigint, v double")
+    of = sparse.system(cells(a, [(0, 500, None), (308, 308, float("nan")), (None, 1, 1.0)]), cells(e, []), width)
+    x = r.standard_normal((n, 2))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "i bigint, vec array<double>")
+    pieces = sparse.written(sparse.pieces_of(rows, 2, width), "test")
+    for system, m in ((of, a - 1.5 * e), (of.transposed(), a.T - 1.5 * e.T)):
+        y = {row["i"]: row["vec"] for row in sparse.rows_from(sparse.product(system, pieces, 1.0, -1.5), of.states).collect()}
+        assert sorted(y) == [*range(n), *strangers] and not any(y[s] != [0.0, 0.0] for s in strangers)
+        assert np.abs(np.array([y[k] for k in range(n)]) - m @ x).max() < 1e-12
+        assert system.links.selectExpr("max(size(i)) AS n").first()["n"] < 160

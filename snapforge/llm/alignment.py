@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,6 +41,8 @@ FAN_IN = 8
 MEMORY, LONG = 120_000, 64
 #: Characters of the texts that are aligned together, unless one has more.
 GROUP = 1 << 19
+#: Bytes of a row group where rows are as long as chunks. Spark decodes a row group's rows up to 4,096 at once, and a task holds them.
+ROW_GROUP = 1 << 24
 #: Pairs of ids that may be broadcast, at 24 bytes each.
 PAIRS = 1_000_000
 #: White space to either tokenizer: where a blank follows one of these, nothing is cut.
@@ -302,7 +305,7 @@ def finished(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
 #: A document without tokens.
 NOTHING = (0, 0, "", b"")
 ALIGNED = "doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, pairs array<struct<pair:bigint,n:bigint>>, groups_sha256 string"
-FRAGMENT = "row bigint, no bigint, doc_id {kind}, n_a bigint, n_b bigint, prefix_a array<int>, prefix_b array<int>, groups string, suffix_a array<int>, suffix_b array<int>, links binary, closed boolean, same boolean"
+FRAGMENT = "row bigint, no bigint, doc_id {kind}, n_a bigint, n_b bigint, prefix_a array<int>, prefix_b array<int>, groups binary, suffix_a array<int>, suffix_b array<int>, links binary, times binary, closed boolean, same boolean"
 #: Rows that a task hands on at once.
 FLUSH = 1000
 
@@ -352,18 +355,30 @@ def fragments(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return parts.mapInArrow(work, FRAGMENT.format(kind=parts.schema["doc_id"].dataType.simpleString()))
 
 
+def write_long(df: DataFrame, name: str) -> DataFrame:
+    """``write_table`` for rows as long as chunks, in row groups of about ``ROW_GROUP`` bytes.
+
+    Without compression, since the writer goes by compressed bytes; looking at them after each row, as rows are of unlike length.
+    """
+    options = {"compression": "none", "parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    return write_table(df, name, **options)
+
+
 def stored(kind: pa.DataType, rows: list[tuple[tuple, Fragment, bool]]) -> pa.RecordBatch:
+    """Groups are compressed, and links are stored once with their numbers, so that Spark moves about as many bytes as the texts have."""
+    pairs = [counted(b"".join(f.links)) for _, f, _ in rows]
     columns = [pa.array([labels[k] for labels, _, _ in rows], kind if k == 2 else pa.int64()) for k in range(5)]
     lists = lambda of: pa.array([of(f) for _, f, _ in rows], pa.list_(pa.int32()))
-    columns += [lists(lambda f: f.prefix[0]), lists(lambda f: f.prefix[1]), pa.array([";".join(f.groups) for _, f, _ in rows], pa.string()), lists(lambda f: f.suffix[0]), lists(lambda f: f.suffix[1])]
-    columns += [pa.array([b"".join(f.links) for _, f, _ in rows], pa.binary()), pa.array([f.closed for _, f, _ in rows]), pa.array([same for _, _, same in rows])]
+    columns += [lists(lambda f: f.prefix[0]), lists(lambda f: f.prefix[1]), pa.array([zlib.compress(";".join(f.groups).encode(), 1) for _, f, _ in rows], pa.binary()), lists(lambda f: f.suffix[0]), lists(lambda f: f.suffix[1])]
+    columns += [pa.array([x.tobytes() for x, _ in pairs], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in pairs], pa.binary()), pa.array([f.closed for _, f, _ in rows]), pa.array([same for _, _, same in rows])]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FRAGMENT.split(", ")])
 
 
 def read(batch: pa.RecordBatch) -> Iterator[tuple[tuple, Fragment, bool]]:
     for row in batch.to_pylist():
         labels = tuple(row[k] for k in ("row", "no", "doc_id", "n_a", "n_b"))
-        found = Fragment((row["prefix_a"], row["prefix_b"]), [row["groups"]] if row["groups"] else [], (row["suffix_a"], row["suffix_b"]), [row["links"]], row["closed"])
+        groups, links = zlib.decompress(row["groups"]).decode(), np.repeat(np.frombuffer(row["links"], np.int64), np.frombuffer(row["times"], np.int32))
+        found = Fragment((row["prefix_a"], row["prefix_b"]), [groups] if groups else [], (row["suffix_a"], row["suffix_b"]), [links.tobytes()], row["closed"])
         yield labels, found, row["same"]
 
 
@@ -404,11 +419,11 @@ def align_long(docs: DataFrame, a_path: str, b_path: str, size: int = CHUNK) ->
     import sentencepiece
 
     cuts = may_cut(pieces_of(sentencepiece.SentencePieceProcessor(model_file=b_path)))
-    parts = write_table(cut_long(docs, cuts, size), "chunks")
+    parts = write_long(cut_long(docs, cuts, size), "chunks")
     left = (parts.agg(F.max("no").alias("n")).first()["n"] or 0) + 1
-    found = write_table(fragments(parts.repartition("row", "no"), a_path, b_path), "fragments")
+    found = write_long(fragments(parts.repartition("row", "no"), a_path, b_path), "fragments")
     while left > FAN_IN:
-        found, left = write_table(compose(found, False), "fragments"), -(-left // FAN_IN)
+        found, left = write_long(compose(found, False), "fragments"), -(-left // FAN_IN)
     return compose(found, True)
 
 

@@ -90,6 +90,26 @@ def test_alignment_in_chunks_equals_whole_texts(spark, pairs):
     assert found_rows(alignment.with_counts(aligned, pairs)) == expected(texts)
 
 
+def test_alignment_of_long_texts_writes_row_groups_of_bounded_bytes(spark, monkeypatch):
+    """Also where texts compress well: what a task decodes at once is bounded, however many chunks there are."""
+    files, write = {}, alignment.write_table
+    monkeypatch.setattr(alignment, "ROW_GROUP", 1 << 14, raising=False)
+
+    def recorded(df, name, **options):
+        written = write(df, name, **options)
+        files.setdefault(name, []).extend(f.removeprefix("file://") for f in written.inputFiles())
+        return written
+
+    monkeypatch.setattr(alignment, "write_table", recorded)
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["the cat", "sat.", "on", "naïve mats"]) for _ in range(2000 + 100 * i)) for i in range(40)]
+    aligned = alignment.write_table(alignment.align_long(frame(spark, texts), A, B, size=512), "aligned")
+    assert found_rows(alignment.with_counts(aligned)) == expected(texts)
+    for name in ("chunks", "fragments"):
+        groups = [m.row_group(k).total_byte_size for f in files[name] for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+        assert sum(groups) > 1 << 18 and max(groups) < 1 << 15, name
+
+
 def test_fragments_compose_however_they_are_cut():
     """Of any cut of the tokens' ends into stretches, in any association."""
     r, of = random.Random(1), alignment.Tokenizers(A, B)
